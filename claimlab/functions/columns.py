@@ -54,8 +54,8 @@ def period_label(year: Column, width: int) -> Column:
 
 def cpi_factor(year: Column, factors: list[float] | None = None, first_year: int = CPI_FIRST_YEAR) -> Column:
     """Inflation factor of a year by position in a constant array; null outside the table."""
-    table = F.array(*[F.lit(float(factor)) for factor in (factors or CPI_FACTORS)])
-    return F.get(table, year - F.lit(first_year))
+    table = ", ".join(f"{float(factor)!r}D" for factor in (factors or CPI_FACTORS))
+    return F.get(F.expr(f"array({table})"), year - F.lit(first_year))
 
 
 def positive_log(amount: Column, base10: bool = False) -> Column:

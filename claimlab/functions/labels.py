@@ -313,10 +313,14 @@ DOMAINS = {
 }
 
 
+def _sql_literal(value) -> str:
+    return str(value) if isinstance(value, (int, float)) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(code: Column, table: dict, default: Column | str | None = None) -> Column:
     """Label of a code from a small literal table; `default` (or null) when the code is absent."""
-    literal = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
-    label = F.try_element_at(literal, code)
+    entries = ", ".join(_sql_literal(part) for pair in table.items() for part in pair)
+    label = F.try_element_at(F.expr(f"map({entries})"), code)
     if default is None:
         return label
     return F.coalesce(label, default if isinstance(default, Column) else F.lit(default))

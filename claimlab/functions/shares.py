@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 WHOLE_TABLE = Window.partitionBy(F.lit(0))
 
 
-def percent(part: Column, whole: Column, digits: int | None = 2) -> Column:
-    value = F.try_divide(part, whole) * 100
+def rounded(value: Column, digits: int | None) -> Column:
+    """Round unless the caller wants the plain value (`digits=None`)."""
     return value if digits is None else F.round(value, digits)
 
 
+def percent(part: Column, whole: Column, digits: int | None = 2) -> Column:
+    return rounded(F.try_divide(part, whole) * 100, digits)
+
+
 def share_of_total(column: str, digits: int | None = 2) -> Column:
     """Percentage of a summary column's grand total."""
     return percent(F.col(column), F.sum(column).over(WHOLE_TABLE), digits)
@@ -31,8 +35,7 @@ def share_within(column: str, parents: list[str], digits: int | None = 2) -> Col
 
 
 def ratio(numerator: str, denominator: str, digits: int | None = 2) -> Column:
-    value = F.try_divide(F.col(numerator), F.col(denominator))
-    return value if digits is None else F.round(value, digits)
+    return rounded(F.try_divide(F.col(numerator), F.col(denominator)), digits)
 
 
 def metric_table(one_row: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -46,7 +49,7 @@ def running_share(column: str, order: str | list[str], digits: int | None = 2) -
     """Running total of a percentage column in label order."""
     order = [order] if isinstance(order, str) else order
     value = F.sum(column).over(WHOLE_TABLE.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return value if digits is None else F.round(value, digits)
+    return rounded(value, digits)
 
 
 def year_over_year(column: str, year: str) -> Column:

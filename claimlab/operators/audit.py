@@ -32,7 +32,7 @@ def dataset_extent(df: DataFrame) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None, digits: int = 2) -> DataFrame:
+def column_profile(df: DataFrame, columns: list[str] | None = None, digits: int | None = 2) -> DataFrame:
     """Type, null counts and exact distinct count of each column; unknown names are ignored.
 
     Columns are unpivoted to (column, value) and counted per distinct value first. That combines on the
@@ -62,7 +62,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, digits: int
     ).orderBy(F.col("null_pct").desc(), "column")
 
 
-def record_type_counts(df: DataFrame, digits: int = 2) -> DataFrame:
+def record_type_counts(df: DataFrame, digits: int | None = 2) -> DataFrame:
     counts = df.groupBy("RECTYPE").agg(F.count(F.lit(1)).alias("count"))
     return counts.withColumn("pct", S.share_of_total("count", digits)).orderBy(F.col("count").desc(), "RECTYPE")
 
@@ -82,7 +82,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def record_class_breakdown(df: DataFrame, digits: int = 1) -> DataFrame:
+def record_class_breakdown(df: DataFrame, digits: int | None = 1) -> DataFrame:
     """Counts of the known record classes; a class without rows is listed with zero."""
     classes = df.sparkSession.createDataFrame(list(RECORD_CLASSES.items()), "RECTYPE string, label string")
     counts = df.groupBy("RECTYPE").agg(F.count(F.lit(1)).alias("count"))
@@ -118,7 +118,7 @@ def type_conformity(raw: DataFrame) -> DataFrame:
     )
 
 
-def missingness_by_record_type(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
+def missingness_by_record_type(df: DataFrame, columns: list[str], digits: int | None = 2) -> DataFrame:
     """Missing count and percentage per record type and column, in long form."""
     columns = [c for c in columns if c in df.columns]
     wide = df.groupBy("RECTYPE").agg(F.count(F.lit(1)).alias("_rows"), *[_missing(c).alias(c) for c in columns])

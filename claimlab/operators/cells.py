@@ -167,22 +167,23 @@ def group_stats(
     quantiles: dict[str, float] | None = None,
     flags: list[str] = (),
 ) -> DataFrame:
-    """Measures and exact quantiles of an amount per group. A null key is a group of its own.
-
-    The measure rows and the quantile rows of a group meet in one small aggregation, which treats
-    null keys as equal and needs no join.
-    """
+    """Measures and exact quantiles of an amount per group. A null key is a group of its own."""
     return stats_of_cells(amount_cells(df, keys, amount, flags), keys, measures, quantiles)
 
 
 def stats_of_cells(
     cells: DataFrame, keys: list[str], measures: dict[str, Column], quantiles: dict[str, float] | None = None
 ) -> DataFrame:
-    stats = cells.groupBy(*keys).agg(*[column.alias(name) for name, column in measures.items()])
+    """Measures and quantiles of cells.
+
+    Cells and quantile rows of a group meet in one aggregation: it treats null keys as equal, needs no
+    join, and measures ignore the quantile rows because those have no value and no row count.
+    """
+    columns = [column.alias(name) for name, column in measures.items()]
     if not quantiles:
-        return stats
-    both = stats.unionByName(cell_quantiles(cells, keys, quantiles), allowMissingColumns=True)
-    return both.groupBy(*keys).agg(*[F.max(name).alias(name) for name in [*measures, *quantiles]])
+        return cells.groupBy(*keys).agg(*columns)
+    both = cells.unionByName(cell_quantiles(cells, keys, quantiles), allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*columns, *[F.max(name).alias(name) for name in quantiles])
 
 
 def running_totals(values: DataFrame, columns: list[str], bucket: Column | None = None) -> DataFrame:

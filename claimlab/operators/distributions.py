@@ -214,7 +214,7 @@ def mann_whitney(df: DataFrame, column: str = "PAYMENT") -> DataFrame:
     return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
 
 
-def bracket_comparison(df: DataFrame, digits: int = 2) -> DataFrame:
+def bracket_comparison(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """Settlements and judgments over the payment brackets, with running shares; empty brackets are listed."""
     bracket = FT.payment_bracket(F.col("PAYMENT_ADJ"))
     counts = df.groupBy(bracket.alias("bracket")).agg(

@@ -41,37 +41,62 @@ def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(subset=[c for c in columns if c in df.columns])
 
 
+def _state() -> dict[str, Column]:
+    source = F.upper(F.trim(F.coalesce(F.col("WORKSTAT"), F.col("LICNSTAT"), F.col("HOMESTAT"))))
+    return {"STATE": F.when(source.isin("", "NAN"), F.lit(None)).otherwise(source)}
+
+
+def _periods() -> dict[str, Column]:
+    return {
+        f"{prefix}PERIOD_{width}Y": X.period_label(F.col(year), width)
+        for prefix, year in (("", "ORIGYEAR"), ("MAL_", "MALYEAR1"))
+        for width in (5, 10)
+    }
+
+
+def _resolution() -> dict[str, Column]:
+    code = F.upper(F.trim(F.col("PAYTYPE")))
+    return {
+        "PAYTYPE_STR": code,
+        "RESOLUTION_BINARY": L.lookup(code, L.RESOLUTIONS, "Other"),
+        "IS_JUDGMENT": code == "J",
+    }
+
+
+def _adjusted_amounts(df: DataFrame, factor: Column) -> dict[str, Column]:
+    out = {"CPI_FACTOR": factor}
+    if "PAYMENT" in df.columns:
+        out["PAYMENT_ADJ"] = F.col("PAYMENT") * factor
+        out["LOG_PAYMENT_ADJ"] = X.positive_log(F.col("PAYMENT") * factor)
+    if "TOTALPMT" in df.columns:
+        out["TOTALPMT_ADJ"] = F.col("TOTALPMT") * factor
+    return out
+
+
+def _payment_mode() -> dict[str, Column]:
+    code = F.upper(F.trim(F.col("PAYNUMBR")))
+    mode = F.when(F.col("RECTYPE") == "M", "Unavailable Pre-2004").otherwise(
+        L.lookup(code, L.PAYMENT_MODES, "Unknown Payment Mode")
+    )
+    return {"PAYNUMBR_STR": code, "PAYMENT_MODE": mode}
+
+
 def with_state(df: DataFrame) -> DataFrame:
     """State of a report: work state, else license state, else home state.
 
     A blank in the first non-null source is missing, not a reason to fall through.
     """
-    source = F.coalesce(F.col("WORKSTAT"), F.col("LICNSTAT"), F.col("HOMESTAT"))
-    trimmed = F.upper(F.trim(source))
-    return df.withColumn("STATE", F.when(trimmed.isin("", "NAN"), F.lit(None)).otherwise(trimmed))
+    return df.withColumns(_state())
 
 
 def with_periods(df: DataFrame) -> DataFrame:
     """Five- and ten-year periods of report year and incident year."""
-    return df.withColumns(
-        {
-            f"{prefix}PERIOD_{width}Y": X.period_label(F.col(year), width)
-            for prefix, year in (("", "ORIGYEAR"), ("MAL_", "MALYEAR1"))
-            for width in (5, 10)
-        }
-    )
+    return df.withColumns(_periods())
 
 
 def with_resolution(df: DataFrame) -> DataFrame:
     """Payment type, its binary reading and the judgment flag (null when the type is unknown)."""
-    code = F.upper(F.trim(F.col("PAYTYPE")))
-    return df.withColumns(
-        {
-            "PAYTYPE_STR": code,
-            "RESOLUTION_BINARY": L.lookup(code, L.RESOLUTIONS, "Other"),
-            "IS_JUDGMENT": code == "J",
-        }
-    )
+    return df.withColumns(_resolution())
 
 
 def with_detailed_resolution(df: DataFrame) -> DataFrame:
@@ -87,14 +112,7 @@ def with_adjusted_amounts(
     year_column: str = "ORIGYEAR",
 ) -> DataFrame:
     """Inflation-adjusted amounts and the log of positive adjusted payments."""
-    factor = X.cpi_factor(F.col(year_column), factors, first_year)
-    out = {"CPI_FACTOR": factor}
-    if "PAYMENT" in df.columns:
-        out["PAYMENT_ADJ"] = F.col("PAYMENT") * factor
-        out["LOG_PAYMENT_ADJ"] = X.positive_log(F.col("PAYMENT") * factor)
-    if "TOTALPMT" in df.columns:
-        out["TOTALPMT_ADJ"] = F.col("TOTALPMT") * factor
-    return df.withColumns(out)
+    return df.withColumns(_adjusted_amounts(df, X.cpi_factor(F.col(year_column), factors, first_year)))
 
 
 def catastrophic(amount: Column, threshold: float = CATASTROPHIC_AMOUNT) -> Column:
@@ -119,24 +137,18 @@ def with_lag_and_flags(df: DataFrame) -> DataFrame:
 
 def with_payment_mode(df: DataFrame) -> DataFrame:
     """Payment mode label; the old format never recorded it."""
-    code = F.upper(F.trim(F.col("PAYNUMBR")))
-    mode = F.when(F.col("RECTYPE") == "M", "Unavailable Pre-2004").otherwise(
-        L.lookup(code, L.PAYMENT_MODES, "Unknown Payment Mode")
-    )
-    return df.withColumns({"PAYNUMBR_STR": code, "PAYMENT_MODE": mode})
+    return df.withColumns(_payment_mode())
 
 
 def with_common_features(df: DataFrame) -> DataFrame:
-    """The feature pipeline over cleaned claims: payment cohort plus all derived columns."""
-    return (
-        df.transform(payment_records)
-        .transform(with_state)
-        .transform(with_periods)
-        .transform(with_resolution)
-        .transform(with_adjusted_amounts)
-        .transform(with_lag_and_flags)
-        .transform(with_payment_mode)
-    )
+    """The feature pipeline over cleaned claims: payment cohort plus all derived columns.
+
+    Independent columns share one projection, and the lag and flags that build on them a second one.
+    """
+    claims = payment_records(df)
+    direct = _state() | _periods() | _resolution() | _payment_mode()
+    direct |= _adjusted_amounts(claims, X.cpi_factor(F.col("ORIGYEAR")))
+    return claims.withColumns(direct).transform(with_lag_and_flags)
 
 
 # Experience bands in years.

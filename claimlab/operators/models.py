@@ -135,7 +135,6 @@ def preprocessing(frame: DataFrame, features: list[str]) -> Pipeline:
                 inputCols=[f"{c}_index" for c in text],
                 outputCols=[f"{c}_hot" for c in text],
                 dropLast=True,
-                handleInvalid="keep",
             ),
         ]
         vectors += [f"{c}_hot" for c in text]

@@ -112,7 +112,7 @@ def mobility_comparison(mobility: DataFrame) -> DataFrame:
     )
 
 
-def multi_payment_profile(df: DataFrame, digits: int = 2) -> DataFrame:
+def multi_payment_profile(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """Practitioners with multiple-payment reports: how many, how much, over which years and states.
 
     The share denominator is one scalar over the reports, so the practitioner table is never gathered.
@@ -192,7 +192,7 @@ def allegation_diversity(df: DataFrame) -> DataFrame:
     )
 
 
-def diversity_comparison(diversity: DataFrame, digits: int = 1) -> DataFrame:
+def diversity_comparison(diversity: DataFrame, digits: int | None = 1) -> DataFrame:
     return (
         diversity.groupBy("allegation_profile")
         .agg(
@@ -208,7 +208,7 @@ def diversity_comparison(diversity: DataFrame, digits: int = 1) -> DataFrame:
     )
 
 
-def diversity_distribution(diversity: DataFrame, digits: int = 2) -> DataFrame:
+def diversity_distribution(diversity: DataFrame, digits: int | None = 2) -> DataFrame:
     """Practitioners per number of distinct allegations, with running share of the rounded percentages."""
     counts = diversity.groupBy(F.col("unique_allegations").alias("unique_allegation_types")).agg(
         F.count(F.lit(1)).alias("practitioner_count")

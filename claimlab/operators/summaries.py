@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlab.functions import columns as X
@@ -27,17 +27,17 @@ def _payment_stats(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
     return C.group_stats(df, keys, amount, measures, {"median_payment_adj": 0.5}, FLAGS)
 
 
-def _with_dollar_shares(summary: DataFrame, digits: int, flags_as_percent: bool) -> DataFrame:
+def _with_dollar_shares(summary: DataFrame, digits: int | None, flags_as_percent: bool) -> DataFrame:
     out = {
         "pct_of_total_dollars": S.share_of_total("total_payment_adj", digits),
         "mean_to_median_ratio": S.ratio("mean_payment_adj", "median_payment_adj", digits),
     }
     if flags_as_percent:
-        out |= {f: F.round(F.col(f) * 100, digits) for f in ("catastrophic_share", "judgment_share")}
+        out |= {f: S.rounded(F.col(f) * 100, digits) for f in ("catastrophic_share", "judgment_share")}
     return summary.withColumns(out)
 
 
-def period_summary(df: DataFrame, period: str, amount: str = "PAYMENT_ADJ", digits: int = 2) -> DataFrame:
+def period_summary(df: DataFrame, period: str, amount: str = "PAYMENT_ADJ", digits: int | None = 2) -> DataFrame:
     """Payment statistics per period; reports without a period form a group of their own."""
     summary = _payment_stats(df, [period], amount).withColumn("pct", S.share_of_total("count", digits))
     return _with_dollar_shares(summary, digits, True).orderBy(period)
@@ -49,7 +49,7 @@ def state_period_mode_summary(
     period: str = "PERIOD_10Y",
     mode: str = "PAYMENT_MODE",
     amount: str = "PAYMENT_ADJ",
-    digits: int = 2,
+    digits: int | None = 2,
 ) -> DataFrame:
     """Payment statistics per state, period and payment mode."""
     summary = _payment_stats(df, [state, period, mode], amount).withColumn(
@@ -58,7 +58,7 @@ def state_period_mode_summary(
     return _with_dollar_shares(summary, digits, True).orderBy(state, period, mode)
 
 
-def state_summary(df: DataFrame, amount: str = "PAYMENT_ADJ", digits: int = 2) -> DataFrame:
+def state_summary(df: DataFrame, amount: str = "PAYMENT_ADJ", digits: int | None = 2) -> DataFrame:
     summary = _payment_stats(df, ["STATE"], amount).withColumn("pct", S.share_of_total("count", digits))
     return _with_dollar_shares(summary, digits, True).orderBy(F.col("count").desc(), "STATE")
 
@@ -68,7 +68,7 @@ def peer_state_comparison(
     states: list[str] = PEER_STATES,
     period: str = "PERIOD_10Y",
     amount: str = "PAYMENT_ADJ",
-    digits: int = 2,
+    digits: int | None = 2,
 ) -> DataFrame:
     """Statistics per peer state and period. Flag shares are fractions here, unlike the other summaries."""
     peers = df.filter(F.col("STATE").isin(states))
@@ -118,7 +118,7 @@ def state_period_rollup(state_period_mode: DataFrame) -> DataFrame:
     )
 
 
-def resolution_by_state(df: DataFrame, digits: int = 2) -> DataFrame:
+def resolution_by_state(df: DataFrame, digits: int | None = 2) -> DataFrame:
     known = df.filter(F.col("STATE").isNotNull())
     stats = C.group_stats(
         known,
@@ -132,7 +132,7 @@ def resolution_by_state(df: DataFrame, digits: int = 2) -> DataFrame:
     )
 
 
-def resolution_by_period(df: DataFrame, period: str = "PERIOD_10Y", digits: int = 2) -> DataFrame:
+def resolution_by_period(df: DataFrame, period: str = "PERIOD_10Y", digits: int | None = 2) -> DataFrame:
     counts = (
         df.filter(F.col(period).isNotNull())
         .groupBy(period, "RESOLUTION_BINARY")
@@ -143,7 +143,7 @@ def resolution_by_period(df: DataFrame, period: str = "PERIOD_10Y", digits: int
     )
 
 
-def payment_mode_distribution(df: DataFrame, groups: list[str] | None = None, digits: int = 2) -> DataFrame:
+def payment_mode_distribution(df: DataFrame, groups: list[str] | None = None, digits: int | None = 2) -> DataFrame:
     """Counts and percentages of payment modes, overall or within groups."""
     groups = groups or []
     counts = df.groupBy(*groups, "PAYMENT_MODE").agg(F.count(F.lit(1)).alias("count"))
@@ -151,7 +151,7 @@ def payment_mode_distribution(df: DataFrame, groups: list[str] | None = None, di
     return counts.withColumn("pct", pct).orderBy(*groups, "PAYMENT_MODE")
 
 
-def single_multiple_comparison(df: DataFrame, digits: int = 2) -> DataFrame:
+def single_multiple_comparison(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """Payment size of single-payment against multiple-payment reports."""
     frame = df.filter(F.col("PAYMENT_MODE").isin("Single Payment", "Multiple Payments"))
     stats = C.group_stats(
@@ -283,7 +283,7 @@ def practitioner_age_amounts(df: DataFrame) -> DataFrame:
     return _ordered_amounts(df, "PRACTAGE", L.PRACTITIONER_AGES, "practitioner_age_group", "age_ord")
 
 
-def resolution_amounts(df: DataFrame, digits: int = 1) -> DataFrame:
+def resolution_amounts(df: DataFrame, digits: int | None = 1) -> DataFrame:
     """Five-way resolution statistics with the share of reports."""
     frame = FT.with_detailed_resolution(df.filter(F.col("PAYMENT").isNotNull()))
     stats = _amount_summary(frame, "RESOLUTION", {"total": C.total()})
@@ -550,7 +550,7 @@ def amounts_by_adverse_flag(df: DataFrame) -> DataFrame:
 # Settlement and judgment -----------------------------------------------------------------------
 
 
-def resolution_coverage(df: DataFrame, digits: int = 2) -> DataFrame:
+def resolution_coverage(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """Disclosure of amounts per resolution, with record and dollar shares."""
     stats = C.group_stats(
         df,
@@ -577,7 +577,7 @@ def resolution_coverage(df: DataFrame, digits: int = 2) -> DataFrame:
     ).orderBy("RESOLUTION_BINARY")
 
 
-def severity_trend_by_resolution(df: DataFrame, digits: int = 2) -> DataFrame:
+def severity_trend_by_resolution(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """Size of payments per decade, separately for settlements and judgments."""
     frame = df.filter(F.col("PERIOD_10Y").isNotNull() & F.col("RESOLUTION_BINARY").isin("Judgment", L.NON_JUDGMENT))
     stats = C.group_stats(
@@ -595,21 +595,26 @@ def severity_trend_by_resolution(df: DataFrame, digits: int = 2) -> DataFrame:
     )
     return stats.withColumns(
         {
-            "pct_catastrophic": F.round("pct_catastrophic", digits),
+            "pct_catastrophic": S.rounded(F.col("pct_catastrophic"), digits),
             "mean_to_median": S.ratio("mean_payment", "median_payment", digits),
         }
     ).orderBy("RESOLUTION_BINARY", "PERIOD_10Y")
 
 
-def with_state_totals(state_resolution: DataFrame, digits: int = 2) -> DataFrame:
-    """Join each state-resolution row to its state's total."""
-    totals = state_resolution.groupBy("STATE").agg(F.sum("count").alias("state_total"))
-    return state_resolution.join(totals, "STATE").withColumn(
-        "pct_of_state", S.percent(F.col("count"), F.col("state_total"), digits)
+def with_state_totals(state_resolution: DataFrame, digits: int | None = 2) -> DataFrame:
+    """Put each state's total next to its resolution rows.
+
+    A window over the summary gives the rows of a join with the totals and computes the summary once.
+    """
+    total = F.sum("count").over(Window.partitionBy("STATE"))
+    return (
+        state_resolution.filter(F.col("STATE").isNotNull())
+        .withColumn("state_total", total)
+        .withColumn("pct_of_state", S.percent(F.col("count"), F.col("state_total"), digits))
     )
 
 
-def judgment_rate_ranking(state_resolution: DataFrame, minimum: int = 1000, digits: int = 2) -> DataFrame:
+def judgment_rate_ranking(state_resolution: DataFrame, minimum: int = 1000, digits: int | None = 2) -> DataFrame:
     """States with enough claims, highest judgment share first."""
     return (
         with_state_totals(state_resolution, digits)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from claimlab.plans import source_queries
+from claimlab.plans import distribution_queries, linkage_queries, source_queries, summary_queries
 from claimlab.plans.base import Query
 
-ALL: dict[str, Query] = {q.key: q for module in (source_queries,) for q in module.QUERIES}
+_MODULES = (source_queries, summary_queries, linkage_queries, distribution_queries)
+ALL: dict[str, Query] = {query.key: query for module in _MODULES for query in module.QUERIES}

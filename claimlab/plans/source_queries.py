@@ -185,19 +185,19 @@ QUERIES = [
     ),
     Query(
         "s03_column_profile",
-        lambda c: audit.column_profile(c.raw, digits=4),
+        lambda c: audit.column_profile(c.raw, digits=None),
         _profile_sql("claims", SAMPLE_COLUMNS, _RAW_TYPES),
         r4="null_pct",
     ),
     Query(
         "s04_key_column_profile",
-        lambda c: audit.column_profile(c.clean, [*KEY_COLUMNS, "NOT_A_COLUMN"], digits=4),
+        lambda c: audit.column_profile(c.clean, [*KEY_COLUMNS, "NOT_A_COLUMN"], digits=None),
         _profile_sql("clean", KEY_COLUMNS, _CLEAN_TYPES),
         r4="null_pct",
     ),
     Query(
         "s05_record_type_counts",
-        lambda c: audit.record_type_counts(c.raw, digits=4),
+        lambda c: audit.record_type_counts(c.raw, digits=None),
         "SELECT RECTYPE, count(*) AS count, count(*) * 100.0 / sum(count(*)) OVER () AS pct FROM claims GROUP BY RECTYPE",
         r4="pct",
     ),
@@ -219,7 +219,7 @@ QUERIES = [
     ),
     Query(
         "s08_record_class_breakdown",
-        lambda c: audit.record_class_breakdown(c.raw.filter("RECTYPE <> 'A'"), digits=4),
+        lambda c: audit.record_class_breakdown(c.raw.filter("RECTYPE <> 'A'"), digits=None),
         """SELECT d.RECTYPE, d.label, coalesce(n, 0) AS count, coalesce(n * 100.0 / sum(n) OVER (), 0) AS pct
         FROM (VALUES ('M', 'Malpractice (old format, pre-2004)'), ('P', 'Malpractice (new format, post-2004)'),
           ('A', 'Adverse Action (old format, pre-1999)'), ('C', 'Adverse Action (CAAR, post-1999)')) AS d(RECTYPE, label)
@@ -236,7 +236,7 @@ QUERIES = [
     ),
     Query(
         "s10_missingness_by_record_type",
-        lambda c: audit.missingness_by_record_type(c.clean, MISSINGNESS_COLUMNS, digits=4),
+        lambda c: audit.missingness_by_record_type(c.clean, MISSINGNESS_COLUMNS, digits=None),
         " UNION ALL ".join(
             f"""SELECT RECTYPE, '{c}' AS "column", count(*) - count({c}) AS missing_count,
             (count(*) - count({c})) * 100.0 / count(*) AS missing_pct FROM clean GROUP BY RECTYPE"""

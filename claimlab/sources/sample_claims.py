@@ -7,17 +7,13 @@ the same rows. `{orders}` and `{customer}` name the input tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from claimlab.schema import CLAIMS_SCHEMA
 
 STATES = "NY CA PA FL TX IL WI MN IA MI IN OH NJ MO KS GA MA WA AZ CO VA NC TN LA AK".split()
-ALLEGATION_CODES = [1, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
 
 
-def _pick(position: str, values: list) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{value}'" for i, value in enumerate(values))
-    return f"CASE {position} {arms} END"
+def _state(position: str) -> str:
+    """The state at a position of the list; all codes have two letters."""
+    return f"substr('{''.join(STATES)}', CAST(2 * {position} + 1 AS INT), 2)"
 
 
 CLAIMS_SQL = f"""
@@ -26,13 +22,13 @@ SELECT
   rectype AS RECTYPE,
   CAST(CASE WHEN k % 50 = 2 THEN 102 ELSE 301 END AS INT) AS REPTYPE,
   CAST(origyear AS INT) AS ORIGYEAR,
-  CASE WHEN k % 5 = 0 THEN NULL ELSE {_pick('si', STATES)} END AS WORKSTAT,
-  CASE WHEN k % 75 = 0 THEN NULL ELSE {_pick('nk', STATES)} END AS HOMESTAT,
-  CASE WHEN k % 25 = 0 THEN NULL ELSE lower({_pick('si', STATES)}) END AS LICNSTAT,
+  CASE WHEN k % 5 = 0 THEN NULL ELSE work_state END AS WORKSTAT,
+  CASE WHEN k % 75 = 0 THEN NULL ELSE home_state END AS HOMESTAT,
+  CASE WHEN k % 25 = 0 THEN NULL ELSE lower(work_state) END AS LICNSTAT,
   CAST(CASE cu % 7 WHEN 3 THEN 20 WHEN 4 THEN 30 WHEN 5 THEN 100 WHEN 6 THEN 603 ELSE 10 END AS INT) AS LICNFELD,
   CASE WHEN k % 31 = 0 THEN NULL ELSE CAST(20 + 10 * (cu % 6) AS VARCHAR(20)) END AS PRACTAGE,
   CAST(1960 + 10 * (cu % 6) AS VARCHAR(20)) AS GRAD,
-  CASE WHEN mal AND k % 83 <> 0 THEN {_pick('(cu + k % 2) % 11', ALLEGATION_CODES)} END AS ALGNNATR,
+  CASE WHEN mal AND k % 83 <> 0 THEN CASE WHEN (cu + k % 2) % 11 = 0 THEN '1' ELSE CAST(10 * ((cu + k % 2) % 11) AS VARCHAR(20)) END END AS ALGNNATR,
   CASE WHEN rectype = 'P' THEN CAST(1 + k % 10 AS VARCHAR(20)) END AS OUTCOME,
   CASE WHEN NOT mal OR k % 89 = 0 THEN NULL
        WHEN k % 97 = 0 THEN '3999'
@@ -65,7 +61,7 @@ SELECT
   CAST(CASE WHEN cu % 211 = 0 THEN 1 ELSE 0 END AS INT) AS NPGARPT,
   CAST(CASE WHEN cu % 301 = 0 THEN 1 ELSE 0 END AS INT) AS NPCTMRPT
 FROM (
-  SELECT *, rectype IN ('M', 'P') AS mal
+  SELECT *, rectype IN ('M', 'P') AS mal, {_state('si')} AS work_state, {_state('nk')} AS home_state
   FROM (
     SELECT *,
       CASE WHEN k % 10 = 0 THEN 'C' WHEN k % 20 = 1 THEN 'A' WHEN origyear < 2004 THEN 'M' ELSE 'P' END AS rectype
@@ -86,10 +82,8 @@ FROM (
 
 def sample_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw claims over the whole `orders` and `customer` tables of a scale-factor folder."""
-    claims = spark.sql(
+    return spark.sql(
         CLAIMS_SQL,
         orders=spark.read.parquet(f"{sf_dir}/orders.parquet"),
         customer=spark.read.parquet(f"{sf_dir}/customer.parquet"),
     )
-    raw_types = {field.name: field.dataType for field in CLAIMS_SCHEMA}
-    return claims.select(*[F.col(c).cast(raw_types[c]).alias(c) for c in claims.columns])
