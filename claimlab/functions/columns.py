@@ -13,16 +13,15 @@ from claimlab.functions.labels import CPI_FACTORS, CPI_FIRST_YEAR
 def number(text: Column) -> Column:
     """Text to double; anything that is not a plain number becomes null.
 
-    The cast also reads `nan` and Java suffixes such as `1d`, so both are rejected here.
+    The cast also reads `nan`, `infinity` and Java suffixes such as `1d`; their last letter gives them away.
     """
-    value = text.try_cast("double")
-    java_suffix = F.lower(F.substring(F.rtrim(text), -1, 1)).isin("d", "f")
-    return F.when(F.isnan(value) | java_suffix, F.lit(None)).otherwise(value)
+    last = F.lower(F.substring(F.rtrim(text), -1, 1))
+    return F.when(~last.isin("d", "f", "n", "y"), text.try_cast("double"))
 
 
 def currency(text: Column) -> Column:
     """Dollar text such as `$1,234` to double; blank and unreadable text become null."""
-    return number(F.regexp_replace(text, "[$,]", ""))
+    return number(F.translate(text, "$,", ""))
 
 
 def coded_integer(value: Column, is_text: bool, target: str = "int") -> Column:
@@ -64,22 +63,21 @@ def positive_log(amount: Column, base10: bool = False) -> Column:
 
 
 def bin_left_closed(value: Column, edges: list[float], labels: list[str]) -> Column:
-    """Label of the `[a, b)` bin; the last bin is open above."""
-    return _bins(value, edges, labels, lambda low, high: (value >= low) & (value < high), lambda low: value >= low)
+    """Label of the `[a, b)` bin; the last bin is open above, values below the lowest edge are null."""
+    return _bins(value < edges[0], [value < edge for edge in edges[1:]], value, labels)
 
 
 def bin_right_closed(value: Column, edges: list[float], labels: list[str]) -> Column:
-    """Label of the `(a, b]` bin; values at or below the lowest edge are null."""
-    return _bins(value, edges, labels, lambda low, high: (value > low) & (value <= high), lambda low: value > low)
+    """Label of the `(a, b]` bin; the last bin is open above, values at or below the lowest edge are null."""
+    return _bins(value <= edges[0], [value <= edge for edge in edges[1:]], value, labels)
 
 
-def _bins(value, edges, labels, inside, above) -> Column:
-    uppers = list(edges[1:]) + [None] * (len(labels) - len(edges) + 1)
-    tests = [
-        F.when(above(F.lit(low)) if high is None else inside(F.lit(low), F.lit(high)), F.lit(label))
-        for low, high, label in zip(edges, uppers, labels)
-    ]
-    return F.coalesce(*tests)
+def _bins(below: Column, ends: list[Column], value: Column, labels: list[str]) -> Column:
+    """One chain of tests from the lowest bin up, so each edge is compared once."""
+    chain = F.when(value.isNull() | below, F.lit(None))
+    for end, label in zip(ends, labels):
+        chain = chain.when(end, F.lit(label))
+    return chain.otherwise(F.lit(labels[len(ends)]))
 
 
 def top_code(value: Column, limit: int) -> Column:

@@ -5,10 +5,13 @@ The windows here run over summary tables (one row per code, period or state), ne
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-WHOLE_TABLE = Window.partitionBy(F.lit(0))
+
+def whole_table() -> WindowSpec:
+    """Window over all rows of a summary table."""
+    return Window.partitionBy(F.lit(0))
 
 
 def rounded(value: Column, digits: int | None) -> Column:
@@ -22,7 +25,7 @@ def percent(part: Column, whole: Column, digits: int | None = 2) -> Column:
 
 def share_of_total(column: str, digits: int | None = 2) -> Column:
     """Percentage of a summary column's grand total."""
-    return percent(F.col(column), F.sum(column).over(WHOLE_TABLE), digits)
+    return percent(F.col(column), F.sum(column).over(whole_table()), digits)
 
 
 def share_within(column: str, parents: list[str], digits: int | None = 2) -> Column:
@@ -48,19 +51,19 @@ def metric_table(one_row: DataFrame, columns: list[str] | None = None) -> DataFr
 def running_share(column: str, order: str | list[str], digits: int | None = 2) -> Column:
     """Running total of a percentage column in label order."""
     order = [order] if isinstance(order, str) else order
-    value = F.sum(column).over(WHOLE_TABLE.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    value = F.sum(column).over(whole_table().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rounded(value, digits)
 
 
 def year_over_year(column: str, year: str) -> Column:
     """Percentage change from the preceding row in year order."""
-    before = F.lag(column).over(WHOLE_TABLE.orderBy(year))
+    before = F.lag(column).over(whole_table().orderBy(year))
     return (F.try_divide(F.col(column), before) - 1) * 100
 
 
 def centred_average(column: str, order: str, reach: int = 2) -> Column:
     """Moving average over 2·reach+1 rows; null unless all of them have a value."""
-    frame = WHOLE_TABLE.orderBy(order).rowsBetween(-reach, reach)
+    frame = whole_table().orderBy(order).rowsBetween(-reach, reach)
     return F.when(F.count(column).over(frame) == 2 * reach + 1, F.avg(column).over(frame))
 
 

@@ -86,7 +86,7 @@ def record_class_breakdown(df: DataFrame, digits: int | None = 1) -> DataFrame:
     """Counts of the known record classes; a class without rows is listed with zero."""
     classes = df.sparkSession.createDataFrame(list(RECORD_CLASSES.items()), "RECTYPE string, label string")
     counts = df.groupBy("RECTYPE").agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(S.WHOLE_TABLE)
+    total = F.sum("count").over(S.whole_table())
     counts = counts.withColumn("pct", S.percent(F.col("count"), total, digits))
     return classes.join(counts, "RECTYPE", "left").select(
         "RECTYPE",

@@ -10,7 +10,8 @@ bucket from a fixed monotone function, so that
 2. only the cells of those buckets are put in order, one task per (group, bucket).
 
 No step gathers a whole group, and every step is exact. The cells are one aggregate with a single
-count, so the branches that read them share one exchange and the input is scanned once.
+count, so the branches that read them share one exchange and the input is scanned once. That holds as
+long as every branch needs the count: ask only for measures and quantiles that are used downstream.
 """
 
 from __future__ import annotations
@@ -182,6 +183,8 @@ def stats_of_cells(
     columns = [column.alias(name) for name, column in measures.items()]
     if not quantiles:
         return cells.groupBy(*keys).agg(*columns)
+    if not measures:
+        return cell_quantiles(cells, keys, quantiles)
     both = cells.unionByName(cell_quantiles(cells, keys, quantiles), allowMissingColumns=True)
     return both.groupBy(*keys).agg(*columns, *[F.max(name).alias(name) for name in quantiles])
 

@@ -35,7 +35,7 @@ def describe(df: DataFrame, column: str, percentiles: list[float] = DESCRIBE_PER
 def percentile_table(df: DataFrame, columns: list[str], points: list[float] = TABLE_PERCENTILES) -> DataFrame:
     """Percentiles of several columns side by side, from one set of cells."""
     long = df.unpivot([], columns, "column", "value")
-    stats = C.group_stats(long, ["column"], "value", {"_n": C.rows()}, {f"p{i}": p / 100 for i, p in enumerate(points)})
+    stats = C.group_stats(long, ["column"], "value", {}, {f"p{i}": p / 100 for i, p in enumerate(points)})
     by_point = F.array(*[F.struct(F.lit(float(p)).alias("percentile"), F.col(f"p{i}").alias("value")) for i, p in enumerate(points)])
     return (
         stats.select("column", F.inline(by_point))
@@ -69,24 +69,27 @@ def centre_and_spread(df: DataFrame, column: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 100, cap: float | None = None, log10: bool = False) -> DataFrame:
     """Equal-width bins from minimum to maximum, every bin listed; optionally capped at a quantile or on log scale.
 
-    The cap and the range are single values, read as scalar subqueries over the shared cells.
+    The cap and the range are single rows, read as scalar subqueries over the shared cells. Values above
+    the cap get no bin instead of being filtered, which would give each branch a scan of its own.
     """
     cells = C.amount_cells(df, [], column)
     if log10:
         cells = cells.withColumn(C.VALUE, X.positive_log(F.col(C.VALUE), base10=True))
-    kept = cells.filter(F.col(C.VALUE).isNotNull())
+    value = F.col(C.VALUE)
     if cap is not None:
-        kept = kept.filter(F.col(C.VALUE) <= C.cell_quantiles(cells, [], {"cap": cap}).scalar())
-    low = kept.agg(F.min(C.VALUE)).scalar()
-    high = kept.agg(F.max(C.VALUE)).scalar()
-    ranged = kept.withColumns({"_low": low, "_high": high})
-    position = F.floor((F.col(C.VALUE) - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)
-    placed = ranged.select(
-        F.when(F.col("_high") > F.col("_low"), F.least(position, F.lit(bins - 1))).otherwise(0).alias("bin"), C.ROWS
-    )
-    counts = placed.groupBy("bin").agg(F.sum(C.ROWS).alias("count"))
+        value = F.when(value <= C.cell_quantiles(cells, [], {"cap": cap}).scalar(), value)
+    # Reading the row count keeps this subquery on the shared cells.
+    extent = F.struct(F.min(value).alias("low"), F.max(value).alias("high"), F.sum(C.ROWS).alias("rows"))
+    ranged = cells.select(value.alias("_kept"), C.ROWS, cells.agg(extent).scalar().alias("_extent"))
+    low, high = F.col("_extent.low"), F.col("_extent.high")
+    position = F.floor(F.try_divide(F.col("_kept") - low, high - low) * bins)
+    in_range = F.when(high > low, F.least(position, F.lit(bins - 1))).otherwise(0)
+    placed = F.when(F.col("_kept").isNotNull(), in_range)
+    counts = ranged.groupBy(placed.alias("_bin")).agg(F.sum(C.ROWS).alias("count"))
     every_bin = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    return every_bin.join(counts, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).alias("count"))
+    # Null-safe, so that no "bin is not null" filter is pushed under the cells.
+    joined = every_bin.join(counts, F.col("bin").eqNullSafe(F.col("_bin")), "left")
+    return joined.select("bin", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def year_histogram(df: DataFrame, column: str = "LAG_YEARS", first: int = 0, last: int = 34) -> DataFrame:
@@ -100,14 +103,15 @@ def year_histogram(df: DataFrame, column: str = "LAG_YEARS", first: int = 0, las
 def box_plot(df: DataFrame, group: str, column: str) -> DataFrame:
     """Quartiles and 1.5-IQR whiskers per group, highest median first."""
     cells = C.amount_cells(df.filter(F.col(group).isNotNull()), [group], column)
-    quartiles = C.stats_of_cells(cells, [group], {"count": C.valued()}, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quartiles = C.cell_quantiles(cells, [group], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(C.VALUE).between(F.col("q1") - reach, F.col("q3") + reach)
-    # Only the extremes inside the fences are wanted, so cells meet the small quartile table and shrink at once.
+    # Cells meet the small quartile table and shrink at once to one row per group.
     whiskers = (
         cells.join(quartiles, group)
-        .groupBy(group, "count", "q1", "median", "q3")
+        .groupBy(group, "q1", "median", "q3")
         .agg(
+            C.valued().alias("count"),
             F.min(F.when(inside, F.col(C.VALUE))).alias("lower_whisker"),
             F.max(F.when(inside, F.col(C.VALUE))).alias("upper_whisker"),
         )
@@ -123,7 +127,7 @@ def median_by_allegation_and_severity(df: DataFrame) -> DataFrame:
             "outcome": L.lookup(F.col("OUTCOME"), L.OUTCOMES_SHORT, "Unknown"),
         }
     )
-    cells = C.group_stats(known, ["allegation", "outcome"], "PAYMENT", {"_n": C.rows()}, {"median": 0.5})
+    cells = C.group_stats(known, ["allegation", "outcome"], "PAYMENT", {}, {"median": 0.5})
     columns = [*L.OUTCOMES_SHORT.values(), "Unknown"]
     return pivot_summary(cells, "allegation", "outcome", "median", columns)
 
@@ -167,22 +171,21 @@ def exceedance_curve(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def rank_sums(df: DataFrame, column: str, first: Column, second: Column) -> DataFrame:
-    """Sizes, U statistic of the first group, and tie term, from counts per distinct value.
+def rank_sums(cells: DataFrame, first: Column, second: Column) -> DataFrame:
+    """Sizes, U statistic of the first group, and tie term, from cells that carry the group.
 
     A value of the first group beats every smaller value of the second and half of the equal ones, so
     counts and running counts are enough; neither group is ever sorted as a whole.
     """
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias(C.VALUE))
-        .agg(F.count_if(first).alias("_a"), F.count_if(second).alias("_b"))
+    known = F.col(C.VALUE).isNotNull()
+    counts = cells.groupBy(C.VALUE).agg(
+        C.rows_where(first & known).alias("_a"), C.rows_where(second & known).alias("_b")
     )
-    ranked = C.running_totals(counts, ["_b"])
+    ranked = C.running_totals(counts, ["_a", "_b"])
     tied = (F.col("_a") + F.col("_b")).cast("double")
     return ranked.agg(
-        F.coalesce(F.sum("_a"), F.lit(0)).alias("n_1"),
-        F.coalesce(F.sum("_b"), F.lit(0)).alias("n_2"),
+        F.coalesce(F.max("_a_all"), F.lit(0)).alias("n_1"),
+        F.coalesce(F.max("_b_all"), F.lit(0)).alias("n_2"),
         F.sum(F.col("_a") * (F.col("_b_before") + F.col("_b") / F.lit(2.0))).alias("u_1"),
         F.sum(tied * tied * tied - tied).alias("tie_term"),
     )
@@ -194,7 +197,8 @@ def mann_whitney(df: DataFrame, column: str = "PAYMENT") -> DataFrame:
     Reports need a payment type and an amount. Without both groups the statistics are null.
     """
     frame = FT.complete_cases(df, ["PAYTYPE", column]).withColumn("_judgment", F.col("PAYTYPE_STR") == "J")
-    sums = rank_sums(frame, column, ~F.col("_judgment"), F.col("_judgment"))
+    cells = C.amount_cells(frame, ["_judgment"], column)
+    sums = rank_sums(cells, ~F.col("_judgment"), F.col("_judgment"))
     n1, n2 = F.col("n_1").cast("double"), F.col("n_2").cast("double")
     n = n1 + n2
     variance = n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("tie_term"), n * (n - 1)))
@@ -205,8 +209,8 @@ def mann_whitney(df: DataFrame, column: str = "PAYMENT") -> DataFrame:
         F.col("n_2").alias("judgment_n"),
         F.when(both, F.col("u_1")).alias("u_statistic"),
         F.when(both & (variance > 0), F.greatest(distance, F.lit(0.0)) / F.sqrt(variance)).alias("z"),
-    ).withColumn("p_value", F.least(X.normal_tail(F.col("z")), F.lit(1.0)))
-    medians = C.group_stats(frame, ["_judgment"], column, {"_n": C.rows()}, {"_median": 0.5}).select(
+    ).withColumn("p_value", F.when(F.col("z").isNotNull(), F.least(X.normal_tail(F.col("z")), F.lit(1.0))))
+    medians = C.cell_quantiles(cells, ["_judgment"], {"_median": 0.5}).select(
         F.when(~F.col("_judgment"), F.col("_median")).alias("settlement_median"),
         F.when(F.col("_judgment"), F.col("_median")).alias("judgment_median"),
     )
@@ -225,7 +229,11 @@ def bracket_comparison(df: DataFrame, digits: int | None = 2) -> DataFrame:
         [(i, label) for i, label in enumerate(FT.BRACKET_LABELS)], "bracket_ord int, bracket string"
     )
     sides = ["settlement", "judgment"]
-    table = dim.join(counts, "bracket", "left").na.fill(0, [f"{s}_count" for s in sides])
+    # Null-safe on purpose: a plain equality would push "bracket is not null", with the whole amount
+    # expression in every arm, down to the scan.
+    counts = counts.withColumnRenamed("bracket", "_bracket")
+    table = dim.join(counts, F.col("bracket").eqNullSafe(F.col("_bracket")), "left").drop("_bracket")
+    table = table.na.fill(0, [f"{s}_count" for s in sides])
     table = table.withColumns({f"{s}_pct": S.share_of_total(f"{s}_count", digits) for s in sides})
     return table.withColumns(
         {f"{s}_cumulative_pct": S.running_share(f"{s}_pct", "bracket_ord", digits) for s in sides}

@@ -60,10 +60,14 @@ def lag_frame(df: DataFrame) -> DataFrame:
     return df.filter(F.col("VALID_LAG") & F.col("LAG_YEARS").isNotNull())
 
 
+def is_test_row(test_share: float = TEST_SHARE) -> Column:
+    """Whether a hash of the record id puts a row into the test part."""
+    return X.row_bucket(F.col("SEQNO")) < test_share
+
+
 def split_rows(df: DataFrame, test_share: float = TEST_SHARE) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by a hash of the record id: repeatable, without a shuffle, alike in every class."""
-    bucket = X.row_bucket(F.col("SEQNO"))
-    return df.filter(bucket >= test_share), df.filter(bucket < test_share)
+    return df.filter(~is_test_row(test_share)), df.filter(is_test_row(test_share))
 
 
 # Regressions -----------------------------------------------------------------------------------

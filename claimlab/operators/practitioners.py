@@ -6,7 +6,7 @@ the map side; the second sees at most one row per code, so a practitioner with v
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlab.functions import columns as X
@@ -24,11 +24,15 @@ def _partial(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-_RECORDS = F.sum("_rows")
-_TOTAL = F.coalesce(F.sum("_paid"), F.lit(0.0))
-_MEAN = F.try_divide(F.sum("_paid"), F.sum("_paid_rows"))
-_FIRST = F.min("_first")
-_LAST = F.max("_last")
+def _totals(records: str, total: str, mean: str) -> list[Column]:
+    """Practitioner-level measures from the partial rows, under the caller's names."""
+    return [
+        F.sum("_rows").alias(records),
+        F.coalesce(F.sum("_paid"), F.lit(0.0)).alias(total),
+        F.try_divide(F.sum("_paid"), F.sum("_paid_rows")).alias(mean),
+        F.min("_first").alias("min_year"),
+        F.max("_last").alias("max_year"),
+    ]
 
 
 def state_mobility(df: DataFrame) -> DataFrame:
@@ -38,11 +42,7 @@ def state_mobility(df: DataFrame) -> DataFrame:
         parts.groupBy("PRACTNUM")
         .agg(
             F.count("STATE").alias("unique_states"),
-            _RECORDS.alias("record_count"),
-            _TOTAL.alias("total_payment_adj"),
-            _MEAN.alias("mean_payment_adj"),
-            _FIRST.alias("min_year"),
-            _LAST.alias("max_year"),
+            *_totals("record_count", "total_payment_adj", "mean_payment_adj"),
         )
         .withColumns(
             {
@@ -123,11 +123,7 @@ def multi_payment_profile(df: DataFrame, digits: int | None = 2) -> DataFrame:
         _partial(frame, ["PRACTNUM", "STATE"])
         .groupBy("PRACTNUM")
         .agg(
-            _RECORDS.alias("report_count"),
-            _TOTAL.alias("total_payment_adj"),
-            _MEAN.alias("mean_payment_adj"),
-            _FIRST.alias("min_year"),
-            _LAST.alias("max_year"),
+            *_totals("report_count", "total_payment_adj", "mean_payment_adj"),
             F.count("STATE").alias("state_count"),
         )
         .withColumns(
@@ -172,13 +168,9 @@ def allegation_diversity(df: DataFrame) -> DataFrame:
     return (
         parts.groupBy("PRACTNUM")
         .agg(
-            _RECORDS.alias("total_records"),
             F.array_sort(F.collect_set("ALGNNATR")).alias("allegation_list"),
             F.size(F.collect_set("STATE")).cast("long").alias("unique_states"),
-            _TOTAL.alias("total_payment"),
-            _MEAN.alias("mean_payment"),
-            _FIRST.alias("min_year"),
-            _LAST.alias("max_year"),
+            *_totals("total_records", "total_payment", "mean_payment"),
         )
         .withColumn("unique_allegations", F.size("allegation_list").cast("long"))
         .withColumns(

@@ -15,7 +15,10 @@ from claimlab.schema import CATASTROPHIC_AMOUNT, PEER_STATES
 FLAGS = ["CATASTROPHIC", "IS_JUDGMENT"]
 
 
-def _payment_stats(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
+MEDIAN = {"median_payment_adj": 0.5}
+
+
+def _payment_stats(df: DataFrame, keys: list[str], amount: str, median: bool = True) -> DataFrame:
     """Count, mean, median, total and the two flag shares (fractions) per group."""
     measures = {
         "count": C.rows(),
@@ -24,14 +27,13 @@ def _payment_stats(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
         "catastrophic_share": C.share("CATASTROPHIC"),
         "judgment_share": C.share("IS_JUDGMENT"),
     }
-    return C.group_stats(df, keys, amount, measures, {"median_payment_adj": 0.5}, FLAGS)
+    return C.group_stats(df, keys, amount, measures, MEDIAN if median else None, FLAGS)
 
 
 def _with_dollar_shares(summary: DataFrame, digits: int | None, flags_as_percent: bool) -> DataFrame:
-    out = {
-        "pct_of_total_dollars": S.share_of_total("total_payment_adj", digits),
-        "mean_to_median_ratio": S.ratio("mean_payment_adj", "median_payment_adj", digits),
-    }
+    out = {"pct_of_total_dollars": S.share_of_total("total_payment_adj", digits)}
+    if "median_payment_adj" in summary.columns:
+        out["mean_to_median_ratio"] = S.ratio("mean_payment_adj", "median_payment_adj", digits)
     if flags_as_percent:
         out |= {f: S.rounded(F.col(f) * 100, digits) for f in ("catastrophic_share", "judgment_share")}
     return summary.withColumns(out)
@@ -50,9 +52,10 @@ def state_period_mode_summary(
     mode: str = "PAYMENT_MODE",
     amount: str = "PAYMENT_ADJ",
     digits: int | None = 2,
+    median: bool = True,
 ) -> DataFrame:
-    """Payment statistics per state, period and payment mode."""
-    summary = _payment_stats(df, [state, period, mode], amount).withColumn(
+    """Payment statistics per state, period and payment mode; `median=False` saves the ordering work."""
+    summary = _payment_stats(df, [state, period, mode], amount, median).withColumn(
         "pct_within_state_period", S.share_within("count", [state, period], digits)
     )
     return _with_dollar_shares(summary, digits, True).orderBy(state, period, mode)
@@ -69,12 +72,12 @@ def peer_state_comparison(
     period: str = "PERIOD_10Y",
     amount: str = "PAYMENT_ADJ",
     digits: int | None = 2,
+    median: bool = True,
 ) -> DataFrame:
     """Statistics per peer state and period. Flag shares are fractions here, unlike the other summaries."""
     peers = df.filter(F.col("STATE").isin(states))
-    return _with_dollar_shares(_payment_stats(peers, ["STATE", period], amount), digits, False).orderBy(
-        "STATE", period
-    )
+    stats = _payment_stats(peers, ["STATE", period], amount, median)
+    return _with_dollar_shares(stats, digits, False).orderBy("STATE", period)
 
 
 def extract_states(summary: DataFrame, states: list[str]) -> DataFrame:
@@ -84,7 +87,7 @@ def extract_states(summary: DataFrame, states: list[str]) -> DataFrame:
 
 def latest_period_skew(peer_summary: DataFrame, period: str = "PERIOD_10Y") -> DataFrame:
     """Mean-to-median ratio per peer state in the latest period, least skewed first."""
-    latest = F.max(period).over(S.WHOLE_TABLE)
+    latest = F.max(period).over(S.whole_table())
     return (
         peer_summary.withColumn("_latest", latest)
         .filter(F.col(period) == F.col("_latest"))
@@ -118,14 +121,14 @@ def state_period_rollup(state_period_mode: DataFrame) -> DataFrame:
     )
 
 
-def resolution_by_state(df: DataFrame, digits: int | None = 2) -> DataFrame:
+def resolution_by_state(df: DataFrame, digits: int | None = 2, median: bool = True) -> DataFrame:
     known = df.filter(F.col("STATE").isNotNull())
     stats = C.group_stats(
         known,
         ["STATE", "RESOLUTION_BINARY"],
         "PAYMENT_ADJ",
         {"count": C.rows(), "mean_payment_adj": C.mean(), "total_payment_adj": C.total()},
-        {"median_payment_adj": 0.5},
+        MEDIAN if median else None,
     )
     return stats.withColumn("pct_within_state", S.share_within("count", ["STATE"], digits)).orderBy(
         "STATE", "RESOLUTION_BINARY"
@@ -365,12 +368,9 @@ def catastrophic_profile(df: DataFrame, states: int = 10, allegations: int = 8)
         .agg(F.count(F.lit(1)).alias("count"))
         .withColumn("pct", S.share_within("count", ["dimension"], None))
     )
-    parts = [
-        S.top_rows(counts.filter(F.col("dimension") == "state"), states, "count", ["label"]),
-        S.top_rows(counts.filter(F.col("dimension") == "allegation"), allegations, "count", ["label"]),
-        counts.filter(F.col("dimension") == "outcome"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("count").desc(), "label"))
+    kept = F.when(F.col("dimension") == "state", states).when(F.col("dimension") == "allegation", allegations)
+    return counts.withColumn("_place", place).filter(kept.isNull() | (F.col("_place") <= kept)).drop("_place")
 
 
 # Incident-to-report lag ------------------------------------------------------------------------

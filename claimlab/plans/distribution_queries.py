@@ -67,9 +67,8 @@ _BUCKET_SQL = "CAST(SEQNO % 2147483648 AS BIGINT) * 2654435761 % 4294967296 / 42
 
 
 def _split_counts(c):
-    train, test = M.split_rows(c.new)
-    parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-    return parts.groupBy("part", "CATASTROPHIC").agg(F.count(F.lit(1)).alias("rows"))
+    part = F.when(M.is_test_row(), "test").otherwise("train")
+    return c.new.groupBy(part.alias("part"), "CATASTROPHIC").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _severity_score(c):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlab.functions import columns as X
@@ -65,7 +68,8 @@ def _csv_round_trip(c):
     return parse_claims_lines(lines, "line", schema).select("SEQNO", "RECTYPE", "ORIGYEAR", "PAYMENT", "TOTALPMT", "PRACTNUM")
 
 
-def _cohort_counts(c):
+def _cohort_rows(c):
+    """Rows of each cohort filter, tagged."""
     cohorts = {
         "payment": features.payment_records(c.clean),
         "new_format": features.new_format_records(c.clean),
@@ -73,14 +77,11 @@ def _cohort_counts(c):
         "adverse": features.adverse_records(c.clean),
     }
     tagged = [df.select(F.lit(name).alias("cohort"), "SEQNO") for name, df in cohorts.items()]
-    out = tagged[0]
-    for other in tagged[1:]:
-        out = out.unionByName(other)
-    return out.groupBy("cohort").agg(F.count(F.lit(1)).alias("rows"), F.sum("SEQNO").alias("seqno_sum"))
+    return reduce(DataFrame.unionByName, tagged)
 
 
 _COHORT_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS cohort, count(*) AS rows, CAST(sum(SEQNO) AS BIGINT) AS seqno_sum FROM clean WHERE RECTYPE IN ({types})"
+    f"SELECT '{name}' AS cohort, SEQNO FROM clean WHERE RECTYPE IN ({types})"
     for name, types in [
         ("payment", "'M', 'P'"), ("new_format", "'P'"), ("old_format", "'M'"), ("adverse", "'A', 'C'"),
     ]
@@ -348,7 +349,7 @@ QUERIES = [
         """SELECT SEQNO, CASE WHEN SEQNO % 3 = 1 THEN 'USA' END AS WORKCTRY,
         CASE WHEN SEQNO % 4 <> 0 THEN 'CANADA' END AS HOMECTRY FROM claims""",
     ),
-    Query("f01_cohorts", _cohort_counts, _COHORT_SQL),
+    Query("f01_cohorts", _cohort_rows, _COHORT_SQL),
     Query(
         "f02_state",
         lambda c: features.with_state(c.clean).select("SEQNO", "STATE"),

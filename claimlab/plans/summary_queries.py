@@ -182,7 +182,7 @@ QUERIES = [
     ),
     Query(
         "a08_state_period_rollup",
-        lambda c: A.state_period_rollup(A.state_period_mode_summary(c.new, digits=None)),
+        lambda c: A.state_period_rollup(A.state_period_mode_summary(c.new, digits=None, median=False)),
         """SELECT STATE, PERIOD_10Y, CAST(sum(count) AS BIGINT) AS total_count, avg(mean_payment_adj) AS avg_mean_payment_adj,
         avg(catastrophic_share) * 100 AS avg_catastrophic_share
         FROM (SELECT STATE, PERIOD_10Y, PAYMENT_MODE, count(*) AS count, avg(PAYMENT_ADJ) AS mean_payment_adj,
@@ -271,16 +271,18 @@ QUERIES = [
     ),
     Query(
         "f21_label_predicates",
-        lambda c: A.injury_only(A.severity_amounts(c.feat)).select("outcome_label", "severity_order", "count"),
-        f"""SELECT {case_sql('OUTCOME', L.OUTCOMES_LONG)} AS outcome_label, OUTCOME AS severity_order, count(*) AS count
-        FROM feat WHERE OUTCOME BETWEEN 1 AND 9 GROUP BY OUTCOME""",
+        lambda c: A.injury_only(A.severity_amounts(c.feat)),
+        f"""SELECT {case_sql('OUTCOME', L.OUTCOMES_LONG)} AS outcome_label, OUTCOME AS severity_order, * EXCLUDE (OUTCOME)
+        FROM ({_amounts_sql('OUTCOME', extra=', quantile_cont(PAYMENT, 0.75) AS p75, quantile_cont(PAYMENT, 0.95) AS p95')}) AS s
+        WHERE OUTCOME BETWEEN 1 AND 9""",
+        r4="mean median p75 p95",
     ),
     Query(
         "f24_minimum_sample",
-        lambda c: A.state_amounts(c.feat).filter(F.col("count") >= 500).select("STATE", "count", "mean"),
-        """SELECT STATE, count(*) AS count, avg(PAYMENT) AS mean FROM feat WHERE STATE IS NOT NULL
-        GROUP BY STATE HAVING count(*) >= 500""",
-        r4="mean",
+        lambda c: A.state_amounts(c.feat).filter(F.col("count") >= 500),
+        f"SELECT * FROM ({_amounts_sql('STATE', extra=SPREAD)}) AS s WHERE count >= 500",
+        r4="mean median p95",
+        r2="total std max_payment",
     ),
     Query(
         "a18_patient_sex_amounts",
@@ -483,7 +485,7 @@ QUERIES = [
     ),
     Query(
         "a42_judgment_premium",
-        lambda c: A.judgment_premium(A.resolution_by_state(c.feat), minimum=300),
+        lambda c: A.judgment_premium(A.resolution_by_state(c.feat, median=False), minimum=300),
         """SELECT STATE, avg(PAYMENT_ADJ) FILTER (WHERE RESOLUTION_BINARY = 'Judgment')
           / avg(PAYMENT_ADJ) FILTER (WHERE RESOLUTION_BINARY = 'Settlement/Non-Judgment') AS judgment_premium_ratio
         FROM feat WHERE STATE IS NOT NULL GROUP BY STATE HAVING count(*) >= 300
@@ -556,12 +558,11 @@ QUERIES = [
     ),
     Query(
         "w07_top_states_by_mean",
-        lambda c: S.top_rows(A.state_amounts(c.feat).filter(F.col("count") >= 100), 20, "mean", ["STATE"]).select(
-            "STATE", "count", "mean"
-        ),
-        """SELECT STATE, count(*) AS count, avg(PAYMENT) AS mean FROM feat WHERE STATE IS NOT NULL GROUP BY STATE
-        HAVING count(*) >= 100 ORDER BY avg(PAYMENT) DESC, STATE LIMIT 20""",
-        r4="mean",
+        lambda c: S.top_rows(A.state_amounts(c.feat).filter(F.col("count") >= 100), 20, "mean", ["STATE"]),
+        f"""SELECT * FROM ({_amounts_sql('STATE', extra=SPREAD)}) AS s WHERE count >= 100
+        ORDER BY mean DESC, STATE LIMIT 20""",
+        r4="mean median p95",
+        r2="total std max_payment",
     ),
     Query(
         "w09_rows_of_top_groups",
@@ -579,7 +580,7 @@ QUERIES = [
     # Joins
     Query(
         "j02_join_parent_totals",
-        lambda c: A.with_state_totals(A.resolution_by_state(c.feat), None).select(
+        lambda c: A.with_state_totals(A.resolution_by_state(c.feat, median=False), None).select(
             "STATE", "RESOLUTION_BINARY", "count", "state_total", "pct_of_state"
         ),
         f"""SELECT STATE, RESOLUTION_BINARY, count, CAST(sum(count) OVER (PARTITION BY STATE) AS BIGINT) AS state_total,
@@ -620,7 +621,7 @@ QUERIES = [
     Query(
         "d08_pivot_peer_periods",
         lambda c: pivot_summary(
-            A.peer_state_comparison(c.feat), "STATE", "PERIOD_10Y", "mean_payment_adj", DECADES
+            A.peer_state_comparison(c.feat, median=False), "STATE", "PERIOD_10Y", "mean_payment_adj", DECADES
         ),
         f"""PIVOT (SELECT STATE, PERIOD_10Y, mean_payment_adj FROM ({PEER_SQL}) AS p)
         ON PERIOD_10Y IN ({', '.join(repr(d) for d in DECADES)}) USING first(mean_payment_adj) GROUP BY STATE""",
