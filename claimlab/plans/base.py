@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +44,12 @@ class Claims:
         return linkage.with_best_total(self.feat)
 
 
+@lru_cache(maxsize=8)
+def claims_of(spark: SparkSession, sf_dir: str) -> Claims:
+    """The stages of one folder, built once per session. They are plans, so no data is kept."""
+    return Claims(spark, sf_dir)
+
+
 @dataclass(frozen=True)
 class Query:
     """`r4` and `r2` name the double columns compared at 4 and 2 decimals (engines add in different orders).
@@ -59,7 +65,7 @@ class Query:
     r2: str = ""
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = self.build(Claims(spark, sf_dir))
+        result = self.build(claims_of(spark, sf_dir))
         rounded = {
             c: F.round(F.col(f"`{c}`").cast("double") + F.lit(offset), digits)
             for names, digits, offset in self._rounding()
