@@ -179,7 +179,7 @@ def single_multiple_comparison(df: DataFrame, digits: int | None = 2) -> DataFra
     ).orderBy(F.col("count").desc())
 
 
-def annual_trend(df: DataFrame) -> DataFrame:
+def annual_trend(df: DataFrame, median: bool = True) -> DataFrame:
     """Count and totals, means, medians per report year, nominal and adjusted.
 
     The inflation factor is fixed within a year, so adjusted statistics are the nominal ones times it.
@@ -189,16 +189,16 @@ def annual_trend(df: DataFrame) -> DataFrame:
         ["ORIGYEAR"],
         "PAYMENT",
         {"count": C.rows(), "total_nominal": C.total(), "mean_nominal": C.mean()},
-        {"median_nominal": 0.5},
+        {"median_nominal": 0.5} if median else None,
     )
     factor = X.cpi_factor(F.col("ORIGYEAR"))
-    return nominal.withColumns(
-        {
-            "total_adj": F.coalesce(F.col("total_nominal") * factor, F.lit(0.0)),
-            "mean_adj": F.col("mean_nominal") * factor,
-            "median_adj": F.col("median_nominal") * factor,
-        }
-    ).orderBy("ORIGYEAR")
+    adjusted = {
+        "total_adj": F.coalesce(F.col("total_nominal") * factor, F.lit(0.0)),
+        "mean_adj": F.col("mean_nominal") * factor,
+    }
+    if median:
+        adjusted["median_adj"] = F.col("median_nominal") * factor
+    return nominal.withColumns(adjusted).orderBy("ORIGYEAR")
 
 
 def annual_changes(trend: DataFrame) -> DataFrame:

@@ -533,7 +533,7 @@ QUERIES = [
     ),
     Query(
         "w03_annual_changes",
-        lambda c: A.annual_changes(A.annual_trend(c.feat)),
+        lambda c: A.annual_changes(A.annual_trend(c.feat, median=False)),
         f"""SELECT ORIGYEAR, (count * 1.0 / lag(count) OVER (ORDER BY ORIGYEAR) - 1) * 100 AS pct_chg_count,
         (mean_adj / lag(mean_adj) OVER (ORDER BY ORIGYEAR) - 1) * 100 AS pct_chg_mean_adj FROM ({ANNUAL_SQL}) AS t""",
         r4="pct_chg_count pct_chg_mean_adj",
