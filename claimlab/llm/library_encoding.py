@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 
 # Pieces in each of the two generations that are remembered.
-MEMORY = 250_000
+MEMORY = 400_000
 # Characters that go to the library in one call.
 CALL_CHARS = 2_000
 
@@ -63,9 +63,12 @@ class Recent:
 
 
 class PieceEncoder:
-    def __init__(self, encode_one: Callable, encode_many: Callable, keeps_space: bool, limit: int = MEMORY):
-        """`encode_one` gives the ids of a string as bytes, `encode_many` those of several pieces."""
-        self.keeps_space, self.encode_one, self.encode_many = keeps_space, encode_one, encode_many
+    def __init__(
+        self, encode_one: Callable, encode_many: Callable, encode_heads: Callable, keeps_space: bool, limit: int = MEMORY
+    ):
+        """`encode_one` gives the ids of a string as bytes, the others those of several pieces within or before a line."""
+        self.encode_one, self.encode_many, self.encode_heads = encode_one, encode_many, encode_heads
+        self.keeps_space = keeps_space
         self.first = Recent(limit // 4)
         self.rest = Recent(limit)
         self.mark = {c: encode_one(c) for c in ".,"}
@@ -91,7 +94,7 @@ class PieceEncoder:
             t if t and _MEETING.search(t) else [line.split(" ") for line in t.split("\n")] if t else [] for t in texts
         ]
         lists = [line for lines in split if isinstance(lines, list) for line in lines]
-        self._learn(self.first, (line[0] for line in lists), lambda pieces: map(self.encode_one, pieces))
+        self._learn(self.first, (line[0] for line in lists), self.encode_heads)
         self._learn(self.rest, chain.from_iterable(line[1:] for line in lists), self.encode_many)
         first, rest = self.first.new.__getitem__, self.rest.new.__getitem__
         for lines in split:
@@ -136,38 +139,59 @@ def library_encoder(library) -> PieceEncoder:
     begins = np.zeros(size, dtype=bool)
     if keeps_space:
         begins[[i for token, i in library.get_vocab().items() if token.startswith("Ġ")]] = True
-    separator = ids_of(_SEPARATOR)
-    splits_well = keeps_space or len(separator) == 1
-
-    def encode_many(pieces: list[str]) -> Iterator[bytes]:
+    def separately(pieces: list[str], mark: str, before: str, cut: Callable) -> Iterator[bytes]:
+        """Calls `cut` for some pieces at a time; those that could run into their neighbours go alone."""
         held: list[str] = []
         chars = 0
         results: dict[str, bytes] = {}
         for piece in pieces:
-            if not splits_well or not piece or _SEPARATOR in piece or piece.strip() != piece:
-                results[piece] = encode_one(" " + piece if keeps_space else piece)
+            if not piece or mark in piece or piece.strip() != piece:
+                results[piece] = encode_one(before + piece)
                 continue
             held.append(piece)
             chars += len(piece)
             if chars >= CALL_CHARS:
-                results.update(zip(held, together(held)))
+                results.update(zip(held, cut(held)))
                 held, chars = [], 0
         if held:
-            results.update(zip(held, together(held)))
+            results.update(zip(held, cut(held)))
         return map(results.__getitem__, pieces)
 
-    def together(pieces: list[str]) -> list[bytes]:
-        if keeps_space:
-            ids = ids_of(" " + " ".join(pieces))
-            cuts = np.flatnonzero(begins[ids])
-            ends = np.append(cuts[1:], len(ids))
-        else:
-            ids = ids_of(f" {_SEPARATOR} ".join(["", *pieces, ""]))
-            marks = np.flatnonzero(ids == separator[0])
-            cuts, ends = marks[:-1] + 1, marks[1:]
-        if len(cuts) != len(pieces):
-            return [encode_one(" " + p if keeps_space else p) for p in pieces]
+    def pieces_of(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: list[str], before: str) -> list[bytes]:
+        if len(starts) != len(pieces):
+            return [encode_one(before + p) for p in pieces]
         data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(cuts.tolist(), ends.tolist())]
+        return [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+    def spaced(pieces: list[str]) -> list[bytes]:
+        ids = ids_of(" " + " ".join(pieces))
+        starts = np.flatnonzero(begins[ids])
+        return pieces_of(ids, starts, np.append(starts[1:], len(ids)), pieces, " ")
+
+    def marked(text: str, mark: int, pieces: list[str]) -> list[bytes]:
+        ids = ids_of(text)
+        marks = np.flatnonzero(ids == mark)
+        return pieces_of(ids, marks[:-1] + 1, marks[1:], pieces, "")
+
+    if keeps_space:
+        line_end = ids_of("\n")
+
+        def heads(pieces: list[str]) -> list[bytes]:
+            return marked("\n".join(["", *pieces, "x"]), line_end[0], pieces)
+
+        return PieceEncoder(
+            encode_one,
+            lambda pieces: separately(pieces, " ", " ", spaced),
+            lambda pieces: separately(pieces, "\n", "", heads),
+            True,
+        )
+
+    separator = ids_of(_SEPARATOR)
+
+    def between(pieces: list[str]) -> list[bytes]:
+        return marked(f" {_SEPARATOR} ".join(["", *pieces, ""]), separator[0], pieces)
+
+    def words(pieces: list[str]) -> Iterator[bytes]:
+        return separately(pieces, _SEPARATOR, "", between)
 
-    return PieceEncoder(encode_one, encode_many, keeps_space)
+    return PieceEncoder(encode_one, words, words, False)
