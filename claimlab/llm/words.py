@@ -19,6 +19,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
+_IS_PLAIN = _IS_WORD.copy()
+_IS_PLAIN[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = False
 _PLUS_ONE = np.arange(1, 257, dtype=np.uint64)
 _LOWERED = _PLUS_ONE.copy()
 _LOWERED[65:91] = _PLUS_ONE[97:123]
@@ -60,10 +62,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return content, bounds
 
 
-def word_hashes(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: pa.Array, lower: bool = False, plain: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For blocks of whole texts: index of the first text, hash of each word, and where each text's words begin.
 
-    The last array has one more entry than texts, so text `first + i` has words `begin[i]` to `begin[i + 1]`.
+    `plain` takes ASCII punctuation as space too. The last array has one more entry than texts, so text `first + i` has words `begin[i]` to `begin[i + 1]`.
     """
     content, bounds = text_bytes(texts)
     first, count = 0, len(bounds) - 1
@@ -71,15 +73,15 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.
         last = int(np.searchsorted(bounds, bounds[first] + BLOCK_BYTES, side="right")) - 1
         last = min(max(last, first + 1), count)
         block = content[bounds[first] : bounds[last]]
-        yield first, *_block_hashes(block, bounds[first : last + 1] - bounds[first], lower)
+        yield first, *_block_hashes(block, bounds[first : last + 1] - bounds[first], lower, _IS_PLAIN if plain else _IS_WORD)
         first = last
 
 
-def _block_hashes(block: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _block_hashes(block: np.ndarray, bounds: np.ndarray, lower: bool, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = len(block)
     if size == 0:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    inside = _IS_WORD[block]
+    inside = is_word[block]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
