@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlab.llm import bpe_transducer, cost_packing, ftrl_toxicity, ngram_join, quality_rules, token_files
+from claimlab.llm import (
+    bpe_transducer,
+    cost_packing,
+    ftrl_toxicity,
+    language_crf,
+    ngram_join,
+    quality_rules,
+    token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.quality_verdicts,
+    "op2_language_crf": language_crf.document_languages,
     "op4_cost_packing": cost_packing.packing_digest,
     "op5_ftrl_toxicity": ftrl_toxicity.toxicity_scores,
     "op6_bpe_transducer": bpe_transducer.round_trip_digest,
