@@ -10,6 +10,7 @@ from claimlab.llm import (
     bpe_transducer,
     cost_packing,
     ftrl_toxicity,
+    graph_ann,
     language_crf,
     ngram_join,
     quality_rules,
@@ -19,6 +20,7 @@ from claimlab.llm import (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.quality_verdicts,
     "op2_language_crf": language_crf.document_languages,
+    "op3_graph_ann": graph_ann.neighbours_of_every_twentieth,
     "op4_cost_packing": cost_packing.packing_digest,
     "op5_ftrl_toxicity": ftrl_toxicity.toxicity_scores,
     "op6_bpe_transducer": bpe_transducer.round_trip_digest,
