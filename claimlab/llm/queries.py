@@ -14,7 +14,9 @@ from claimlab.llm import (
     language_crf,
     ngram_join,
     quality_rules,
+    quotation_links,
     token_files,
+    warc_revisit,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,7 +27,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ftrl_toxicity": ftrl_toxicity.toxicity_scores,
     "op6_bpe_transducer": bpe_transducer.round_trip_digest,
     "op7_ngram_jaccard": ngram_join.ngram_components,
+    "op8_warc_revisit": warc_revisit.revisit_digest,
+    "op9_quotation_links": quotation_links.reply_threads,
     "op10_token_files": token_files.token_file_digest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_warc_revisit": warc_revisit.SQL, "op9_quotation_links": quotation_links.SQL}
