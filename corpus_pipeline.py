@@ -1,4 +1,9 @@
-"""A training corpus from raw documents in stages; each stage's rows are written and read again by the next."""
+"""A training corpus from raw documents in stages; each stage's rows are written and read again by the next.
+
+Quality rules drop documents that fail the base rules or a fitted cutoff, language identification drops those
+without a language, the n-gram join leaves one document of each group of near copies, and packing puts what is
+left into sequences. Every stage works on all rows that the stage before has kept.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlab.llm import common, cost_packing
+from claimlab.llm import common, cost_packing, language_crf, ngram_join, quality_rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the risk-controlled cutoffs keep."""
+    return quality_rules.kept_documents(docs, common.table(spark, sf_dir, "labels"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; the model is learned from these documents' own labels."""
+    return language_crf.in_one_language(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group linked by five-word shingles at 80 percent."""
+    return ngram_join.one_of_each_group(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +34,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cost_packing.pack_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", packing)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("language", language),
+    ("near_copies", near_copies),
+    ("packing", packing),
+]
 
-# Quality thresholds, language labels and token ids come from fitted models and vocabularies, which SQL can't express.
+# Fitted models and vocabularies decide what stays, which SQL can't express.
 ORACLE_SQL: str | None = None
 
 
