@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlab.llm import common
@@ -41,7 +41,8 @@ from claimlab.llm.words import mixed, word_hashes
 WORDS = 5
 PERCENT = 80
 BLOCK_SETS = 2048
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
+PART_CLASSES = 4096
 _SHARE = 64
 _BATCH_TOKENS = 1_000_000
 _LOW = np.uint64((1 << 40) - 1)
@@ -145,7 +146,7 @@ def _values_of(data: bytes, width: int) -> np.ndarray:
 def _bucketed(documents: DataFrame, heavy: list[int], bits: int, words: int) -> DataFrame:
     """One row per block of documents and bucket: sorted n-grams as differences, owners, and the owners' classes.
 
-    Bucket -1 carries the frequent n-grams of each class, which need no counting.
+    Buckets below 0 carry the frequent n-grams of a block's classes, which need no counting.
     """
     frequent = np.array(sorted(h & 0xFFFFFFFFFFFFFFFF for h in heavy), dtype=np.uint64)
 
@@ -189,7 +190,7 @@ def _bucket_rows(held: list[np.ndarray], classes: list[int], frequent: np.ndarra
         common_grams = frequent[at] == grams
         if common_grams.any():
             order = np.argsort(grams[common_grams], kind="stable")
-            add(-1, grams[common_grams][order], owners[common_grams][order])
+            add(-1 - (classes[0] & 0x3FFFFFFF), grams[common_grams][order], owners[common_grams][order])
         grams, owners = grams[~common_grams], owners[~common_grams]
     order = np.argsort(grams, kind="stable")
     grams, owners = grams[order], owners[order]
@@ -204,64 +205,58 @@ def _bucket_rows(held: list[np.ndarray], classes: list[int], frequent: np.ndarra
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names_)
 
 
-_SHARED = "cls long, n int, grams binary, counts binary"
-
-
-def _shared(bucket: pa.Table) -> pa.Table:
-    """For each class of a bucket, its n-grams that another class has too, with the number of classes."""
-    number = bucket.column("bucket")[0].as_py()
-    grams, owners, sizes = [], [], {}
-    for g, o, c, s in zip(*(bucket.column(k).to_pylist() for k in ("grams", "owners", "classes", "sizes"))):
-        names = np.frombuffer(c, dtype="<i8")
-        sizes.update(zip(names.tolist(), np.frombuffer(s, dtype="<u4").tolist()))
-        grams.append(np.cumsum(_values_of(g, 5), dtype=np.uint64))
-        owners.append(names[_values_of(o, 3).astype(np.int64)])
-    grams, owners = np.concatenate(grams), np.concatenate(owners)
-    order = np.lexsort((owners, grams))
-    grams, owners = grams[order], owners[order]
-    fresh = np.ones(len(grams), dtype=bool)
-    fresh[1:] = (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1])
-    grams, owners = grams[fresh], owners[fresh]
-    _, first, counts = np.unique(grams, return_index=True, return_counts=True)
-    counts = np.repeat(counts, counts)
-    held = counts > 1
-    grams, owners, counts = grams[held], owners[held], counts[held]
-    order = np.argsort(owners, kind="stable")
-    grams, owners, counts = grams[order], owners[order], counts[order].astype("<u4")
-    grams = grams | np.uint64(number << 40)
-    edges = np.flatnonzero(np.diff(owners, prepend=owners[:1] - 1)).tolist() + [len(owners)] if len(owners) else [0]
-    names = [int(owners[a]) for a in edges[:-1]]
-    return pa.table(
-        {
-            "cls": pa.array(names, pa.int64()),
-            "n": pa.array([sizes[c] for c in names], pa.int32()),
-            "grams": pa.array([grams[a:b].astype("<u8").tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-            "counts": pa.array([counts[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-        }
-    )
+_SHARED = "part long, classes binary, sizes binary, held binary, grams binary, counts binary"
+_FREQUENT_COUNT = (1 << 32) - 1
 
 
-_FREQUENT_COUNT = (1 << 32) - 1
+def _shared_in(parts: int):
+    """For each class of a bucket, its n-grams that another class has too, with the number of classes.
 
+    Classes are dealt over `parts`, and what a bucket has for a part goes as one row.
+    """
 
-def _split_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of bucket -1 taken apart by class; their n-grams get the highest count, so they come last."""
-    for batch in batches:
-        for g, o, c, s in zip(*(batch.column(k).to_pylist() for k in ("grams", "owners", "classes", "sizes"))):
-            names, sizes = np.frombuffer(c, dtype="<i8"), np.frombuffer(s, dtype="<u4")
-            grams = np.cumsum(_values_of(g, 8), dtype=np.uint64)
-            owners = _values_of(o, 3).astype(np.int64)
-            order = np.argsort(owners, kind="stable")
-            parts = np.split(grams[order], np.cumsum(np.bincount(owners))[:-1])
-            yield pa.record_batch(
-                [
-                    pa.array(names),
-                    pa.array(sizes.astype(np.int32)),
-                    pa.array([p.astype("<u8").tobytes() for p in parts], pa.binary()),
-                    pa.array([np.full(len(p), _FREQUENT_COUNT, "<u4").tobytes() for p in parts], pa.binary()),
-                ],
-                names=["cls", "n", "grams", "counts"],
-            )
+    def shared(bucket: pa.Table) -> pa.Table:
+        number = bucket.column("bucket")[0].as_py()
+        width = 8 if number < 0 else 5
+        grams, owners, sizes = [], [], []
+        for row in bucket.to_pylist():
+            at = _values_of(row["owners"], 3).astype(np.int64)
+            grams.append(np.cumsum(_values_of(row["grams"], width), dtype=np.uint64))
+            owners.append(np.frombuffer(row["classes"], dtype="<i8")[at])
+            sizes.append(np.frombuffer(row["sizes"], dtype="<u4")[at])
+        grams, owners, sizes = np.concatenate(grams), np.concatenate(owners), np.concatenate(sizes)
+        order = np.lexsort((owners, grams))
+        grams, owners, sizes = grams[order], owners[order], sizes[order]
+        fresh = np.ones(len(grams), dtype=bool)
+        fresh[1:] = (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1])
+        grams, owners, sizes = grams[fresh], owners[fresh], sizes[fresh]
+        if number < 0:
+            # Frequent n-grams get the highest count, so they come last in the order.
+            counts = np.full(len(grams), _FREQUENT_COUNT, dtype="<u4")
+        else:
+            counts = np.unique(grams, return_counts=True)[1]
+            counts = np.repeat(counts, counts)
+            several = counts > 1
+            grams, owners, sizes, counts = (x[several] for x in (grams, owners, sizes, counts.astype("<u4")))
+            grams = grams | np.uint64(number << 40)
+        return _by_part(grams, owners, sizes, counts, parts)
+
+    return shared
+
+
+def _by_part(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    part = owners % parts
+    order = np.lexsort((owners, part))
+    grams, owners, sizes, counts, part = (x[order] for x in (grams, owners, sizes, counts, part))
+    rows = []
+    edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+    for a, b in zip(edges, edges[1:]):
+        names, first, held = np.unique(owners[a:b], return_index=True, return_counts=True)
+        values = names.astype("<i8"), sizes[a:b][first].astype("<u4"), held.astype("<u4"), grams[a:b].astype("<u8"), counts[a:b]
+        rows.append((int(part[a]), *(v.tobytes() for v in values)))
+    columns = list(zip(*rows)) or [[]] * 6
+    names = [field.split()[0] for field in _SHARED.split(", ")]
+    return pa.table({n: pa.array(c, pa.binary() if i else pa.int64()) for i, (n, c) in enumerate(zip(names, columns))})
 
 
 # --- Sets that can have a link -----------------------------------------------------------------------------
@@ -269,29 +264,37 @@ def _split_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 _ACTIVE = "cls long, n int, grams binary, counts binary, prefix array<long>"
 
 
-def _active(parts: DataFrame, percent: int) -> DataFrame:
+def _active_at(percent: int):
     """Classes whose prefix holds a shared n-gram: its shared n-grams, and those of the prefix."""
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, n, grams, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                # A class that two tasks have passed on has its frequent n-grams twice.
-                grams, first = np.unique(np.frombuffer(b"".join(grams), dtype="<u8"), return_index=True)
-                counts = np.frombuffer(b"".join(counts), dtype="<u4")[first]
-                prefix = prefix_size(n, percent) - (n - len(grams))
-                if prefix > 0:
-                    rarest = grams[np.lexsort((grams, counts))][:prefix].view("<i8").tolist()
-                    rows.append((name, n, grams.tobytes(), counts.tobytes(), rarest))
-            columns = list(zip(*rows)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            names = ["cls", "n", "grams", "counts", "prefix"]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    grouped = parts.groupBy("cls").agg(
-        F.first("n").alias("n"), F.collect_list("grams").alias("grams"), F.collect_list("counts").alias("counts")
-    )
-    return grouped.mapInArrow(order, _ACTIVE)
+    def active(part: pa.Table) -> pa.Table:
+        pieces: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        sizes: dict[int, int] = {}
+        for row in part.to_pylist():
+            names = np.frombuffer(row["classes"], dtype="<i8").tolist()
+            sizes.update(zip(names, np.frombuffer(row["sizes"], dtype="<u4").tolist()))
+            grams, counts = np.frombuffer(row["grams"], dtype="<u8"), np.frombuffer(row["counts"], dtype="<u4")
+            ends = np.cumsum(np.frombuffer(row["held"], dtype="<u4")).tolist()
+            for name, a, b in zip(names, [0, *ends], ends):
+                pieces.setdefault(name, []).append((grams[a:b], counts[a:b]))
+        rows = []
+        for name, held in pieces.items():
+            n = sizes[name]
+            if prefix_size(n, percent) - (n - sum(len(g) for g, _ in held)) <= 0:
+                continue
+            # A class that two tasks have passed on has its frequent n-grams twice.
+            grams, first = np.unique(np.concatenate([g for g, _ in held]), return_index=True)
+            counts = np.concatenate([c for _, c in held])[first]
+            prefix = prefix_size(n, percent) - (n - len(grams))
+            if prefix > 0:
+                rarest = grams[np.lexsort((grams, counts))][:prefix].view("<i8").tolist()
+                rows.append((name, n, grams.tobytes(), counts.tobytes(), rarest))
+        columns = list(zip(*rows)) or [[]] * 5
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        names = ["cls", "n", "grams", "counts", "prefix"]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return active
 
 
 # --- The join in a block -----------------------------------------------------------------------------------
@@ -462,11 +465,8 @@ def _class_links(documents: DataFrame, described: DataFrame, words: int, percent
     heavy = [row.id for row in heavy.where(F.col("c") >= max(32, limit)).select("id").toLocalIterator()]
     bits = max(0, ((grams or 0) // BUCKET_TOKENS).bit_length())
     rows = _bucketed(documents, heavy, min(bits, 24), words)
-    counted = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, _SHARED)
-    parts = counted
-    if heavy:
-        parts = counted.union(rows.where("bucket < 0").mapInArrow(_split_frequent, _SHARED))
-    active = common.saved(_active(parts, percent))
+    shared = rows.groupBy("bucket").applyInArrow(_shared_in(max(1, docs // PART_CLASSES)), _SHARED)
+    active = common.saved(shared.groupBy("part").applyInArrow(_active_at(percent), _ACTIVE))
 
     prefixes = active.select("cls", F.explode("prefix").alias("gram"))
     least = prefixes.groupBy("gram").agg(F.min("cls").alias("least"))
@@ -531,6 +531,21 @@ def linked_components(
     return full.select("doc_id", F.col("cls").alias("class_id"), F.col("n_shingles").cast("long"), "component_id").union(empty)
 
 
+def one_of_each_group(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents, all their columns, less those linked with one of smaller doc_id.
+
+    Rows of one doc_id are one document, of which the row with the smallest text stays; rows without doc_id,
+    which no link can name, all stay.
+    """
+    linked = linked_components(documents, words, percent)
+    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    key = F.col("doc_id").cast("long")
+    rows = documents.select(F.struct("*").alias("row"), key.alias("kept_id"), "text")
+    place = F.row_number().over(Window.partitionBy("kept_id").orderBy("text"))
+    named = rows.join(kept, "kept_id", "left_semi").withColumn("place", place).where("place = 1")
+    return named.select("row.*").unionByName(documents.where(key.isNull()))
+
+
 def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over all documents: five words, 80 percent."""
     return linked_components(common.table(spark, sf_dir, "documents")).drop("class_id")
