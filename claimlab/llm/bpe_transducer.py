@@ -36,7 +36,6 @@ PAIRS = 400_000
 MEMORY = 150_000
 _ROWS = 500
 
-_transducers: dict[str, "Transducer"] = {}
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -286,9 +285,7 @@ class TextEncoder:
 
 def text_encoder(path: str, pattern: str) -> TextEncoder:
     """The encoder of a rank file, compiled once in each worker process."""
-    if (path, pattern) not in _transducers:
-        _transducers[path, pattern] = TextEncoder(read_ranks(path), pattern)
-    return _transducers[path, pattern]
+    return common.kept_in_worker(("ranks", path, pattern), lambda: TextEncoder(read_ranks(path), pattern))
 
 
 # UTF-8 leads by the number of bytes that must follow; other bytes follow or are wrong.

@@ -39,6 +39,23 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_kept: dict = {}
+
+
+def kept_in_worker(key, build):
+    """What a Python worker keeps from task to task. It keeps one thing at a time, so an operator that runs in a
+    worker after another one doesn't find the other's memory still taken."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def keep_nothing() -> None:
+    """Called by tasks that need room and no cache."""
+    _kept.clear()
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of documents whose labels are never learned from."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from claimlab.llm import common
 from claimlab.llm.library_encoding import Recent
+from claimlab.llm.words import text_bytes
 
 SAMPLE = 2_000
 STRETCHES, STRETCH = 6, 24
@@ -38,9 +39,9 @@ BITS = 16
 LEXICON = 20_000
 CHAINS, CHAIN_STRETCHES = 1_500, 4
 EPOCHS, BATCH, RATE, L2 = 6, 100, 0.25, 1e-5
-# Words of one forward-backward block and remembered words.
-BLOCK_WORDS = 1_000_000
-MEMORY = 200_000
+# Bytes of text of one forward-backward block, and words in each of the two remembered generations.
+BLOCK_BYTES = 2_000_000
+MEMORY = 150_000
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -256,18 +257,25 @@ class Labeller:
     def __init__(self, model: Crf):
         self.model, self.memory = model, Recent(MEMORY)
 
-    def blocks(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[list[str]], np.ndarray, np.ndarray]]:
-        """Index of texts, their words, where each text's words begin, and each word's probabilities."""
-        split = [words_of(text) for text in texts]
-        order = sorted((i for i in range(len(split)) if split[i]), key=lambda i: -len(split[i]))
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[list[int], list[list[str]], np.ndarray, np.ndarray]]:
+        """Index of texts, their words, where each text's words begin, and each word's probabilities.
+
+        Texts of similar length are taken together, about `BLOCK_BYTES` at a time.
+        """
+        _, bounds = text_bytes(texts)
+        sizes = np.diff(bounds)
+        order = np.argsort(-sizes, kind="stable").tolist()
         at = 0
         while at < len(order):
-            total, end = 0, at
-            while end < len(order) and (end == at or total + len(split[order[end]]) <= BLOCK_WORDS):
-                total += len(split[order[end]])
+            total, end = int(sizes[order[at]]), at + 1
+            while end < len(order) and total + sizes[order[end]] <= BLOCK_BYTES:
+                total += int(sizes[order[end]])
                 end += 1
-            chosen = order[at:end]
-            yield chosen, [split[i] for i in chosen], *self._probabilities([split[i] for i in chosen])
+            chosen = [(i, words_of(texts[i].as_py())) for i in order[at:end]]
+            chosen = [(i, words) for i, words in chosen if words]
+            if chosen:
+                chains = [words for _, words in chosen]
+                yield [i for i, _ in chosen], chains, *self._probabilities(chains)
             at = end
 
     def _probabilities(self, chains: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -275,13 +283,15 @@ class Labeller:
         number = vocabulary.setdefault
         rows = np.array([number(w, len(vocabulary)) for words in chains for w in words], dtype=np.int64)
         unknown = self.memory.missing(vocabulary)
-        self.memory.add(unknown, self.model.emissions(unknown))
-        scores = np.array([self.memory.new[w] for w in vocabulary])
+        if unknown:
+            self.memory.add(unknown, [row.tobytes() for row in self.model.emissions(unknown)])
+        scores = np.frombuffer(b"".join(map(self.memory.new.__getitem__, vocabulary)), dtype=np.float32)
         self.memory.age()
         begin = np.cumsum([0, *map(len, chains)])
+        scores = scores.reshape(len(vocabulary), -1)
         return begin, forward_backward(scores, rows, begin, self.model.transitions, self.model.starts)
 
-    def text_scores(self, texts: list[str | None]) -> np.ndarray:
+    def text_scores(self, texts: pa.Array) -> np.ndarray:
         """The mean probability of each language; zero for texts without words."""
         result = np.zeros((len(texts), len(self.model.languages)))
         for chosen, _, begin, probabilities in self.blocks(texts):
@@ -301,9 +311,10 @@ def text_language(model: Crf | None, text: str = "text") -> Column:
 
 def _labelling(model: Crf):
     def label(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.keep_nothing()
         labeller = Labeller(model)
         for batch in texts:
-            scores = labeller.text_scores(batch.to_pylist())
+            scores = labeller.text_scores(batch)
             best = scores.argmax(axis=1) if len(scores) else np.zeros(0, np.int64)
             high = np.clip(scores.max(axis=1), 0.0, 1.0) if len(scores) else np.zeros(0)
             names = [model.languages[b] if s > 0 else UNDETERMINED for b, s in zip(best, high)]
@@ -319,7 +330,7 @@ def word_languages(documents: DataFrame, model: Crf) -> DataFrame:
         labeller = Labeller(model)
         for batch in batches:
             held: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for chosen, chains, begin, probabilities in labeller.blocks(batch.column(1).to_pylist()):
+            for chosen, chains, begin, probabilities in labeller.blocks(batch.column(1)):
                 best, high = probabilities.argmax(axis=1), probabilities.max(axis=1)
                 for c, i in enumerate(chosen):
                     span = zip(chains[c], best[begin[c] : begin[c + 1]], high[begin[c] : begin[c + 1]])

@@ -19,6 +19,8 @@ from itertools import chain
 
 import numpy as np
 
+from claimlab.llm import common
+
 # Pieces in each of the two generations that are remembered.
 MEMORY = 400_000
 # Characters that go to the library in one call.
@@ -27,7 +29,6 @@ CALL_CHARS = 2_000
 _MEETING = re.compile(r"\s\s")
 _SEPARATOR = "\x01"
 WORD_END = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzäöüßáéíóúñàâçèêëîïôùû")
-_encoders: dict[tuple, PieceEncoder] = {}
 
 
 def pack_ids(ids: Sequence[int]) -> bytes:
@@ -116,15 +117,17 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """The encoder of a tokenizer file, made once in each worker process."""
-    if path not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    """The encoder of a tokenizer file, kept in each worker process."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+    def build() -> PieceEncoder:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
-        _encoders[path] = library_encoder(library)
-    return _encoders[path]
+        return library_encoder(library)
+
+    return common.kept_in_worker(("library", path), build)
 
 
 def library_encoder(library) -> PieceEncoder:

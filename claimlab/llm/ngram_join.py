@@ -98,6 +98,7 @@ def _described(documents: DataFrame, words: int) -> DataFrame:
     """Rows of kind 0: doc_id, class, set size. Rows of kind 1: an n-gram and its count in a block of documents."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_nothing()
         for batch in batches:
             ids, held, sizes, classes = batch.column(0).to_pylist(), [], [], []
             total = done = 0

@@ -39,6 +39,7 @@ DELTA = 0.05
 STEPS = 64
 WEIGHT = 4
 WINDOW = 3
+_ROWS = 500
 _SYMBOLS = b"#*$%&|<>"
 _MEASURES = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_lines:bigint>"
@@ -89,8 +90,10 @@ def measured(text: bytes | None) -> tuple[int, ...]:
 
 def _measured_batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = [field.split(":")[0] for field in _MEASURES[len("struct<") : -1].split(",")]
+    common.keep_nothing()
     for batch in texts:
-        rows = [measured(text) for text in batch.cast(pa.large_binary()).to_pylist()]
+        parts = (batch.slice(at, _ROWS).cast(pa.large_binary()) for at in range(0, len(batch), _ROWS))
+        rows = [measured(text) for part in parts for text in part.to_pylist()]
         columns = list(zip(*rows)) or [[]] * len(names)
         yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 

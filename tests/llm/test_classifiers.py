@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from claimlab.llm import common, ftrl_toxicity, language_crf, quality_rules
@@ -158,10 +159,10 @@ def test_words_of_switched_text():
     model = language_crf.trained(stretches, epochs=2)
     labeller = language_crf.Labeller(model)
     text = " ".join([word("aa") for _ in range(30)] + [word("bb") for _ in range(30)])
-    for _, _, _, probabilities in labeller.blocks([text, None, "12 -"]):
+    for _, _, _, probabilities in labeller.blocks(pa.array([text, None, "12 -"])):
         best = probabilities.argmax(axis=1)
         assert (best[:30] == 0).mean() > 0.95 and (best[30:] == 1).mean() > 0.95
-    assert np.allclose(labeller.text_scores([text])[0], 0.5, atol=0.05)
+    assert np.allclose(labeller.text_scores(pa.array([text]))[0], 0.5, atol=0.05)
 
 
 def test_language_query_and_stage(spark, sf_dir):
