@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from claimlab.functions.labels import CPI_FACTORS, CPI_FIRST_YEAR
 
 
-def number(text: Column) -> Column:
-    """Text to double; anything that is not a plain number becomes null.
+DECIMAL_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
-    The cast also reads `nan`, `infinity` and Java suffixes such as `1d`; their last letter gives them away.
-    """
-    last = F.lower(F.substring(F.rtrim(text), -1, 1))
-    return F.when(~last.isin("d", "f", "n", "y"), text.try_cast("double"))
+
+def number(text: Column) -> Column:
+    """Text to double; anything that is not a plain decimal number becomes null."""
+    plain = stripped(text)
+    return F.when(F.rlike(plain, F.lit(DECIMAL_NUMBER)), plain.try_cast("double"))
 
 
 def currency(text: Column) -> Column:
@@ -31,7 +36,7 @@ def coded_integer(value: Column, is_text: bool, target: str = "int") -> Column:
 
 def code_string(text: Column) -> Column:
     """Trimmed upper-case code; blank, NAN and NONE become null."""
-    code = F.upper(F.trim(text.cast("string")))
+    code = F.upper(stripped(text.cast("string")))
     return F.when(code.isin("", "NAN", "NONE"), F.lit(None)).otherwise(code)
 
 

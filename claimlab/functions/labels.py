@@ -109,184 +109,180 @@ ADVERSE_ACTIONS = {
 }
 
 # Fields of license, from the public format specification of the data file.
-_LICENSE_TEXT = """
-10 Allopathic Physician (MD)
-15 Physician Resident (MD)
-20 Osteopathic Physician (DO)
-25 Osteopathic Phys. Resident (DO)
-30 Dentist
-35 Dental Resident
-50 Pharmacist
-55 Pharmacy Intern
-60 Pharmacist, Nuclear
-70 Pharmacy Assistant
-75 Pharmacy Technician
-76 Other Pharmacy Service
-100 Registered Nurse
-110 Nurse Anesthetist
-120 Nurse Midwife
-130 Nurse Practitioner
-134 Doctor of Nursing Practice
-135 Advanced Nurse Practitioner
-140 LPN/Vocational Nurse
-141 Clinical Nurse Specialist
-142 Other Nurse Occupation
-148 Certified Nurse Aide/Nursing Asst
-150 Nurse Aide/Nursing Assistant
-160 Home Health Aide
-165 Health Care Aide/Direct Care Worker
-170 Psychiatric Technician
-175 Certified/Qualified Medication Aide
-176 Other Aide Occupation
-200 Dietitian
-210 Nutritionist
-211 Other Dietitian/Nutritionist
-240 Emergency Medical Responder
-250 Emergency Medical Technician (EMT)
-260 EMT, Cardiac/Critical Care
-270 Advanced EMT (AEMT)
-280 Paramedic
-281 Other Emergency Medical Services
-300 Clinical Social Worker
-350 Podiatrist
-370 Clinical Psychologist
-371 Psychologist
-372 School Psychologist
-373 Psychological Asst/Assoc/Examiner
-374 Other Psychologist/Psych Asst
-400 Audiologist
-402 Art/Recreation Therapist
-405 Massage Therapist
-410 Occupational Therapist
-420 Occup. Therapy Assistant
-430 Physical Therapist
-440 Phys. Therapy Assistant
-450 Rehabilitation Therapist
-460 Speech/Language Pathologist
-470 Hearing Aid/Instrument Specialist
-471 Other Speech/Language/Hearing Service
-500 Medical Technologist
-501 Medical/Clinical Lab Tech
-502 Medical/Clinical Lab Technician
-503 Surgical Technologist/Assistant
-504 Surgical Assistant
-505 Cytotechnologist
-510 Nuclear Med. Technologist
-520 Rad. Therapy Technologist
-530 Radiologic Technician/Technologist
-540 X-Ray Technician or Operator
-550 Limited X-Ray Machine Operator
-551 Other Technologist/Technician
-600 Acupuncturist
-601 Athletic Trainer
-603 Chiropractor
-604 Chiropractic Assistant
-605 Other Chiropractic Occupation
-606 Dental Assistant
-607 Dental Therapist/Dental Health Aide
-609 Dental Hygienist
-612 Denturist
-613 Other Dental Occupation
-615 Homeopath
-618 Medical Assistant
-621 Counselor, Mental Health
-624 Midwife, Lay (Non-Nurse)
-627 Naturopath
-630 Ocularist
-633 Optician
-636 Optometrist
-637 Other Eye/Vision Service
-639 Orthotics/Prosthetics Fitter
-642 Physician Assistant
-645 Phys. Asst., Osteopathic
-647 Perfusionist
-648 Podiatric Assistant
-649 Other Podiatric Service
-651 Prof. Counselor
-652 Sex Offender Counselor
-653 Pastoral Counselor
-654 Prof. Cnslr., Alcohol
-657 Prof. Cnslr., Family/Marriage
-658 Other Rehab/Respiratory/Restorative Service
-660 Addictions Counselor
-661 Marriage and Family Therapist
-662 Art Therapist
-663 Respiratory Therapist
-664 Recreation Therapist
-665 Dance Therapist
-666 Resp. Therapy Technician
-667 Music Therapist
-668 Other Behavioral Health Occupation
-699 Other Health Care Pract, Not Classified
-752 Adult Care Facility Admin
-755 Hospital Administrator
-758 Health Care Facility Admin
-759 Assisted Living Facility Admin
-800 Researcher, Clinical
-810 Insurance Agent/Broker
-812 Insurance Broker
-820 Corporate Officer
-822 Business Manager
-830 Business Owner
-840 Salesperson
-850 Accountant
-853 Bookkeeper
-899 Other Individual, Not Classified
-998 Subject Not Reportable
-999 Unspecified or Unknown
-1301 General/Acute Care Hospital
-1302 Psychiatric Hospital
-1303 Rehabilitation Hospital
-1304 Federal Hospital
-1307 Psychiatric Unit
-1308 Rehabilitation Unit
-1310 Laboratory/CLIA Laboratory
-1320 Health Insurance Co/Provider
-1331 Health Maintenance Organization
-1335 Preferred Provider Org
-1336 Provider Sponsored Organization
-1338 Religious/Fraternal Benefit Society Plan
-1342 Blood Bank
-1343 Durable Medical Equipment Supplier
-1344 Eyewear Equipment Supplier
-1345 Pharmacy (Organization)
-1346 Pharmaceutical Manufacturer
-1347 Biological Products Manufacturer
-1348 Organ Procurement Organization
-1349 Portable X-Ray Supplier
-1351 Fiscal/Billing/Management Agent
-1352 Purchasing Service
-1353 Nursing/Health Care Staffing Service
-1361 Chiropractic Group/Practice
-1362 Dental Group/Practice
-1363 Optician/Optometric Group/Practice
-1364 Podiatric Group/Practice
-1365 Medical Group/Practice
-1366 Mental Health/Substance Abuse Group
-1367 Physical/Occupational Therapy Group
-1370 Research Center/Facility
-1381 Adult Day Care Facility
-1382 Hospice/Hospice Care Provider
-1383 Intermed. Care Fclty Intellectual Disability/Substance Abuse
-1386 Residential Treatment Facility
-1388 Outpatient Rehab Facility
-1389 Nursing/Skilled Nursing Facility
-1390 Ambulance Service/Transportation Co
-1391 Ambulatory Surgical Center
-1392 Ambulatory Clinic/Center
-1393 Home Health Agency/Organization
-1394 Health Cntr/FQHC
-1395 Mental Health Center/Community MHC
-1396 Rural Health Clinic
-1397 Mammography Service Provider
-1398 End Stage Renal Disease Facility
-1399 Radiology/Imaging Center
-1999 Other Type not classified
-9999 Org. Type not specified
-"""
 LICENSE_FIELDS = {
-    int(code): label
-    for code, label in (line.split(" ", 1) for line in _LICENSE_TEXT.strip().split("\n"))
+    10: "Allopathic Physician (MD)",
+    15: "Physician Resident (MD)",
+    20: "Osteopathic Physician (DO)",
+    25: "Osteopathic Phys. Resident (DO)",
+    30: "Dentist",
+    35: "Dental Resident",
+    50: "Pharmacist",
+    55: "Pharmacy Intern",
+    60: "Pharmacist, Nuclear",
+    70: "Pharmacy Assistant",
+    75: "Pharmacy Technician",
+    76: "Other Pharmacy Service",
+    100: "Registered Nurse",
+    110: "Nurse Anesthetist",
+    120: "Nurse Midwife",
+    130: "Nurse Practitioner",
+    134: "Doctor of Nursing Practice",
+    135: "Advanced Nurse Practitioner",
+    140: "LPN/Vocational Nurse",
+    141: "Clinical Nurse Specialist",
+    142: "Other Nurse Occupation",
+    148: "Certified Nurse Aide/Nursing Asst",
+    150: "Nurse Aide/Nursing Assistant",
+    160: "Home Health Aide",
+    165: "Health Care Aide/Direct Care Worker",
+    170: "Psychiatric Technician",
+    175: "Certified/Qualified Medication Aide",
+    176: "Other Aide Occupation",
+    200: "Dietitian",
+    210: "Nutritionist",
+    211: "Other Dietitian/Nutritionist",
+    240: "Emergency Medical Responder",
+    250: "Emergency Medical Technician (EMT)",
+    260: "EMT, Cardiac/Critical Care",
+    270: "Advanced EMT (AEMT)",
+    280: "Paramedic",
+    281: "Other Emergency Medical Services",
+    300: "Clinical Social Worker",
+    350: "Podiatrist",
+    370: "Clinical Psychologist",
+    371: "Psychologist",
+    372: "School Psychologist",
+    373: "Psychological Asst/Assoc/Examiner",
+    374: "Other Psychologist/Psych Asst",
+    400: "Audiologist",
+    402: "Art/Recreation Therapist",
+    405: "Massage Therapist",
+    410: "Occupational Therapist",
+    420: "Occup. Therapy Assistant",
+    430: "Physical Therapist",
+    440: "Phys. Therapy Assistant",
+    450: "Rehabilitation Therapist",
+    460: "Speech/Language Pathologist",
+    470: "Hearing Aid/Instrument Specialist",
+    471: "Other Speech/Language/Hearing Service",
+    500: "Medical Technologist",
+    501: "Medical/Clinical Lab Tech",
+    502: "Medical/Clinical Lab Technician",
+    503: "Surgical Technologist/Assistant",
+    504: "Surgical Assistant",
+    505: "Cytotechnologist",
+    510: "Nuclear Med. Technologist",
+    520: "Rad. Therapy Technologist",
+    530: "Radiologic Technician/Technologist",
+    540: "X-Ray Technician or Operator",
+    550: "Limited X-Ray Machine Operator",
+    551: "Other Technologist/Technician",
+    600: "Acupuncturist",
+    601: "Athletic Trainer",
+    603: "Chiropractor",
+    604: "Chiropractic Assistant",
+    605: "Other Chiropractic Occupation",
+    606: "Dental Assistant",
+    607: "Dental Therapist/Dental Health Aide",
+    609: "Dental Hygienist",
+    612: "Denturist",
+    613: "Other Dental Occupation",
+    615: "Homeopath",
+    618: "Medical Assistant",
+    621: "Counselor, Mental Health",
+    624: "Midwife, Lay (Non-Nurse)",
+    627: "Naturopath",
+    630: "Ocularist",
+    633: "Optician",
+    636: "Optometrist",
+    637: "Other Eye/Vision Service",
+    639: "Orthotics/Prosthetics Fitter",
+    642: "Physician Assistant",
+    645: "Phys. Asst., Osteopathic",
+    647: "Perfusionist",
+    648: "Podiatric Assistant",
+    649: "Other Podiatric Service",
+    651: "Prof. Counselor",
+    652: "Sex Offender Counselor",
+    653: "Pastoral Counselor",
+    654: "Prof. Cnslr., Alcohol",
+    657: "Prof. Cnslr., Family/Marriage",
+    658: "Other Rehab/Respiratory/Restorative Service",
+    660: "Addictions Counselor",
+    661: "Marriage and Family Therapist",
+    662: "Art Therapist",
+    663: "Respiratory Therapist",
+    664: "Recreation Therapist",
+    665: "Dance Therapist",
+    666: "Resp. Therapy Technician",
+    667: "Music Therapist",
+    668: "Other Behavioral Health Occupation",
+    699: "Other Health Care Pract, Not Classified",
+    752: "Adult Care Facility Admin",
+    755: "Hospital Administrator",
+    758: "Health Care Facility Admin",
+    759: "Assisted Living Facility Admin",
+    800: "Researcher, Clinical",
+    810: "Insurance Agent/Broker",
+    812: "Insurance Broker",
+    820: "Corporate Officer",
+    822: "Business Manager",
+    830: "Business Owner",
+    840: "Salesperson",
+    850: "Accountant",
+    853: "Bookkeeper",
+    899: "Other Individual, Not Classified",
+    998: "Subject Not Reportable",
+    999: "Unspecified or Unknown",
+    1301: "General/Acute Care Hospital",
+    1302: "Psychiatric Hospital",
+    1303: "Rehabilitation Hospital",
+    1304: "Federal Hospital",
+    1307: "Psychiatric Unit",
+    1308: "Rehabilitation Unit",
+    1310: "Laboratory/CLIA Laboratory",
+    1320: "Health Insurance Co/Provider",
+    1331: "Health Maintenance Organization",
+    1335: "Preferred Provider Org",
+    1336: "Provider Sponsored Organization",
+    1338: "Religious/Fraternal Benefit Society Plan",
+    1342: "Blood Bank",
+    1343: "Durable Medical Equipment Supplier",
+    1344: "Eyewear Equipment Supplier",
+    1345: "Pharmacy (Organization)",
+    1346: "Pharmaceutical Manufacturer",
+    1347: "Biological Products Manufacturer",
+    1348: "Organ Procurement Organization",
+    1349: "Portable X-Ray Supplier",
+    1351: "Fiscal/Billing/Management Agent",
+    1352: "Purchasing Service",
+    1353: "Nursing/Health Care Staffing Service",
+    1361: "Chiropractic Group/Practice",
+    1362: "Dental Group/Practice",
+    1363: "Optician/Optometric Group/Practice",
+    1364: "Podiatric Group/Practice",
+    1365: "Medical Group/Practice",
+    1366: "Mental Health/Substance Abuse Group",
+    1367: "Physical/Occupational Therapy Group",
+    1370: "Research Center/Facility",
+    1381: "Adult Day Care Facility",
+    1382: "Hospice/Hospice Care Provider",
+    1383: "Intermed. Care Fclty Intellectual Disability/Substance Abuse",
+    1386: "Residential Treatment Facility",
+    1388: "Outpatient Rehab Facility",
+    1389: "Nursing/Skilled Nursing Facility",
+    1390: "Ambulance Service/Transportation Co",
+    1391: "Ambulatory Surgical Center",
+    1392: "Ambulatory Clinic/Center",
+    1393: "Home Health Agency/Organization",
+    1394: "Health Cntr/FQHC",
+    1395: "Mental Health Center/Community MHC",
+    1396: "Rural Health Clinic",
+    1397: "Mammography Service Provider",
+    1398: "End Stage Renal Disease Facility",
+    1399: "Radiology/Imaging Center",
+    1999: "Other Type not classified",
+    9999: "Org. Type not specified",
 }
 
 # Inflation factors to the common dollar year, by report year from 1990 on.

@@ -12,11 +12,13 @@ _SETTING = "spark.checkpoint.dir"
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write a table to the checkpoint folder and read it from there; it survives lost executors.
 
-    The folder is the shared one the cluster names in `spark.checkpoint.dir`. Only a session without
-    it, as in tests, gets a temporary folder.
+    The folder is the shared one the cluster names in `spark.checkpoint.dir`; without it a cluster session is
+    an error, and only a session whose executors run on this machine, as in tests, gets a temporary folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get(_SETTING, None) or context.getConf().get(_SETTING)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimlab-"))
     return df.checkpoint(eager=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlab.functions import columns as X
 from claimlab.functions import shares as S
 from claimlab.operators import cells as C
 from claimlab.schema import DECLARED_KINDS, PAYMENT_RECORD_TYPES, RECORD_CLASSES
@@ -97,7 +98,11 @@ def record_class_breakdown(df: DataFrame, digits: int | None = 1) -> DataFrame:
 
 
 def type_conformity(raw: DataFrame) -> DataFrame:
-    """How many raw values fail their declared kind, per column, in one pass."""
+    """How many raw values fail their declared kind, per column, in one pass.
+
+    A value fails if cleaning would lose it; blank text is missing, not wrong. Read with `typed=False` to have
+    whole-number columns as text, since a typed column has no wrong values left.
+    """
     known = [c for c in raw.columns if c in DECLARED_KINDS]
 
     def failures(column: str):
@@ -105,8 +110,8 @@ def type_conformity(raw: DataFrame) -> DataFrame:
         kind = DECLARED_KINDS[column]
         if kind == "String" or not isinstance(raw.schema[column].dataType, T.StringType):
             return F.count_if(F.lit(False))
-        text = F.regexp_replace(value, "[$,]", "") if kind == "Dollar" else value
-        return F.count_if(value.isNotNull() & text.try_cast("double").isNull())
+        cleaned = X.currency(value) if kind == "Dollar" else X.number(value)
+        return F.count_if((X.stripped(value) != "") & cleaned.isNull())
 
     counts = raw.agg(*[failures(c).alias(c) for c in known]).unpivot([], known, "column", "invalid_values")
     spec = raw.sparkSession.createDataFrame([(c, DECLARED_KINDS[c]) for c in known], "column string, declared string")

@@ -20,24 +20,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VALUE = "_value"
 ROWS = "_rows"
 BUCKET = "_bucket"
 
-#: Buckets per unit of log(1 + |value|): neighbours differ by 0.1 %. A double spans at most 1.5 million.
-BUCKETS_PER_LOG_UNIT = 1024
+CENTRE = "_centre"
+
+#: Buckets per doubling of |value|: values of a bucket differ by 0.02 % at every magnitude, small or large.
+BUCKETS_PER_DOUBLING = 4096
+#: Doublings below 1 down to the smallest double, so that bucket numbers of positive values are positive.
+_DOUBLINGS_BELOW_ONE = 1075
 
 
 def bucket_of(value: Column) -> Column:
     """Monotone bucket of a value that depends on nothing but the value."""
-    size = F.floor(F.log1p(F.abs(value)) * BUCKETS_PER_LOG_UNIT)
-    return F.when(value < 0, -size).otherwise(size)
+    value = value.cast("double")
+    size = F.floor((F.log2(F.abs(value)) + _DOUBLINGS_BELOW_ONE) * BUCKETS_PER_DOUBLING)
+    return F.when(value == 0, F.lit(0)).when(value < 0, -size).otherwise(size)
 
 
 def amount_cells(df: DataFrame, keys: list[str], amount: str, flags: list[str] = ()) -> DataFrame:
-    """One row per (keys, flags, amount) with the number of reports that share it."""
-    return df.groupBy(*keys, *flags, F.col(amount).alias(VALUE)).agg(F.count(F.lit(1)).alias(ROWS))
+    """One row per (keys, flags, amount) with the number of reports that share it; NaN is missing, as null is."""
+    value = F.col(amount)
+    if isinstance(df.schema[amount].dataType, (T.DoubleType, T.FloatType)):
+        value = F.when(~F.isnan(value), value)
+    return df.groupBy(*keys, *flags, value.alias(VALUE)).agg(F.count(F.lit(1)).alias(ROWS))
 
 
 # Measures over cells ---------------------------------------------------------------------------
@@ -74,12 +83,23 @@ def maximum() -> Column:
 
 
 def stddev() -> Column:
-    """Sample standard deviation; null below two values."""
+    """Sample standard deviation around the group's mean (column `_centre`); null below two values."""
     n = valued()
-    spread = _weighted_sum(F.col(VALUE) * F.col(VALUE)) - F.try_divide(
-        _weighted_sum(F.col(VALUE)) * _weighted_sum(F.col(VALUE)), n
-    )
-    return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1)))
+    apart = F.col(VALUE) - F.col(CENTRE)
+    return F.when(n > 1, F.sqrt(_weighted_sum(apart * apart) / (n - 1)))
+
+
+def with_centre(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Add each group's mean to its cells, so that squares are taken of differences and nothing cancels.
+
+    The means read the exchange of the cells again, not the input; a null key is a group of its own.
+    """
+    means = cells.groupBy(*keys).agg(mean().alias(CENTRE))
+    if not keys:
+        return cells.withColumn(CENTRE, means.scalar())
+    means = means.withColumnsRenamed({k: f"_centre_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_centre_{k}")) for k in keys])
+    return cells.join(means, on, "left").drop(*[f"_centre_{k}" for k in keys])
 
 
 def rows_where(condition: Column) -> Column:
@@ -181,11 +201,14 @@ def stats_of_cells(
     join, and measures ignore the quantile rows because those have no value and no row count.
     """
     columns = [column.alias(name) for name, column in measures.items()]
+    plain = cells
+    if any(CENTRE in str(column) for column in columns):
+        cells = with_centre(cells, keys)
     if not quantiles:
         return cells.groupBy(*keys).agg(*columns)
     if not measures:
-        return cell_quantiles(cells, keys, quantiles)
-    both = cells.unionByName(cell_quantiles(cells, keys, quantiles), allowMissingColumns=True)
+        return cell_quantiles(plain, keys, quantiles)
+    both = cells.unionByName(cell_quantiles(plain, keys, quantiles), allowMissingColumns=True)
     return both.groupBy(*keys).agg(*columns, *[F.max(name).alias(name) for name in quantiles])
 
 

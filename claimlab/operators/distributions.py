@@ -14,6 +14,8 @@ from claimlab.operators import features as FT
 # Reporting points.
 DESCRIBE_PERCENTILES = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99, 0.999]
 TABLE_PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99, 99.5, 99.9]
+#: Every decade that an incident of the 20th or 21st century can fall in.
+INCIDENT_DECADES = [f"{year}-{year + 9}" for year in range(1900, 2100, 10)]
 EXCEEDANCE_THRESHOLDS = [100_000, 250_000, 500_000, 1_000_000, 2_000_000, 5_000_000]
 
 
@@ -140,6 +142,15 @@ def pivot_summary(
     return (wide if fill is None else wide.na.fill(fill, subset=order)).orderBy(rows)
 
 
+def report_incident_matrix(by_decades: DataFrame, minimum: int = 10) -> DataFrame:
+    """Mean payment by report decade (down) and incident decade (across).
+
+    Periods that name no year of the 20th or 21st century and cells below `minimum` reports are left out.
+    """
+    known = by_decades.filter(F.col("MAL_PERIOD_10Y").rlike("^(19|20)") & (F.col("count") >= minimum))
+    return pivot_summary(known, "PERIOD_10Y", "MAL_PERIOD_10Y", "mean_payment_adj", INCIDENT_DECADES)
+
+
 def exceedance_table(df: DataFrame, column: str, thresholds: list[float] = EXCEEDANCE_THRESHOLDS) -> DataFrame:
     """Count and percentage of positive amounts at or above each threshold, in one pass."""
     positive = df.filter(F.col(column) > 0)

@@ -32,6 +32,18 @@ def adverse_records(df: DataFrame) -> DataFrame:
     return df.filter(F.col("RECTYPE").isin(ADVERSE_RECORD_TYPES))
 
 
+def cohort_tags(df: DataFrame) -> DataFrame:
+    """SEQNO and cohort, one row for each cohort a report belongs to, in one pass."""
+    kind = F.col("RECTYPE")
+    tags = F.array(
+        F.when(kind.isin(PAYMENT_RECORD_TYPES), F.lit("payment")),
+        F.when(kind == "P", F.lit("new_format")),
+        F.when(kind == "M", F.lit("old_format")),
+        F.when(kind.isin(ADVERSE_RECORD_TYPES), F.lit("adverse")),
+    )
+    return df.select(F.explode(F.array_compact(tags)).alias("cohort"), "SEQNO")
+
+
 def year_range(df: DataFrame, first: int, last: int, column: str = "ORIGYEAR") -> DataFrame:
     return df.filter(F.col(column).between(first, last))
 
@@ -42,7 +54,7 @@ def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _state() -> dict[str, Column]:
-    source = F.upper(F.trim(F.coalesce(F.col("WORKSTAT"), F.col("LICNSTAT"), F.col("HOMESTAT"))))
+    source = F.upper(X.stripped(F.coalesce(F.col("WORKSTAT"), F.col("LICNSTAT"), F.col("HOMESTAT"))))
     return {"STATE": F.when(source.isin("", "NAN"), F.lit(None)).otherwise(source)}
 
 
@@ -55,7 +67,7 @@ def _periods() -> dict[str, Column]:
 
 
 def _resolution() -> dict[str, Column]:
-    code = F.upper(F.trim(F.col("PAYTYPE")))
+    code = F.upper(X.stripped(F.col("PAYTYPE")))
     return {
         "PAYTYPE_STR": code,
         "RESOLUTION_BINARY": L.lookup(code, L.RESOLUTIONS, "Other"),
@@ -74,7 +86,7 @@ def _adjusted_amounts(df: DataFrame, factor: Column) -> dict[str, Column]:
 
 
 def _payment_mode() -> dict[str, Column]:
-    code = F.upper(F.trim(F.col("PAYNUMBR")))
+    code = F.upper(X.stripped(F.col("PAYNUMBR")))
     mode = F.when(F.col("RECTYPE") == "M", "Unavailable Pre-2004").otherwise(
         L.lookup(code, L.PAYMENT_MODES, "Unknown Payment Mode")
     )
@@ -102,7 +114,7 @@ def with_resolution(df: DataFrame) -> DataFrame:
 def with_detailed_resolution(df: DataFrame) -> DataFrame:
     """Five-way resolution label; reports without a payment type are dropped."""
     known = df.filter(F.col("PAYTYPE").isNotNull())
-    return known.withColumn("RESOLUTION", L.lookup(F.upper(F.trim(F.col("PAYTYPE"))), L.DETAILED_RESOLUTIONS, "Other"))
+    return known.withColumn("RESOLUTION", L.lookup(F.upper(X.stripped(F.col("PAYTYPE"))), L.DETAILED_RESOLUTIONS, "Other"))
 
 
 def with_adjusted_amounts(

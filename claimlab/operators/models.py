@@ -10,7 +10,6 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    Imputer,
     OneHotEncoder,
     RFormula,
     StandardScaler,
@@ -73,62 +72,133 @@ def split_rows(df: DataFrame, test_share: float = TEST_SHARE) -> tuple[DataFrame
 # Regressions -----------------------------------------------------------------------------------
 
 
-def _coefficient_table(df: DataFrame, response: str, terms: list[str], **family) -> DataFrame:
-    """Fit response ~ terms with every term categorical; first level in text order is the reference level."""
-    frame = df.select(response, *[F.col(t).cast("string").alias(t) for t in terms])
+_MAX_ITERATIONS = 2000
+
+
+def term_cells(df: DataFrame, response: str, terms: list[str]) -> DataFrame:
+    """One row per combination of levels with its rows and the sums of the response and of its square.
+
+    Terms are bounded code sets, so this is a small table however many reports there are. It holds all that a
+    fit needs: coefficients follow from means weighted by rows, and the dispersion from the squares.
+    """
+    levels = [F.col(t).cast("string").alias(t) for t in terms]
+    known = df.filter(F.col(response).isNotNull())
+    cells = known.groupBy(*levels).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum(response).alias("_sum"), F.sum(F.col(response) * F.col(response)).alias("_sum2")
+    )
+    return checkpointed(cells.withColumn("cell_mean", F.col("_sum") / F.col("_rows")))
+
+
+def _fitted_cells(cells: DataFrame, terms: list[str], **family):
+    """The fitted model, the names of its coefficients, and the cells with their fitted means."""
     formula = RFormula(
-        formula=f"{response} ~ {' + '.join(terms)}",
+        formula=f"cell_mean ~ {' + '.join(terms)}",
         featuresCol="features",
         labelCol="label",
         stringIndexerOrderType="alphabetDesc",
-    ).fit(frame)
-    data = formula.transform(frame).select("features", "label")
-    model = GeneralizedLinearRegression(maxIter=50, tol=1e-8, **family).fit(data)
-    summary = model.summary
+    ).fit(cells)
+    data = formula.transform(cells)
+    model = GeneralizedLinearRegression(maxIter=_MAX_ITERATIONS, tol=1e-10, weightCol="_rows", **family).fit(data)
+    if model.summary.numIterations >= _MAX_ITERATIONS:
+        raise RuntimeError(f"the fit has not converged in {_MAX_ITERATIONS} iterations")
     attributes = data.schema["features"].metadata["ml_attr"]["attrs"]
     names = [
         a["name"] for a in sorted((a for group in attributes.values() for a in group), key=lambda a: a["idx"])
     ]
-    rows = list(
-        zip(
-            [*names, "Intercept"],
-            [*map(float, model.coefficients), float(model.intercept)],
-            map(float, summary.coefficientStandardErrors),
-            map(float, summary.tValues),
-            map(float, summary.pValues),
-        )
-    )
+    return model, names, model.transform(data).withColumnRenamed("prediction", "_fitted")
+
+
+def _coefficient_table(df: DataFrame, response: str, terms: list[str], **family) -> DataFrame:
+    """Fit response ~ terms with every term categorical; first level in text order is the reference level.
+
+    The input is read once. Standard errors are those of the row-level fit: the dispersion is taken over the
+    rows' own squares instead of the cells' means.
+    """
+    model, names, cells = _fitted_cells(term_cells(df, response, terms), terms, **family)
+    apart = F.col("_sum2") - 2 * F.col("_fitted") * F.col("_sum") + F.col("_rows") * F.col("_fitted") * F.col("_fitted")
+    variance = F.col("_fitted") * F.col("_fitted") if family["family"] == "gamma" else F.lit(1.0)
+    pearson, rows = cells.agg(F.sum(apart / variance), F.sum("_rows")).first()
+    summary = model.summary
+    free = rows - len(names) - 1
+    scale = math.sqrt(pearson / free / summary.dispersion) if free > 0 and summary.dispersion > 0 else float("nan")
+    coefficients = [*map(float, model.coefficients), float(model.intercept)]
+    errors = [e * scale for e in map(float, summary.coefficientStandardErrors)]
+    t_values = [c / e if e else float("nan") for c, e in zip(coefficients, errors)]
+    table = list(zip([*names, "Intercept"], coefficients, errors, t_values, [t_tail(t, free) for t in t_values]))
     return df.sparkSession.createDataFrame(
-        rows, "term string, coef double, std_err double, t_value double, p_value double"
+        table, "term string, coef double, std_err double, t_value double, p_value double"
+    )
+
+
+def t_tail(t: float, free: int) -> float:
+    """Two-sided tail of Student's distribution: the incomplete beta function at free / (free + t^2)."""
+    if not math.isfinite(t) or free <= 0:
+        return float("nan")
+    x, a, b = free / (free + t * t), free / 2, 0.5
+    if x in (0.0, 1.0):
+        return x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    # The continued fraction converges fast below the mean; above it the complement is used.
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - front * _beta_fraction(1 - x, b, a) / b
+    return front * _beta_fraction(x, a, b) / a
+
+
+def _beta_fraction(x: float, a: float, b: float, terms: int = 500) -> float:
+    value = 1.0
+    for m in range(terms, 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        value = 1.0 + odd / (1.0 + even / value)
+    return 1.0 / value
+
+
+def fit_balance(df: DataFrame, response: str, terms: list[str], **family) -> DataFrame:
+    """Per level of each term: rows, sum of the response, sum of fitted values, and sum of response over fitted.
+
+    At the optimum the fitted sum equals the observed one for a linear model, and the last column equals the rows
+    for a gamma model with log link.
+    """
+    _, _, cells = _fitted_cells(term_cells(df, response, terms), terms, **family)
+    levels = F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("level")) for t in terms])
+    return (
+        cells.select("_rows", "_sum", "_fitted", F.inline(levels))
+        .groupBy("term", "level")
+        .agg(
+            F.sum("_rows").alias("rows"),
+            F.sum("_sum").alias("observed"),
+            F.sum(F.col("_rows") * F.col("_fitted")).alias("fitted"),
+            F.sum(F.col("_sum") / F.col("_fitted")).alias("ratio"),
+        )
     )
 
 
+LOG_PAYMENT = {"family": "gaussian", "link": "identity"}
+GAMMA_PAYMENT = {"family": "gamma", "link": "log"}
+
+
 def log_payment_model(df: DataFrame, terms: list[str] = SEVERITY_TERMS) -> DataFrame:
     """Linear model of the log adjusted payment: coefficient table."""
-    return _coefficient_table(df, "LOG_PAYMENT_ADJ", terms, family="gaussian", link="identity")
+    return _coefficient_table(df, "LOG_PAYMENT_ADJ", terms, **LOG_PAYMENT)
 
 
 def gamma_payment_model(df: DataFrame, terms: list[str] = SEVERITY_TERMS) -> DataFrame:
     """Gamma model of the adjusted payment with log link: coefficient table."""
-    return _coefficient_table(df, "PAYMENT_ADJ", terms, family="gamma", link="log")
+    return _coefficient_table(df, "PAYMENT_ADJ", terms, **GAMMA_PAYMENT)
 
 
 # Classifier ------------------------------------------------------------------------------------
 
 
 def preprocessing(frame: DataFrame, features: list[str]) -> Pipeline:
-    """Median-imputed, scaled numbers and one-hot codes with the most frequent code for missing ones.
-
-    Text columns arrive with their missing values already filled by `fill_frequent`.
-    """
+    """Scaled numbers and one-hot codes; missing values arrive filled by `fill_missing`."""
     text = [c for c in features if isinstance(frame.schema[c].dataType, T.StringType)]
     numbers = [c for c in features if c not in text]
     stages = []
     vectors = []
     if numbers:
         stages += [
-            Imputer(strategy="median", inputCols=numbers, outputCols=[f"{c}_filled" for c in numbers], relativeError=1e-4),
-            VectorAssembler(inputCols=[f"{c}_filled" for c in numbers], outputCol="_numbers"),
+            VectorAssembler(inputCols=numbers, outputCol="_numbers"),
             StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
         ]
         vectors.append("_scaled")
@@ -146,6 +216,21 @@ def preprocessing(frame: DataFrame, features: list[str]) -> Pipeline:
     return Pipeline(stages=stages)
 
 
+def fill_missing(train: DataFrame, features: list[str]) -> dict[str, str | float]:
+    """What missing values become: the exact median of a number, the most frequent code of a text column."""
+    return fill_medians(train, features) | fill_frequent(train, features)
+
+
+def fill_medians(train: DataFrame, features: list[str]) -> dict[str, float]:
+    """Exact median of each number column in the training rows."""
+    numbers = [c for c in features if not isinstance(train.schema[c].dataType, T.StringType)]
+    if not numbers:
+        return {}
+    values = train.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "column", "amount")
+    medians = C.group_stats(values, ["column"], "amount", {}, {"median": 0.5})
+    return {row["column"]: row["median"] for row in medians.collect() if row["median"] is not None}
+
+
 def fill_frequent(train: DataFrame, features: list[str]) -> dict[str, str]:
     """Most frequent code of each text column in the training rows (smallest on ties)."""
     text = [c for c in features if isinstance(train.schema[c].dataType, T.StringType)]
@@ -168,36 +253,65 @@ def _class_weights(train: DataFrame, label: str) -> dict[int, float]:
     return {value: total / (len(counts) * n) for value, n in counts.items()}
 
 
+def classifier_frame(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """The columns that the classifier reads: SEQNO, features and the 0/1 label."""
+    frame = model_frame(df.filter(F.col(target).isNotNull()), ["SEQNO", *features, target])
+    return frame.withColumns({"label": F.col(target).cast("int"), "SEQNO": F.col("SEQNO").cast("long")})
+
+
 def fit_catastrophic_classifier(
     df: DataFrame, features: list[str] = CATASTROPHIC_FEATURES, target: str = "CATASTROPHIC"
 ) -> tuple[PipelineModel, DataFrame]:
     """Class-balanced logistic model of catastrophic payments and its scores on the test rows.
 
-    Returns the fitted pipeline and a frame of (SEQNO, label, score).
+    Returns the fitted pipeline and a frame of (SEQNO, label, score). The narrow training rows are written to
+    the checkpoint folder once, so the passes of the fit don't derive them from the reports again.
     """
-    keep = ["SEQNO", *features]
-    frame = model_frame(df.filter(F.col(target).isNotNull()), [*keep, target]).withColumn(
-        "label", F.col(target).cast("int")
-    )
-    frame = frame.withColumn("SEQNO", F.col("SEQNO").cast("long"))
+    frame = classifier_frame(df, features, target)
     train, test = split_rows(frame)
-    fill = fill_frequent(train, features)
+    train = checkpointed(train)
+    fill = fill_missing(train, features)
     weights = _class_weights(train, "label")
     weight = F.when(F.col("label") == 1, F.lit(weights.get(1, 1.0))).otherwise(F.lit(weights.get(0, 1.0)))
     filled = train.na.fill(fill).withColumn("_weight", weight)
     # Balanced weights sum to the number of training rows; unit penalty strength spreads over them.
     rows = filled.count()
     classifier = LogisticRegression(
-        weightCol="_weight", maxIter=200, tol=1e-7, regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False
-    )
+        weightCol="_weight", maxIter=_MAX_ITERATIONS, tol=1e-9, regParam=1.0 / max(rows, 1), elasticNetParam=0.0,
+        standardization=False,
+    )
     pipeline = preprocessing(filled, features)
     model = Pipeline(stages=[*pipeline.getStages(), classifier]).fit(filled)
+    if model.stages[-1].summary.totalIterations >= _MAX_ITERATIONS:
+        raise RuntimeError(f"the fit has not converged in {_MAX_ITERATIONS} iterations")
     scored = model.transform(test.na.fill(fill)).select(
         "SEQNO", "label", vector_to_array("probability")[1].alias("score")
     )
     return model, scored
 
 
+def classifier_balance(
+    df: DataFrame, features: list[str] = CATASTROPHIC_FEATURES, target: str = "CATASTROPHIC"
+) -> DataFrame:
+    """Training rows, positives, class-weighted mean score, and test rows and positives.
+
+    The intercept is free, so at the optimum the weighted mean score is the weighted share of positives, a half.
+    """
+    model, scored = fit_catastrophic_classifier(df, features, target)
+    train, _ = split_rows(classifier_frame(df, features, target))
+    weights = _class_weights(train, "label")
+    weight = F.when(F.col("label") == 1, F.lit(weights.get(1, 1.0))).otherwise(F.lit(weights.get(0, 1.0)))
+    fitted = model.transform(train.na.fill(fill_missing(train, features)))
+    score = vector_to_array("probability")[1]
+    own = fitted.agg(
+        F.count(F.lit(1)).alias("train_rows"),
+        F.sum(F.col("label").cast("long")).alias("train_positives"),
+        (F.sum(weight * score) / F.sum(weight)).alias("mean_score"),
+    )
+    tested = scored.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("long"))).first()
+    return own.select("*", F.lit(tested[0]).alias("test_rows"), F.lit(tested[1]).alias("test_positives"))
+
+
 def classifier_metrics(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC-AUC, average precision and row count of scored rows.
 
@@ -209,9 +323,7 @@ def classifier_metrics(scored: DataFrame, label: str = "label", score: str = "sc
         .agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("_hits"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_misses", F.col("_n") - F.col("_hits"))
     )
-    # Scores are probabilities or scores of similar size: linear buckets keep the table of totals bounded.
-    bucket = F.floor(F.col(C.VALUE) * 65536)
-    ranked = C.running_totals(counts, ["_hits", "_misses"], bucket)
+    ranked = C.running_totals(counts, ["_hits", "_misses"])
     hits_to_here = F.col("_hits_before") + F.col("_hits")
     misses_to_here = F.col("_misses_before") + F.col("_misses")
     precision = hits_to_here / (hits_to_here + misses_to_here)
@@ -227,6 +339,7 @@ def classifier_metrics(scored: DataFrame, label: str = "label", score: str = "sc
 # Severity distributions ------------------------------------------------------------------------
 
 _TRIALS = 33
+_MOVES = 4
 
 
 def fit_severity_distributions(df: DataFrame, column: str = "PAYMENT_ADJ", rounds: int = 9) -> DataFrame:
@@ -294,13 +407,25 @@ def _lognormal_fit(n: float, mean_log: float, mean_log2: float):
 
 
 def _search(evaluate, low: float, high: float, rounds: int) -> float:
-    """Maximum of a unimodal function: a grid per round, then the neighbours of its best point."""
-    for _ in range(rounds):
+    """Maximum of a unimodal function: a grid per round, then the neighbours of its best point.
+
+    A best point at the edge moves the range on, at most `_MOVES` times; a function that still rises is an error.
+    """
+    moves = 0
+    while rounds:
         step = (high - low) / (_TRIALS - 1)
         grid = [low + step * i for i in range(_TRIALS)]
         values = evaluate(grid)
         best = max(range(_TRIALS), key=lambda i: values[i])
-        low, high = grid[max(best - 1, 0)], grid[min(best + 1, _TRIALS - 1)]
+        if best in (0, _TRIALS - 1):
+            moves += 1
+            if moves > _MOVES:
+                raise RuntimeError("the likelihood has no maximum in the range that was searched")
+            width = high - low
+            low, high = (low - width / 2, high - width / 2) if best == 0 else (low + width / 2, high + width / 2)
+            continue
+        low, high = grid[best - 1], grid[best + 1]
+        rounds -= 1
     return (low + high) / 2
 
 

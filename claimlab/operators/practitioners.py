@@ -115,13 +115,14 @@ def mobility_comparison(mobility: DataFrame) -> DataFrame:
 def multi_payment_profile(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """Practitioners with multiple-payment reports: how many, how much, over which years and states.
 
-    The share denominator is one scalar over the reports, so the practitioner table is never gathered.
+    The share denominator is one scalar over the partial rows, so the reports are read once and the practitioner
+    table is never gathered.
     """
     frame = df.filter((F.col("PAYMENT_MODE") == "Multiple Payments") & F.col("PRACTNUM").isNotNull())
-    grand_total = frame.agg(F.coalesce(F.sum("PAYMENT_ADJ"), F.lit(0.0))).scalar()
+    parts = _partial(frame, ["PRACTNUM", "STATE"])
+    grand_total = parts.agg(F.coalesce(F.sum("_paid"), F.lit(0.0))).scalar()
     return (
-        _partial(frame, ["PRACTNUM", "STATE"])
-        .groupBy("PRACTNUM")
+        parts.groupBy("PRACTNUM")
         .agg(
             *_totals("report_count", "total_payment_adj", "mean_payment_adj"),
             F.count("STATE").alias("state_count"),

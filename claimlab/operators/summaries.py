@@ -182,23 +182,27 @@ def single_multiple_comparison(df: DataFrame, digits: int | None = 2) -> DataFra
 def annual_trend(df: DataFrame, median: bool = True) -> DataFrame:
     """Count and totals, means, medians per report year, nominal and adjusted.
 
-    The inflation factor is fixed within a year, so adjusted statistics are the nominal ones times it.
+    The inflation factor is fixed within a year, so adjusted statistics are the nominal ones times it. It is the
+    frame's own CPI_FACTOR where there is one.
     """
+    own_factor = "CPI_FACTOR" in df.columns
+    extra = {"_factor": F.max("CPI_FACTOR")} if own_factor else {}
     nominal = C.group_stats(
         df.filter(F.col("ORIGYEAR").isNotNull()),
         ["ORIGYEAR"],
         "PAYMENT",
-        {"count": C.rows(), "total_nominal": C.total(), "mean_nominal": C.mean()},
+        {"count": C.rows(), "total_nominal": C.total(), "mean_nominal": C.mean(), **extra},
         {"median_nominal": 0.5} if median else None,
+        ["CPI_FACTOR"] if own_factor else [],
     )
-    factor = X.cpi_factor(F.col("ORIGYEAR"))
+    factor = F.col("_factor") if own_factor else X.cpi_factor(F.col("ORIGYEAR"))
     adjusted = {
         "total_adj": F.coalesce(F.col("total_nominal") * factor, F.lit(0.0)),
         "mean_adj": F.col("mean_nominal") * factor,
     }
     if median:
         adjusted["median_adj"] = F.col("median_nominal") * factor
-    return nominal.withColumns(adjusted).orderBy("ORIGYEAR")
+    return nominal.withColumns(adjusted).drop("_factor").orderBy("ORIGYEAR")
 
 
 def annual_changes(trend: DataFrame) -> DataFrame:
@@ -263,7 +267,7 @@ def injury_only(severity: DataFrame, label: str = "outcome_label") -> DataFrame:
 
 def patient_sex_amounts(df: DataFrame) -> DataFrame:
     frame = FT.complete_cases(df, ["PTSEX", "PAYMENT"]).withColumn(
-        "sex_label", L.lookup(F.upper(F.trim("PTSEX")), L.SEXES, "Unknown")
+        "sex_label", L.lookup(F.upper(X.stripped(F.col("PTSEX"))), L.SEXES, "Unknown")
     )
     return _amount_summary(frame, "sex_label").orderBy("sex_label")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from claimlab.functions import labels as L
@@ -96,17 +97,36 @@ def _preprocessed(c):
     """Imputed, scaled and encoded training rows, reduced to their dimension and column means."""
     frame = M.model_frame(c.new, ["OUTCOME", "LAG_YEARS", "RESOLUTION_BINARY"])
     names = ["OUTCOME", "LAG_YEARS", "RESOLUTION_BINARY"]
-    filled = frame.na.fill(M.fill_frequent(frame, names))
+    filled = frame.na.fill(M.fill_missing(frame, names))
     data = M.preprocessing(filled, names).fit(filled).transform(filled)
+    scaled, hot = vector_to_array("_scaled"), vector_to_array("RESOLUTION_BINARY_hot")
     return data.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum("OUTCOME_filled").alias("outcome_sum"),
-        F.sum("LAG_YEARS_filled").alias("lag_sum"),
+        F.sum("OUTCOME").alias("outcome_sum"),
+        F.sum("LAG_YEARS").alias("lag_sum"),
+        *[F.sum(scaled[i]).alias(f"scaled_sum_{i}") for i in (0, 1)],
+        *[F.sum(scaled[i] * scaled[i]).alias(f"scaled_squares_{i}") for i in (0, 1)],
+        F.sum(scaled[0] * scaled[1]).alias("scaled_product"),
+        *[F.sum(F.get(hot, F.lit(i))).alias(f"hot_{i}") for i in (0, 1, 2)],
     )
 
 
-_PREPROCESSED_SQL = """SELECT count(*) AS rows, CAST(sum(coalesce(OUTCOME, (SELECT quantile_disc(OUTCOME, 0.5) FROM p_feat))) AS DOUBLE) AS outcome_sum,
-  CAST(sum(coalesce(LAG_YEARS, (SELECT quantile_disc(LAG_YEARS, 0.5) FROM p_feat))) AS DOUBLE) AS lag_sum FROM p_feat"""
+_PREPROCESSED_SQL = """WITH filled AS (
+  SELECT CAST(coalesce(OUTCOME, (SELECT median(OUTCOME) FROM p_feat)) AS DOUBLE) AS o,
+    CAST(coalesce(LAG_YEARS, (SELECT median(LAG_YEARS) FROM p_feat)) AS DOUBLE) AS l,
+    coalesce(RESOLUTION_BINARY, (SELECT mode(RESOLUTION_BINARY) FROM p_feat)) AS r FROM p_feat),
+codes AS (SELECT r, row_number() OVER (ORDER BY count(*) DESC, r) - 1 AS slot, CAST(count(*) AS DOUBLE) AS n FROM filled GROUP BY r);;
+SELECT count(*) AS rows, sum(o) AS outcome_sum, sum(l) AS lag_sum, CAST(0 AS DOUBLE) AS scaled_sum_0, CAST(0 AS DOUBLE) AS scaled_sum_1,
+  CAST(count(*) - 1 AS DOUBLE) AS scaled_squares_0, CAST(count(*) - 1 AS DOUBLE) AS scaled_squares_1,
+  corr(o, l) * (count(*) - 1) AS scaled_product,
+  (SELECT n FROM codes WHERE slot = 0) AS hot_0, (SELECT n FROM codes WHERE slot = 1) AS hot_1, (SELECT n FROM codes WHERE slot = 2) AS hot_2
+FROM filled"""
+
+_TERM_ROWS = " UNION ALL ".join(
+    f"""SELECT '{t}' AS term, CAST({t} AS VARCHAR) AS level, count(*) AS rows, {{measure}} FROM p_feat
+    WHERE {_SEVERITY_WHERE} GROUP BY {t}"""
+    for t in M.SEVERITY_TERMS
+)
 
 QUERIES = [
     Query("d01_describe_payment", lambda c: D.describe(c.feat, "PAYMENT"), _describe_sql("PAYMENT", "feat"), r2="value"),
@@ -233,7 +253,34 @@ QUERIES = [
         f"""SELECT CASE WHEN {_BUCKET_SQL} < 0.25 THEN 'test' ELSE 'train' END AS part, CATASTROPHIC, count(*) AS rows
         FROM p_feat GROUP BY 1, CATASTROPHIC""",
     ),
-    Query("m06_preprocessing", _preprocessed, _PREPROCESSED_SQL),
+    Query(
+        "m03_log_payment_balance",
+        lambda c: M.fit_balance(M.severity_frame(c.new), "LOG_PAYMENT_ADJ", M.SEVERITY_TERMS, **M.LOG_PAYMENT).drop("ratio"),
+        _TERM_ROWS.format(measure="sum(LOG_PAYMENT_ADJ) AS observed, sum(LOG_PAYMENT_ADJ) AS fitted"),
+        r2="observed fitted",
+    ),
+    Query(
+        "m04_gamma_payment_balance",
+        lambda c: M.fit_balance(M.severity_frame(c.new), "PAYMENT_ADJ", M.SEVERITY_TERMS, **M.GAMMA_PAYMENT).drop(
+            "observed", "fitted"
+        ),
+        _TERM_ROWS.format(measure="CAST(count(*) AS DOUBLE) AS ratio"),
+        r2="ratio",
+    ),
+    Query(
+        "m07_classifier_balance",
+        lambda c: M.classifier_balance(M.severity_frame(c.new)),
+        f"""SELECT count(*) FILTER (WHERE NOT t) AS train_rows, CAST(sum(y) FILTER (WHERE NOT t) AS BIGINT) AS train_positives,
+        CAST(0.5 AS DOUBLE) AS mean_score, count(*) FILTER (WHERE t) AS test_rows, CAST(sum(y) FILTER (WHERE t) AS BIGINT) AS test_positives
+        FROM (SELECT CAST(CATASTROPHIC AS INTEGER) AS y, {_BUCKET_SQL} < 0.25 AS t FROM p_feat WHERE {_SEVERITY_WHERE}) AS split""",
+        r4="mean_score",
+    ),
+    Query(
+        "m06_preprocessing",
+        _preprocessed,
+        _PREPROCESSED_SQL,
+        r4="scaled_sum_0 scaled_sum_1 scaled_squares_0 scaled_squares_1 scaled_product",
+    ),
     Query(
         "m07_catastrophic_classifier",
         lambda c: M.classifier_metrics(M.fit_catastrophic_classifier(M.severity_frame(c.new))[1]),
@@ -243,6 +290,19 @@ QUERIES = [
         "m09_severity_distributions",
         lambda c: M.fit_severity_distributions(c.feat.filter(F.col("PAYMENT_MODE") == "Single Payment")),
     ),
+    Query(
+        "m09_closed_form_fits",
+        lambda c: M.fit_severity_distributions(c.feat.filter(F.col("PAYMENT_MODE") == "Single Payment"))
+        .filter(F.col("distribution").isin("exponential", "lognormal"))
+        .select("distribution", "shape", "scale", "aic"),
+        """WITH paid AS (SELECT PAYMENT_ADJ AS x, ln(PAYMENT_ADJ) AS l FROM feat
+          WHERE PAYMENT_MODE = 'Single Payment' AND PAYMENT_ADJ > 0),
+        m AS (SELECT count(*) AS n, avg(x) AS mean, avg(l) AS mu, stddev_pop(l) AS sigma FROM paid);;
+        SELECT 'exponential' AS distribution, CAST(NULL AS DOUBLE) AS shape, mean AS scale, 2 + 2 * n * (ln(mean) + 1) AS aic FROM m
+        UNION ALL SELECT 'lognormal', sigma, exp(mu), 4 + 2 * n * (mu + ln(sigma) + 0.5 * ln(2 * pi()) + 0.5) FROM m""",
+        r4="shape",
+        r2="scale aic",
+    ),
     Query(
         "m10_lag_frame",
         lambda c: M.lag_frame(c.feat).select("SEQNO", "LAG_YEARS"),

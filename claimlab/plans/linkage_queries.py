@@ -175,9 +175,9 @@ QUERIES = [
     ),
     Query(
         "w08_profile_order",
-        lambda c: P.by_report_count(P.multi_payment_profile(c.feat, digits=None)).limit(20).select("PRACTNUM", "report_count"),
+        lambda c: P.by_report_count(P.multi_payment_profile(c.feat, digits=None)).select("PRACTNUM", "report_count"),
         f"""SELECT PRACTNUM, report_count FROM ({PROFILE_SQL}) AS p
-        ORDER BY report_count DESC, total_payment_adj DESC, PRACTNUM LIMIT 20""",
+        ORDER BY report_count DESC, total_payment_adj DESC, PRACTNUM""",
     ),
     Query(
         "p06_classified_profiles",

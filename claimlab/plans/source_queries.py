@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlab.functions import columns as X
@@ -57,7 +54,7 @@ def _bad(column: str) -> str:
     if DECLARED_KINDS[column] == "String" or _RAW_TYPES[column] != "string":
         return "false"
     value = f"replace(replace({column}, '$', ''), ',', '')" if DECLARED_KINDS[column] == "Dollar" else column
-    return f"{column} IS NOT NULL AND TRY_CAST({value} AS DOUBLE) IS NULL"
+    return f"trim({column}) <> '' AND TRY_CAST({value} AS DOUBLE) IS NULL"
 
 
 def _csv_round_trip(c):
@@ -68,18 +65,6 @@ def _csv_round_trip(c):
     return parse_claims_lines(lines, "line", schema).select("SEQNO", "RECTYPE", "ORIGYEAR", "PAYMENT", "TOTALPMT", "PRACTNUM")
 
 
-def _cohort_rows(c):
-    """Rows of each cohort filter, tagged."""
-    cohorts = {
-        "payment": features.payment_records(c.clean),
-        "new_format": features.new_format_records(c.clean),
-        "old_format": features.old_format_records(c.clean),
-        "adverse": features.adverse_records(c.clean),
-    }
-    tagged = [df.select(F.lit(name).alias("cohort"), "SEQNO") for name, df in cohorts.items()]
-    return reduce(DataFrame.unionByName, tagged)
-
-
 _COHORT_SQL = " UNION ALL ".join(
     f"SELECT '{name}' AS cohort, SEQNO FROM clean WHERE RECTYPE IN ({types})"
     for name, types in [
@@ -220,11 +205,11 @@ QUERIES = [
     ),
     Query(
         "s08_record_class_breakdown",
-        lambda c: audit.record_class_breakdown(c.raw.filter("RECTYPE <> 'A'"), digits=None),
+        lambda c: audit.record_class_breakdown(c.raw, digits=None),
         """SELECT d.RECTYPE, d.label, coalesce(n, 0) AS count, coalesce(n * 100.0 / sum(n) OVER (), 0) AS pct
         FROM (VALUES ('M', 'Malpractice (old format, pre-2004)'), ('P', 'Malpractice (new format, post-2004)'),
           ('A', 'Adverse Action (old format, pre-1999)'), ('C', 'Adverse Action (CAAR, post-1999)')) AS d(RECTYPE, label)
-        LEFT JOIN (SELECT RECTYPE, count(*) AS n FROM claims WHERE RECTYPE <> 'A' GROUP BY RECTYPE) AS k
+        LEFT JOIN (SELECT RECTYPE, count(*) AS n FROM claims GROUP BY RECTYPE) AS k
         ON d.RECTYPE = k.RECTYPE""",
         r4="pct",
     ),
@@ -349,7 +334,7 @@ QUERIES = [
         """SELECT SEQNO, CASE WHEN SEQNO % 3 = 1 THEN 'USA' END AS WORKCTRY,
         CASE WHEN SEQNO % 4 <> 0 THEN 'CANADA' END AS HOMECTRY FROM claims""",
     ),
-    Query("f01_cohorts", _cohort_rows, _COHORT_SQL),
+    Query("f01_cohorts", lambda c: features.cohort_tags(c.clean), _COHORT_SQL),
     Query(
         "f02_state",
         lambda c: features.with_state(c.clean).select("SEQNO", "STATE"),

@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 
 from claimlab.functions import labels as L
 from claimlab.functions import shares as S
+from claimlab.functions.labels import CPI_FACTORS, CPI_FIRST_YEAR
 from claimlab.operators import audit, features
 from claimlab.operators import summaries as A
-from claimlab.operators.distributions import pivot_summary
+from claimlab.operators.distributions import INCIDENT_DECADES, pivot_summary, report_incident_matrix
 from claimlab.plans.base import PAYMENT_R4, Query, case_sql, payment_stats_sql
 from claimlab.plans.source_queries import EXPERIENCE_SQL, REPORT_BAND_SQL
 
 PEERS = "'WI', 'MN', 'IA', 'IL', 'MI', 'IN', 'OH'"
-DECADES = ["1990-1999", "2000-2009", "2010-2019", "2020-2029"]
+#: Report decades from the first report year to the last one with an inflation factor.
+DECADES = [
+    f"{year}-{year + 9}" for year in range(CPI_FIRST_YEAR // 10 * 10, CPI_FIRST_YEAR + len(CPI_FACTORS), 10)
+]
 MODES = ["Single Payment", "Multiple Payments", "Unknown Payment Mode"]
 
 
@@ -186,7 +190,7 @@ QUERIES = [
         """SELECT STATE, PERIOD_10Y, CAST(sum(count) AS BIGINT) AS total_count, avg(mean_payment_adj) AS avg_mean_payment_adj,
         avg(catastrophic_share) * 100 AS avg_catastrophic_share
         FROM (SELECT STATE, PERIOD_10Y, PAYMENT_MODE, count(*) AS count, avg(PAYMENT_ADJ) AS mean_payment_adj,
-          round(avg(CAST(CATASTROPHIC AS DOUBLE)), 6) AS catastrophic_share FROM p_feat WHERE STATE IS NOT NULL
+          avg(CAST(CATASTROPHIC AS DOUBLE)) AS catastrophic_share FROM p_feat WHERE STATE IS NOT NULL
           GROUP BY STATE, PERIOD_10Y, PAYMENT_MODE) AS s GROUP BY STATE, PERIOD_10Y""",
         r4="avg_mean_payment_adj",
         r2="avg_catastrophic_share",
@@ -627,6 +631,15 @@ QUERIES = [
         ON PERIOD_10Y IN ({', '.join(repr(d) for d in DECADES)}) USING first(mean_payment_adj) GROUP BY STATE""",
         r4=" ".join(DECADES),
     ),
+    Query(
+        "d08_report_incident_matrix",
+        lambda c: report_incident_matrix(A.report_vs_incident_period(c.feat)),
+        f"""PIVOT (SELECT * FROM (SELECT PERIOD_10Y, MAL_PERIOD_10Y, avg(PAYMENT_ADJ) AS mean_payment_adj, count(*) AS n
+          FROM feat WHERE MAL_PERIOD_10Y IS NOT NULL AND PERIOD_10Y IS NOT NULL GROUP BY PERIOD_10Y, MAL_PERIOD_10Y) AS p
+          WHERE n >= 10 AND regexp_matches(MAL_PERIOD_10Y, '^(19|20)'))
+        ON MAL_PERIOD_10Y IN ({', '.join(repr(d) for d in INCIDENT_DECADES)}) USING first(mean_payment_adj) GROUP BY PERIOD_10Y""",
+        r4=" ".join(INCIDENT_DECADES),
+    ),
     Query(
         "d08_pivot_mode_shares",
         lambda c: pivot_summary(

@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlab.functions import columns as X
 from claimlab.schema import CLAIMS_SCHEMA
 
 
-def read_claims_csv(spark: SparkSession, path: str, schema: T.StructType = CLAIMS_SCHEMA) -> DataFrame:
-    """Read the claims CSV with an explicit schema, so the file is scanned once and never sampled.
+def read_claims_csv(
+    spark: SparkSession, path: str, schema: T.StructType = CLAIMS_SCHEMA, typed: bool = True
+) -> DataFrame:
+    """Read the claims CSV by its header: any column order, absent columns null, columns not in `schema` left out.
 
-    Dollar and coded columns stay text here; `clean_claims` types them. Cells that do not parse as
-    their declared integer type become null. Columns are matched by header name.
+    Every cell is read as text, so nothing is lost before it is looked at. Whole-number columns are then rounded
+    to their type, which takes `9.0` as 9; `typed=False` leaves them as text for `audit.type_conformity`. Dollar
+    and coded columns stay text either way; `clean_claims` types them.
     """
-    return (
+    text = (
         spark.read.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .schema(schema)
         .csv(path)
     )
+    present = set(text.columns)
+    cells = [(F.col(f"`{f.name}`") if f.name in present else F.lit(None).cast("string"), f) for f in schema]
+    return text.select(*[(_typed(cell, f) if typed else cell).alias(f.name) for cell, f in cells])
 
 
 def parse_claims_lines(lines: DataFrame, column: str, schema: T.StructType = CLAIMS_SCHEMA) -> DataFrame:
-    """Parse a column of headerless claims CSV lines with the same rules as the file reader."""
-    parsed = F.from_csv(F.col(column), F.lit(schema_ddl(schema)), {"mode": "PERMISSIVE"})
-    return lines.select(parsed.alias("claim")).select("claim.*")
+    """Parse a column of headerless claims CSV lines, in the order of `schema`, by the rules of the file reader."""
+    as_text = ", ".join(f"{field.name} string" for field in schema)
+    parsed = F.from_csv(F.col(column), F.lit(as_text), {"mode": "PERMISSIVE"})
+    cells = lines.select(parsed.alias("claim")).select("claim.*")
+    return cells.select(*[_typed(F.col(field.name), field).alias(field.name) for field in schema])
 
 
-def schema_ddl(schema: T.StructType) -> str:
-    return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema)
+def _typed(cell: Column, field: T.StructField) -> Column:
+    if isinstance(field.dataType, T.StringType):
+        return cell
+    return X.coded_integer(cell, True, field.dataType.simpleString())

@@ -53,13 +53,8 @@ def differences(spark_df, con, sql) -> str | None:
         return f"columns {left[0]} != {right[0]}"
     if len(left[1]) != len(right[1]):
         return f"row count {len(left[1])} != {len(right[1])}"
-    kinds = [(_kind(t), d[1]) for t, d in zip([f.dataType.simpleString() for f in spark_df.schema], result.description)]
     for a, b in zip(left[1], right[1]):
         if a != b or any(type(x) is not type(y) for x, y in zip(a, b)):
             bad = [(n, x, y) for n, x, y in zip(left[0], a, b) if x != y or type(x) is not type(y)]
             return f"first difference {bad} in {a}"
     return None
-
-
-def _kind(name: str) -> str:
-    return name
