@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SETTING = "spark.checkpoint.dir"
+#: Takes batches of texts and gives a result for each text.
+TextResult = Callable[[Iterator[pa.Array]], Iterator[pa.Array]]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,8 +60,44 @@ def kept_in_worker(key, build):
 
 
 def keep_nothing() -> None:
-    """Called by tasks that need room and no cache."""
+    """Called by tasks that keep no cache, when they begin and when they end."""
     _kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Called at the end of tasks, so that workers that wait for the next one hold little memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def with_text_result(df: DataFrame, name: str, kind: str, compute: TextResult) -> tuple[DataFrame, list[Column]]:
+    """The table with a column computed from `text`, and the columns that give the table back.
+
+    Whole batches of rows stream through the worker, so the JVM holds no queue of rows that wait for a result.
+    """
+    if name in df.columns:
+        raise ValueError(f"the table already has a column {name}")
+    place = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                waiting.append(batch)
+                yield batch.column(place)
+
+        for result in compute(texts()):
+            batch = waiting.popleft()
+            yield pa.RecordBatch.from_arrays([*batch.columns, result], names=[*batch.schema.names, name])
+
+    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema]
+    schema = T.StructType([*fields, T.StructField(name, T.DataType.fromDDL(kind), True)])
+    return df.mapInArrow(run, schema), [F.col(f"`{c}`") for c in df.columns]
 
 
 def held_out(doc_id: Column | str) -> Column:

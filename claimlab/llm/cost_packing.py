@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlab.llm import common
-from claimlab.llm.library_encoding import encoder
+from claimlab.llm.library_encoding import MEMORY, encoder
 
 SEQUENCE_TOKENS = 2048
 GROUP_SEQUENCES = 512
@@ -41,14 +41,17 @@ def packed(
     group_sequences: int = GROUP_SEQUENCES,
     linear: float = 1.0,
     quadratic: float = 1.0 / 4096,
+    memory: int = MEMORY,
 ) -> DataFrame:
     """Pieces of documents with their sequence and place in it; `ids` are little-endian 32-bit integers.
 
+    `memory` bounds the text pieces whose ids a worker remembers.
+
     Sequence ids are unique over all tasks: the task's number in the upper half, a count in the lower.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, memory).encode
         end = np.array([end_id], dtype="<u4").tobytes()
         group = _Group(TaskContext.get().partitionId() << 32, sequence_tokens, group_sequences, linear, quadratic)
         for batch in batches:
@@ -57,6 +60,7 @@ def packed(
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
                     yield from group.add(doc_id, ids + end)
         yield from group.rest()
+        common.give_back()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, _PIECES)
 
@@ -139,9 +143,9 @@ class _Group:
         return doc_id, start + at, size, count, self.next_id + sequence, offset, cost, ids[4 * at : 4 * (at + size)]
 
 
-def pack_documents(documents: DataFrame) -> DataFrame:
+def pack_documents(documents: DataFrame, memory: int = MEMORY) -> DataFrame:
     """The registered parameters: the 49k word vocabulary, end id 1, sequences of 2048 tokens."""
-    pieces = packed(documents, common.tokenizer_path("word_bpe_49k.json"), end_id=1)
+    pieces = packed(documents, common.tokenizer_path("word_bpe_49k.json"), end_id=1, memory=memory)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost"
     )

@@ -40,8 +40,8 @@ LEXICON = 20_000
 CHAINS, CHAIN_STRETCHES = 1_500, 4
 EPOCHS, BATCH, RATE, L2 = 6, 100, 0.25, 1e-5
 # Bytes of text of one forward-backward block, and words in each of the two remembered generations.
-BLOCK_BYTES = 2_000_000
-MEMORY = 150_000
+BLOCK_BYTES = 1_000_000
+MEMORY = 80_000
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -319,6 +319,8 @@ def _labelling(model: Crf):
             high = np.clip(scores.max(axis=1), 0.0, 1.0) if len(scores) else np.zeros(0)
             names = [model.languages[b] if s > 0 else UNDETERMINED for b, s in zip(best, high)]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(high, pa.float64())], ["lang_pred", "score"])
+        del labeller
+        common.keep_nothing()
 
     return label
 
@@ -346,8 +348,11 @@ def word_languages(documents: DataFrame, model: Crf) -> DataFrame:
 def in_one_language(documents: DataFrame, least_score: float = 0.4) -> DataFrame:
     """The documents, all their columns, whose text has a language with at least this score."""
     model = fitted(documents.where(~common.held_out("doc_id")))
-    marked = documents.select(F.struct("*").alias("row"), text_language(model).alias("label"))
-    return marked.where((F.col("label.lang_pred") != UNDETERMINED) & (F.col("label.score") >= least_score)).select("row.*")
+    if model is None:
+        return documents.limit(0)
+    marked, columns = common.with_text_result(documents, "__language", _LABEL, _labelling(model))
+    sure = (F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= least_score)
+    return marked.where(sure).select(*columns)
 
 
 def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

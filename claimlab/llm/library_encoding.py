@@ -22,7 +22,7 @@ import numpy as np
 from claimlab.llm import common
 
 # Pieces in each of the two generations that are remembered.
-MEMORY = 400_000
+MEMORY = 250_000
 # Characters that go to the library in one call.
 CALL_CHARS = 2_000
 
@@ -116,7 +116,7 @@ class PieceEncoder:
         memory.add(stemmed, [known[p[:-1]] + self.mark[p[-1]] for p in stemmed])
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, memory: int = MEMORY) -> PieceEncoder:
     """The encoder of a tokenizer file, kept in each worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -125,12 +125,12 @@ def encoder(path: str) -> PieceEncoder:
 
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
-        return library_encoder(library)
+        return library_encoder(library, memory)
 
-    return common.kept_in_worker(("library", path), build)
+    return common.kept_in_worker(("library", path, memory), build)
 
 
-def library_encoder(library) -> PieceEncoder:
+def library_encoder(library, memory: int = MEMORY) -> PieceEncoder:
     def ids_of(text: str) -> np.ndarray:
         return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
@@ -187,6 +187,7 @@ def library_encoder(library) -> PieceEncoder:
             lambda pieces: separately(pieces, " ", " ", spaced),
             lambda pieces: separately(pieces, "\n", "", heads),
             True,
+            memory,
         )
 
     separator = ids_of(_SEPARATOR)
@@ -197,4 +198,4 @@ def library_encoder(library) -> PieceEncoder:
     def words(pieces: list[str]) -> Iterator[bytes]:
         return separately(pieces, _SEPARATOR, "", between)
 
-    return PieceEncoder(encode_one, words, words, False)
+    return PieceEncoder(encode_one, words, words, False, memory)

@@ -113,6 +113,7 @@ def _described(documents: DataFrame, words: int) -> DataFrame:
             yield from _frequent(held)
             columns = [pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(classes, pa.int64())]
             yield pa.record_batch([*columns, pa.array(sizes, pa.int32())], names=["kind", "id", "cls", "n"])
+        common.keep_nothing()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         describe, "kind int, id long, cls long, n int"
@@ -168,6 +169,8 @@ def _bucketed(documents: DataFrame, heavy: list[int], bits: int, words: int) ->
                     held, classes, total = [], [], 0
         if held:
             yield _bucket_rows(held, classes, frequent, bits)
+        held, classes = [], []
+        common.keep_nothing()
 
     schema = "bucket int, grams binary, owners binary, classes binary, sizes binary"
     return documents.select("text").mapInArrow(cut, schema)

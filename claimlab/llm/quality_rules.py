@@ -96,6 +96,7 @@ def _measured_batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rows = [measured(text) for part in parts for text in part.to_pylist()]
         columns = list(zip(*rows)) or [[]] * len(names)
         yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+    common.keep_nothing()
 
 
 def measures(text: str) -> Column:
@@ -223,9 +224,9 @@ def kept_documents(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA
     sample = documents.select("doc_id", _stratum().alias("stratum"), measures("text").alias("m"))
     sample = sample.select("doc_id", "stratum", "m.*").join(known, F.col("doc_id") == F.col("labelled"))
     cutoffs = fitted_cutoffs(sample, alpha, delta)
-    marked = documents.select(F.struct("*").alias("row"), _stratum().alias("stratum"), measures("text").alias("m"))
-    verdict = ~base_failed("m.") & accepted(cutoffs, F.col("stratum"), "m.")
-    return marked.where(verdict).select("row.*")
+    marked, columns = common.with_text_result(documents, "__measures", _MEASURES, _measured_batches)
+    verdict = ~base_failed("__measures.") & accepted(cutoffs, _stratum(), "__measures.")
+    return marked.where(verdict).select(*columns)
 
 
 def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

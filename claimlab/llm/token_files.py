@@ -55,6 +55,7 @@ def write_token_files(
                     if full := build.add(doc_id, ids + end):
                         yield full
         yield from build.rest()
+        common.give_back()
 
     # Equal doc_ids meet in a range; their order there is settled by the text.
     ordered = by_range.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from claimlab.llm import common, cost_packing, language_crf, ngram_join, quality_rules
 
 
+# Executors hold shuffled texts of the stage before when packing begins, so its workers remember less.
+PACKING_MEMORY = 60_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the risk-controlled cutoffs keep."""
     return quality_rules.kept_documents(docs, common.table(spark, sf_dir, "labels"))
@@ -31,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document in sequences of 2048 tokens."""
-    return cost_packing.pack_documents(docs)
+    return cost_packing.pack_documents(docs, memory=PACKING_MEMORY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
