@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from claimlab.functions.labels import CPI_FACTORS, CPI_FIRST_YEAR
 from claimlab.operators import features, linkage
 from claimlab.operators.cleaning import clean_claims
-from claimlab.session import tuned
 from claimlab.sources.sample_claims import CLAIMS_SQL, sample_claims
 
 
@@ -20,7 +19,7 @@ class Claims:
     """The stages of the sample claims that queries start from; each is a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = tuned(spark)
+        self.spark = spark
         self.sf_dir = sf_dir
 
     @cached_property
