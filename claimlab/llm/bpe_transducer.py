@@ -16,6 +16,7 @@ read. Decoding gives back the text's bytes.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -29,11 +30,11 @@ from claimlab.llm import common
 from claimlab.llm.library_encoding import WORD_END, Recent
 
 # Determinised states kept at a time.
-STATES = 100_000
+STATES = 150_000
 # Checked pairs of tokens kept at a time.
 PAIRS = 400_000
 # Pieces remembered in each of two generations.
-MEMORY = 150_000
+MEMORY = 300_000
 _ROWS = 500
 
 
@@ -239,7 +240,7 @@ class TextEncoder:
     white-space characters can be cut there.
     """
 
-    _MEETING = regex.compile(r"\s\s")
+    _MEETING = re.compile(r"\s\s")
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
