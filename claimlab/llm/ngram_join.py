@@ -553,3 +553,30 @@ def one_of_each_group(documents: DataFrame, words: int = WORDS, percent: int = P
 def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over all documents: five words, 80 percent."""
     return linked_components(common.table(spark, sf_dir, "documents")).drop("class_id")
+
+
+SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams
+  FROM texts
+), held AS (
+  SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM held AS a JOIN held AS b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reached AS (
+  SELECT doc_id AS start, doc_id AS node FROM sets
+  UNION
+  SELECT r.start, l.v FROM reached AS r JOIN both_ways AS l ON l.u = r.node
+)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, r.component_id
+FROM sets AS s JOIN (SELECT start, min(node) AS component_id FROM reached GROUP BY start) AS r ON r.start = s.doc_id
+"""

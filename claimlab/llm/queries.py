@@ -32,4 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": token_files.token_file_digest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_warc_revisit": warc_revisit.SQL, "op9_quotation_links": quotation_links.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_jaccard": ngram_join.SQL,
+    "op8_warc_revisit": warc_revisit.SQL,
+    "op9_quotation_links": quotation_links.SQL,
+}
