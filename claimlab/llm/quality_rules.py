@@ -233,3 +233,58 @@ def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over all documents."""
     verdicts = judged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return verdicts.drop("stratum", "n_lines")
+
+
+_RATIOS = " UNION ALL ".join(
+    f"SELECT doc_id, stratum, '{r.name}' AS rule, coalesce({r.measure.replace(' / ', ' / nullif(')}, 0), 0.0) AS ratio, "
+    f"CAST({r.most} AS DOUBLE) AS most FROM measured"
+    for r in RULES
+)
+
+SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, chr(0) || 'none') AS stratum, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 1)) AS i,
+    unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) AS w
+  FROM texts WHERE len(words) >= 3
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, range(3) AS r(k) GROUP BY doc_id
+), measured AS (
+  SELECT t.doc_id, t.stratum, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+    len(words) < {MIN_WORDS} OR 100 * coalesce(c.n, 0) > {REPEAT_PERCENT} * len(words) AS base_failed
+  FROM texts AS t LEFT JOIN covered AS c ON c.doc_id = t.doc_id
+), ratios AS ({_RATIOS}), cells AS (
+  SELECT r.stratum, r.rule, r.most, least(greatest(ceil(ratio * {STEPS} / r.most) - 1, 0), {STEPS}) AS cell,
+    count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad
+  FROM ratios AS r JOIN measured AS m ON m.doc_id = r.doc_id AND NOT m.base_failed
+  JOIN labels AS l ON l.doc_id = r.doc_id WHERE quality IN (0, 1) GROUP BY ALL
+), walked AS (
+  SELECT c.stratum, c.rule, c.most, s.step, CAST(sum(good) AS BIGINT) AS n,
+    CAST(coalesce(sum(good) FILTER (WHERE cell >= step), 0) AS BIGINT) AS k,
+    CAST(coalesce(sum(bad) FILTER (WHERE cell >= step), 0) AS BIGINT) AS hit
+  FROM cells AS c, range(1, {STEPS + 1}) AS s(step) GROUP BY c.stratum, c.rule, c.most, s.step
+), tested AS (
+  SELECT w.*, (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM cells) AS d) AS tests,
+    (SELECT sum(exp(lgamma(w.n + 1) - lgamma(i + 1) - lgamma(w.n - i + 1) + i * ln({ALPHA}) + (w.n - i) * ln(1 - {ALPHA})))
+     FROM range(0, w.k + 1) AS r(i)) AS tail
+  FROM walked AS w WHERE k < n
+), cutoffs AS (
+  SELECT stratum, rule, arg_max(step * most / {STEPS}, (hit - {WEIGHT} * k) * 1000 + step) AS cutoff
+  FROM tested WHERE tail <= {DELTA} / tests AND hit - {WEIGHT} * k > 0 GROUP BY stratum, rule
+), rejected AS (
+  SELECT DISTINCT r.doc_id FROM ratios AS r JOIN cutoffs AS c ON c.stratum = r.stratum AND c.rule = r.rule WHERE ratio > cutoff
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM measured
+"""

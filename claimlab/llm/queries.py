@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
     "op7_ngram_jaccard": ngram_join.SQL,
     "op8_warc_revisit": warc_revisit.SQL,
     "op9_quotation_links": quotation_links.SQL,
