@@ -74,13 +74,14 @@ def give_back() -> None:
         trim(0)
 
 
-def with_text_result(df: DataFrame, name: str, kind: str, compute: TextResult) -> tuple[DataFrame, list[Column]]:
-    """The table with a column computed from `text`, and the columns that give the table back.
+def with_text_result(df: DataFrame, kind: str, compute: TextResult) -> tuple[DataFrame, str, list[Column]]:
+    """The table with a column computed from `text`, that column's name, and the columns that give the table back.
 
     Whole batches of rows stream through the worker, so the JVM holds no queue of rows that wait for a result.
     """
-    if name in df.columns:
-        raise ValueError(f"the table already has a column {name}")
+    name = "result"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
     place = df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +98,7 @@ def with_text_result(df: DataFrame, name: str, kind: str, compute: TextResult) -
 
     fields = [T.StructField(f.name, f.dataType, True) for f in df.schema]
     schema = T.StructType([*fields, T.StructField(name, T.DataType.fromDDL(kind), True)])
-    return df.mapInArrow(run, schema), [F.col(f"`{c}`") for c in df.columns]
+    return df.mapInArrow(run, schema), name, [F.col(f"`{c}`") for c in df.columns]
 
 
 def held_out(doc_id: Column | str) -> Column:

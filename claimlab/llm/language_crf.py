@@ -350,8 +350,8 @@ def in_one_language(documents: DataFrame, least_score: float = 0.4) -> DataFrame
     model = fitted(documents.where(~common.held_out("doc_id")))
     if model is None:
         return documents.limit(0)
-    marked, columns = common.with_text_result(documents, "__language", _LABEL, _labelling(model))
-    sure = (F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= least_score)
+    marked, name, columns = common.with_text_result(documents, _LABEL, _labelling(model))
+    sure = (F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= least_score)
     return marked.where(sure).select(*columns)
 
 

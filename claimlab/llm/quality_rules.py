@@ -224,8 +224,8 @@ def kept_documents(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA
     sample = documents.select("doc_id", _stratum().alias("stratum"), measures("text").alias("m"))
     sample = sample.select("doc_id", "stratum", "m.*").join(known, F.col("doc_id") == F.col("labelled"))
     cutoffs = fitted_cutoffs(sample, alpha, delta)
-    marked, columns = common.with_text_result(documents, "__measures", _MEASURES, _measured_batches)
-    verdict = ~base_failed("__measures.") & accepted(cutoffs, _stratum(), "__measures.")
+    marked, name, columns = common.with_text_result(documents, _MEASURES, _measured_batches)
+    verdict = ~base_failed(f"{name}.") & accepted(cutoffs, _stratum(), f"{name}.")
     return marked.where(verdict).select(*columns)
 
 

@@ -12,7 +12,7 @@ import pytest
 
 from claimlab.llm import common, ftrl_toxicity, language_crf, quality_rules
 
-DOCUMENTS = "doc_id long, text string, lang string, stratum int, row string, label int"
+DOCUMENTS = "doc_id long, text string, lang string, stratum int, result string, label int"
 
 
 def documents(spark, rows):
@@ -192,6 +192,8 @@ def test_language_edges(spark):
     assert language_crf.fitted(documents(spark, [])) is None
     assert {r.l.lang_pred for r in frame.select(language_crf.text_language(None).alias("l")).collect()} == {"und"}
     assert language_crf.in_one_language(documents(spark, [])).count() == 0
+    kept = language_crf.in_one_language(frame)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} >= set(range(40)) and kept.count() == 42
 
 
 # --- Toxicity --------------------------------------------------------------------------------------------
