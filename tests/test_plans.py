@@ -47,6 +47,16 @@ def test_branches_share_one_scan(static_plans, sf_dir, key):
     assert "ReusedExchange" in plan, key
 
 
+@pytest.mark.parametrize("key", ["a03_state_summary", "a14_state_amounts", "p05_multi_payment_profile", "f01_cohorts"])
+def test_one_scan_in_the_plan_that_ran(spark, sf_dir, key):
+    """With adaptive execution on, after the query has run."""
+    df = ALL[key].run(spark, sf_dir)
+    df.collect()
+    plan = plan_of(df)
+    final = plan.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
+    assert final.count("orders.parquet") == 1, key
+
+
 def test_scan_reads_needed_columns_only(static_plans, sf_dir):
     plan = plan_of(ALL["a28_lag_by_year"].run(static_plans, sf_dir))
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
