@@ -107,7 +107,17 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, so that long texts don't add up in workers and in the JVM's buffers.
+
+    The registered queries and the pipeline set this on their session; the operators leave it alone.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table of a registered query."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

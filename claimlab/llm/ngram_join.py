@@ -260,6 +260,8 @@ def _by_part(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, counts: n
         rows.append((int(part[a]), *(v.tobytes() for v in values)))
     columns = list(zip(*rows)) or [[]] * 6
     names = [field.split()[0] for field in _SHARED.split(", ")]
+    del grams, owners, sizes, counts, part, order
+    common.give_back()
     return pa.table({n: pa.array(c, pa.binary() if i else pa.int64()) for i, (n, c) in enumerate(zip(names, columns))})
 
 
@@ -293,6 +295,8 @@ def _active_at(percent: int):
             if prefix > 0:
                 rarest = grams[np.lexsort((grams, counts))][:prefix].view("<i8").tolist()
                 rows.append((name, n, grams.tobytes(), counts.tobytes(), rarest))
+        pieces.clear()
+        common.give_back()
         columns = list(zip(*rows)) or [[]] * 5
         types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         names = ["cls", "n", "grams", "counts", "prefix"]

@@ -25,16 +25,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the model is learned from these documents' own labels."""
+    common.small_batches(spark)
     return language_crf.in_one_language(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by five-word shingles at 80 percent."""
+    common.small_batches(spark)
     return ngram_join.one_of_each_group(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document in sequences of 2048 tokens."""
+    common.small_batches(spark)
     return cost_packing.pack_documents(docs, memory=PACKING_MEMORY)
 
 
