@@ -30,11 +30,11 @@ from claimlab.llm import common
 from claimlab.llm.library_encoding import WORD_END, Recent
 
 # Determinised states kept at a time.
-STATES = 150_000
+STATES = 100_000
 # Checked pairs of tokens kept at a time.
 PAIRS = 400_000
 # Pieces remembered in each of two generations.
-MEMORY = 300_000
+MEMORY = 150_000
 _ROWS = 500
 
 
