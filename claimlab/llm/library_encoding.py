@@ -22,7 +22,7 @@ import numpy as np
 from claimlab.llm import common
 
 # Pieces in each of the two generations that are remembered.
-MEMORY = 250_000
+MEMORY = 400_000
 # Characters that go to the library in one call.
 CALL_CHARS = 2_000
 
