@@ -13,7 +13,8 @@ hash of their id) and from each at most `STRETCHES` stretches of `STRETCH` words
 
 Defined results: null text and text without a letter is `und` with score 0; without a language to learn from
 every text is; documents without lang are labelled like others but not learned from; repeated rows are labelled
-each; equal scores go to the language that sorts first.
+each; equal scores go to the language that sorts first. The stage drops only texts without a letter and texts
+whose words have, on average, no probable language; without a model it keeps every text with a letter.
 """
 
 from __future__ import annotations
@@ -345,14 +346,40 @@ def word_languages(documents: DataFrame, model: Crf) -> DataFrame:
     )
 
 
+def _certainty(model: Crf | None):
+    """For each text the mean over its words of the highest probability of a language, null without a letter.
+
+    Without a model nothing speaks against a text that has letters, so its certainty is 1.
+    """
+
+    def certain(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.keep_nothing()
+        labeller = None if model is None else Labeller(model)
+        for batch in texts:
+            if labeller is None:
+                result = [1.0 if words_of(text) else None for text in batch.to_pylist()]
+            else:
+                result = [None] * len(batch)
+                for chosen, _, begin, probabilities in labeller.blocks(batch):
+                    sums = np.add.reduceat(probabilities.max(axis=1), begin[:-1], dtype=np.float64)
+                    for i, mean in zip(chosen, (sums / np.diff(begin)).tolist()):
+                        result[i] = mean
+            yield pa.array(result, pa.float64())
+        del labeller
+        common.keep_nothing()
+
+    return certain
+
+
 def in_one_language(documents: DataFrame, least_score: float = 0.4) -> DataFrame:
-    """The documents, all their columns, whose text has a language with at least this score."""
+    """The documents, all their columns, that have letters and whose words' languages are sure on average.
+
+    A word's certainty is the probability of its most likely language, whichever that is, so text that mixes
+    languages stays if its words are sure.
+    """
     model = fitted(documents.where(~common.held_out("doc_id")))
-    if model is None:
-        return documents.limit(0)
-    marked, name, columns = common.with_text_result(documents, _LABEL, _labelling(model))
-    sure = (F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= least_score)
-    return marked.where(sure).select(*columns)
+    marked, name, columns = common.with_text_result(documents, "double", _certainty(model))
+    return marked.where(F.col(name) >= least_score).select(*columns)
 
 
 def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

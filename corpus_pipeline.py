@@ -1,7 +1,7 @@
 """A training corpus from raw documents in stages; each stage's rows are written and read again by the next.
 
 Quality rules drop documents that fail the base rules or a fitted cutoff, language identification drops those
-without a language, the n-gram join leaves one document of each group of near copies, and packing puts what is
+without letters or whose words' languages are unsure, the n-gram join leaves one document of each group of near copies, and packing puts what is
 left into sequences. Every stage works on all rows that the stage before has kept.
 """
 
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the model is learned from these documents' own labels."""
+    """Documents whose words have sure languages, mixed or not; the model is learned from these documents' own labels."""
     common.small_batches(spark)
     return language_crf.in_one_language(docs)
 

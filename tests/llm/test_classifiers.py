@@ -196,6 +196,20 @@ def test_language_edges(spark):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} >= set(range(40)) and kept.count() == 42
 
 
+def test_stage_keeps_mixed_but_sure_texts_and_texts_without_a_model(spark):
+    words = {g: [f"{g}{c}{d}" for c in "klmnp" for d in "aeiou"] for g in ("qa", "wo", "xi", "zu")}
+    rows = [(i, " ".join(words[g] * 2), g) for i, g in enumerate(list(words) * 15)]
+    mixed = " ".join(" ".join(held) for held in words.values())  # no language has more than a quarter of the words
+    frame = documents(spark, [*rows, (900, mixed, None), (901, "12 34", None), (902, None, "qa")])
+    model = language_crf.fitted(frame)
+    assert language_crf.Labeller(model).text_scores(pa.array([mixed])).max() < 0.4
+    kept = {r.doc_id for r in language_crf.in_one_language(frame).collect()}
+    assert kept == {*range(len(rows)), 900}
+    unknown = documents(spark, [(i, t, None) for i, t in enumerate(["some text", "", None, "12 -", "\u00e9"])])
+    kept = language_crf.in_one_language(unknown)
+    assert kept.columns == unknown.columns and {r.doc_id for r in kept.collect()} == {0, 4}
+
+
 # --- Toxicity --------------------------------------------------------------------------------------------
 
 
