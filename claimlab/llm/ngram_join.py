@@ -14,8 +14,10 @@
    left as soon as the n-grams that remain can't bring the overlap to what the threshold asks, or when all its
    sets are already in the same component as the set.
 5. A block of more than `block_sets` classes is cut at random, then its local components' representatives
-   are joined, and at last each class outside the block's largest component is compared with every class
-   that shares a prefix n-gram with it: a link either lies inside one component already or has such an end.
+   are joined, and at last the classes outside the block's largest component meet the classes that share a
+   prefix n-gram with them: a link either lies inside one component already or has such an end. No pairs are
+   formed; an n-gram's classes are dealt into tiles by size and by the n-grams that follow, and tiles that can
+   hold a link of the rarest shared n-gram are joined over a trie.
 
 N-grams are compared by 40 bits of their hash and those of their bucket. Memory: a task holds one block of
 documents, one bucket or one block of sets.
@@ -350,14 +352,22 @@ def _trie(sets: list[np.ndarray], sizes: list[int]) -> _Node:
     return root
 
 
-def join_sets(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> list[int]:
+def join_sets(
+    sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT, known: list[int] | None = None,
+    probes: list[bool] | None = None,
+) -> list[int]:
     """The component of each set, as the index of one of its sets.
 
     A set is the increasing array of its shared n-grams' numbers in the global order; sizes count all n-grams.
+    Sets with the same `known` label are in one component from the start; with `probes`, only links of these
+    sets are looked for.
     """
     order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
     sets, sizes = [sets[i] for i in order], [sizes[i] for i in order]
     parent = list(range(len(sets)))
+    if known is not None:
+        first: dict[int, int] = {}
+        parent = [first.setdefault(known[i], place) for place, i in enumerate(order)]
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -376,6 +386,8 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT)
     root = _trie(sets, sizes)
     mark = np.zeros(max((int(s[-1]) for s in sets if len(s)), default=0) + 1, dtype=bool)
     for probe in sorted(range(len(sets)), key=sizes.__getitem__):
+        if probes is not None and not probes[order[probe]]:
+            continue
         own, size = sets[probe], sizes[probe]
         mark[own] = True
         stack = [(root, 0, 0)]
@@ -442,23 +454,72 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("block", "cut", "cls", "n", "grams", "counts").groupBy("block", "cut").applyInArrow(join, _ROOTS)
 
 
-def _overlapping(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold, by direct intersection."""
+_TILE = ["gram", "side", "outside", "base", "part"]
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v, n, m, a, b = (c.to_pylist() for c in batch.columns)
-            kept = [
-                i
-                for i in range(len(u))
-                if len(np.intersect1d(np.frombuffer(a[i], "<u8"), np.frombuffer(b[i], "<u8"), assume_unique=True))
-                >= least_overlap(n[i], m[i], percent)
-            ]
-            yield pa.record_batch(
-                [pa.array([u[i] for i in kept], pa.int64()), pa.array([v[i] for i in kept], pa.int64())], names=["u", "v"]
-            )
 
-    return pairs.select("u", "v", "n", "m", "a", "b").mapInArrow(check, "u long, v long")
+def _tile_pairs(postings: DataFrame, tile_sets: int) -> tuple[DataFrame, DataFrame]:
+    """Postings dealt into tiles, and the pairs of tiles that can hold a link.
+
+    A link of sets of n <= m n-grams is looked for at the rarest n-gram of both, where `least_overlap(n, m)` can't
+    be more than what either set has from there on. So a posting allows sizes of the other set up to `most`; side 0
+    has those that allow for a set at least as large, side 1 those that allow for one at most as large. Tiles of an
+    n-gram hold neighbouring (n, most), counted first, so only counts are ordered.
+    """
+    sides = F.when(F.col("most") >= F.col("n"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    rows = postings.where("most >= least").select("*", F.explode(sides).alias("side"))
+    kinds = rows.groupBy("gram", "side", "outside", "n", "least", "most").agg(
+        F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    # Side 0 is in side 1 too. An n-gram without it, or of one component only, has no pair.
+    both = kinds.groupBy("gram").agg(
+        F.min("side").alias("side"), F.max("outside").alias("some"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    kinds = kinds.join(both.where("side = 0 and some and low <> high").select("gram"), "gram", "left_semi")
+    before = F.sum("c").over(Window.partitionBy("gram", "side", "outside").orderBy("n", "most")) - F.col("c")
+    kinds = kinds.withColumn("base", F.floor(before / tile_sets)).withColumn("parts", F.ceil(F.col("c") / tile_sets).cast("long"))
+    kinds = common.saved(kinds)
+    part = F.pmod(F.xxhash64("cls"), F.col("parts"))
+    keys = ["gram", "side", "outside", "n", "most"]
+    dealt = rows.join(kinds.select(*keys, "base", "parts"), keys).withColumn("part", part)
+    tiles = kinds.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).groupBy(*_TILE).agg(
+        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
+    )
+    whole = F.struct(*_TILE[1:], "n0", "n1", "least", "most", "low", "high")
+    a, b = (tiles.where(F.col("side") == i).select("gram", whole.alias(x)) for i, x in enumerate("ab"))
+    pairs = a.join(b, "gram").where(
+        "(a.outside or b.outside) and (a.low <> a.high or b.low <> b.high or a.low <> b.low)"
+        " and a.n0 <= b.n1 and b.n0 <= a.most and b.least <= a.n1 and a.n0 <= b.most"
+    )
+    name = F.xxhash64("gram", *(f"{x}.{c}" for x in "ab" for c in _TILE[2:]))
+    ends = F.array(*(F.struct(*(f"{x}.{c}" for c in _TILE[1:])) for x in "ab"))
+    pairs = pairs.select("gram", name.alias("pair"), F.explode(ends).alias("t"))
+    return dealt, pairs.select("pair", "gram", "t.*")
+
+
+def _between_tiles(sets: DataFrame, percent: int) -> DataFrame:
+    """Labels of components that a link between two tiles connects."""
+
+    def join(group: pa.Table) -> pa.Table:
+        first: dict[int, int] = {}  # a class can be on both sides
+        names, sides = group.column("cls").to_pylist(), group.column("side").to_pylist()
+        for i, name in enumerate(names):
+            if name not in first or sides[i] < sides[first[name]]:
+                first[name] = i
+        chosen = sorted(first.values())
+        group = group.take(pa.array(chosen, pa.int64()))
+        labels, sizes = group.column("label").to_pylist(), group.column("n").to_pylist()
+        grams = [np.frombuffer(g, dtype="<u8") for g in group.column("grams").to_pylist()]
+        counts = [np.frombuffer(c, dtype="<u4") for c in group.column("counts").to_pylist()]
+        probes = [side == 0 for side in group.column("side").to_pylist()]
+        roots = join_sets(numbered(grams, counts), sizes, percent, labels, probes)
+        least: dict[int, int] = {}
+        for label, root in zip(labels, roots):
+            least[root] = min(label, least.get(root, label))
+        links = sorted({(label, least[root]) for label, root in zip(labels, roots) if label != least[root]})
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return sets.groupBy("pair").applyInArrow(join, "u long, v long")
 
 
 # --- The whole join ----------------------------------------------------------------------------------------
@@ -507,14 +568,18 @@ def _across_cuts(sets: DataFrame, first: DataFrame, percent: int, block_sets: in
     labels = common.saved(labels)
     main = labels.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     placed = labels.join(main, "block").select("cls", "label", (F.col("label") != F.col("main")).alias("outside"))
-    postings = sets.select("block", "cls", F.explode("prefix").alias("gram")).join(placed, "cls")
-    probes = postings.where("outside").select("gram", F.col("cls").alias("u"), F.col("label").alias("of"))
-    pairs = probes.join(postings.select("gram", F.col("cls").alias("v"), "label"), "gram").where("of <> label")
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    ends = sets.select("cls", "n", "grams")
-    pairs = pairs.join(ends.toDF("u", "n", "a"), "u").join(ends.toDF("v", "m", "b"), "v")
+    postings = sets.select("cls", "n", F.length("grams").alias("held"), F.posexplode("prefix").alias("at", "gram"))
+    postings = postings.join(placed, "cls")
+    rest = (F.col("held") / 8).cast("long") - F.col("at")  # shared n-grams from this one on
+    postings = postings.select(
+        "gram", "cls", "label", "outside", F.col("n").cast("long").alias("n"), F.ceil(percent * F.col("n") / 100).alias("least"),
+        (F.floor(rest * (100 + percent) / percent) - F.col("n")).alias("most"),
+    )
+    dealt, pairs = _tile_pairs(postings, max(1, block_sets // 2))
+    met = dealt.join(pairs, _TILE).select("pair", "cls", "side", "label")
+    between = _between_tiles(met.join(sets.select("cls", "n", "grams", "counts"), "cls"), percent)
     crossing = second.select(F.col("cls").alias("u"), F.col("root").alias("v"))
-    return crossing.union(_overlapping(pairs, percent))
+    return crossing.union(between)
 
 
 def linked_components(

@@ -80,6 +80,51 @@ def test_frequent_shingles_and_one_large_group_of_near_copies(spark):
     assert found(spark, rows, block_sets=40) == brute_force(rows)
 
 
+def letters(count, pool, seed):
+    """Form letters of 50 shingles with two varying words; a small pool makes some of them links."""
+    rnd = random.Random(seed)
+    rows = []
+    for doc_id in range(count):
+        words = [f"f{k}" for k in range(54)]
+        words[12], words[40] = (f"y{rnd.randrange(pool)}" if pool else f"y{doc_id}-{k}" for k in range(2))
+        rows.append((doc_id, " ".join(words)))
+    return rows
+
+
+def rows_made(spark, after):
+    """The most rows that an operator of a query later than number `after` has put out, and the last number."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most, last = store.executionsList(), 0, after
+    for i in range(runs.size()):
+        number = runs.apply(i).executionId()
+        last = max(last, number)
+        if number <= after:
+            continue
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for j in range(nodes.size()):
+            metrics = nodes.apply(j).metrics()
+            for k in range(metrics.size()):
+                value = values.get(metrics.apply(k).accumulatorId())
+                if metrics.apply(k).name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most, last
+
+
+def test_form_letters_of_a_cut_block_make_no_pairs(spark):
+    rows = letters(400, 0, 1)
+    _, last = rows_made(spark, -1)
+    assert found(spark, rows, block_sets=16) == brute_force(rows)
+    assert rows_made(spark, last)[0] < 30 * len(rows)  # the pairs would be 200 for each
+
+
+def test_linked_form_letters_in_cut_blocks(spark):
+    for pool, block_sets in ((4, 4), (12, 10)):
+        rows = letters(150, pool, pool) + [(200 + i, f"{t} {t[:60]} {i}") for i, t in letters(60, pool, 9)]
+        expected = brute_force(rows)
+        assert len({root for _, root in expected.values()}) < len(expected)
+        assert found(spark, rows, block_sets=block_sets) == expected
+
+
 def test_no_rows_and_only_empty_texts(spark):
     assert found(spark, []) == {}
     assert found(spark, [(3, None), (2, "")]) == {3: (0, 3), 2: (0, 2)}
