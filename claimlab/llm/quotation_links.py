@@ -2,8 +2,9 @@
 
 Lines that begin with `>` marks are quoted, one level for each mark; a stretch of lines of one level is a
 passage. Each passage is normalised (lower case, single spaces) and hashed. A message can be quoted whole, by
-one of its unquoted stretches or by one unquoted line, so these are hashed too, and per conversation and hash
-the first message that holds it is the original. A passage is linked with the original if that came earlier.
+one of its unquoted stretches or by unquoted lines that follow each other (blank ones aside), so these are
+hashed too, and per conversation and hash the first message that holds it is the original. Of runs of several
+lines only those are hashed that begin with the first line of a passage of as many lines. A passage is linked with the original if that came earlier.
 A message replies to the latest message that it quotes at the first level, which comes before it; so turns
 order each thread with replies after what they answer. Roots and depths follow from doubling pointers.
 
@@ -74,12 +75,33 @@ def _key(text: Column) -> Column:
     return F.md5(normalised(text))
 
 
+def _lines(text: Column) -> Column:
+    """The normalised lines of a text that aren't blank."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda line: line != "")
+
+
+def _runs(parsed_messages: DataFrame) -> DataFrame:
+    """conv_id, turn, text: runs of several unquoted lines that a passage of the conversation may quote."""
+    quoted = parsed_messages.select("conv_id", F.explode("passages").alias("p")).where("p.level > 0")
+    quoted = quoted.select("conv_id", _lines(F.col("p.body")).alias("lines")).where("size(lines) > 1")
+    wanted = quoted.groupBy("conv_id", F.md5(F.col("lines")[0]).alias("first")).agg(
+        F.collect_set(F.size("lines")).alias("lengths")
+    )
+    held = parsed_messages.select("conv_id", "turn", _lines(F.col("body")).alias("lines")).where("size(lines) > 1")
+    starts = held.select("conv_id", "turn", F.posexplode("lines").alias("at", "line"), F.size("lines").alias("n"))
+    starts = starts.select("conv_id", "turn", "at", "n", F.md5("line").alias("first")).join(wanted, ["conv_id", "first"])
+    starts = starts.select("conv_id", "turn", "at", "n", F.explode("lengths").alias("length")).where("at + length <= n")
+    text = F.array_join(F.slice("lines", F.col("at") + 1, F.col("length")), " ")
+    return starts.join(held, ["conv_id", "turn"]).select("conv_id", "turn", text.alias("text"))
+
+
 def originals(parsed_messages: DataFrame) -> DataFrame:
-    """conv_id, hash, turn: the first message of a conversation that holds a text, stretch or line."""
+    """conv_id, hash, turn: the first message of a conversation that holds a text, stretch or run of lines."""
     own = F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"])
     lines = F.split("body", "\n")
     texts = F.array_distinct(F.transform(F.flatten(F.array(F.array("body"), own, lines)), normalised))
     rows = parsed_messages.select("conv_id", "turn", F.explode(texts).alias("text")).where("text <> ''")
+    rows = rows.union(_runs(parsed_messages))
     return rows.groupBy("conv_id", F.md5("text").alias("hash")).agg(F.min("turn").alias("original_turn"))
 
 

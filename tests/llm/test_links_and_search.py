@@ -157,6 +157,30 @@ def test_quotes_link_and_threads_are_ordered(spark):
     assert quotation_links.reply_ordered(frame.limit(0)).count() == 0
 
 
+def test_inner_lines_of_a_longer_stretch_link(spark):
+    rows = [
+        (1, 0, "a", "one\ntwo\n\nThree  x\nfour\nfive"),
+        (1, 1, "b", "> two\n> three x\nabout these"),
+        (1, 2, "c", "> four\n> five\nno\n> one\n>\n> two\nyes"),
+        (1, 3, "d", "> two\n> four\nnot neighbours\n> three x\n> two\nnor in order"),
+        (1, 4, "e", "two\nthree x\nfour"),
+        (1, 5, "f", "> Two\n> Three x\n> four\nthe first holder counts"),
+        (1, 6, "g", "> later\n> lines\nahead"),
+        (1, 7, "h", "some\nlater\nlines\nhere"),
+        (1, 8, "i", "> two\n> two\n> two\nx"),
+        (1, 9, "j", "x\ntwo\ntwo\ntwo\ntwo\ny"),
+        (1, 10, "k", "> two\n> two\n> two\nz"),
+        (2, 1, "z", "> two\n> three x\nother conversation"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {(r.conv_id, r.turn): r for r in quotation_links.reply_ordered(frame).collect()}
+    assert len(out) == len(rows)
+    parents = {k: r.parent_turn for k, r in out.items() if r.n_quotes}
+    expected = {1: 0, 2: 0, 3: None, 5: 0, 6: None, 8: None, 10: 9}
+    assert parents == {**{(1, t): p for t, p in expected.items()}, (2, 1): None}
+    assert (out[1, 2].n_quotes, out[1, 2].n_linked) == (2, 2) and out[1, 3].n_linked == 0
+
+
 def test_long_chain_of_replies(spark):
     rows = [(5, i, "r", (f"> text {i - 1}\n" if i else "") + f"text {i}") for i in range(70)]
     out = quotation_links.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
