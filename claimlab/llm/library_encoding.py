@@ -8,6 +8,9 @@ white space never joins characters across a space, so every text can be split.
 Pieces not yet known go to the library joined by spaces, many at a time, and the ids are cut apart again:
 at tokens that begin with a space, or at a separator that stands between the pieces. A full stop or comma
 after a letter or digit is a pre-token of its own in both kinds, so it is put behind the ids of the word.
+
+The ids are those the library gives by default, also where a text spells one of the vocabulary's special tokens:
+such a text, and any that holds what all these tokens begin with, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ import numpy as np
 
 from claimlab.llm import common
 
-# Pieces in each of the two generations that are remembered.
+# Pieces in each of the two generations that are remembered, and the characters of the longest of them: a piece of
+# text without spaces can be a whole line.
 MEMORY = 400_000
+LONGEST = 64
 # Characters that go to the library in one call.
 CALL_CHARS = 2_000
 
@@ -36,12 +41,16 @@ def pack_ids(ids: Sequence[int]) -> bytes:
 
 
 class Recent:
-    """A mapping that keeps what was used lately: two generations, the older dropped when the newer is full."""
+    """A mapping that keeps what was used lately: two generations, the older dropped when the newer is full.
+
+    Keys longer than `LONGEST` are held for one block only, so entries of a limited size bound the memory.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
         self.new: dict = {}
         self.old: dict = {}
+        self.passing: list = []
 
     def missing(self, keys: Iterable) -> list:
         """The distinct keys that are not known; those that are known are in the newer generation afterwards."""
@@ -54,22 +63,30 @@ class Recent:
                 self.new[key] = value
         return unknown
 
-    def add(self, keys: Iterable, values: Iterable) -> None:
+    def add(self, keys: Sequence, values: Iterable) -> None:
         self.new.update(zip(keys, values))
+        self.passing.extend(key for key in keys if len(key) > LONGEST)
 
     def age(self) -> None:
         """Called between blocks, so that the keys of a block are all held while it is put together."""
+        for key in self.passing:
+            self.new.pop(key, None)
+        self.passing.clear()
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
 
 
 class PieceEncoder:
     def __init__(
-        self, encode_one: Callable, encode_many: Callable, encode_heads: Callable, keeps_space: bool, limit: int = MEMORY
-    ):
-        """`encode_one` gives the ids of a string as bytes, the others those of several pieces within or before a line."""
+        self, encode_one: Callable, encode_many: Callable, encode_heads: Callable, keeps_space: bool, limit: int = MEMORY,
+        lowers: bool = False, special: Callable[[str], bool] = lambda text: False,
+    ):
+        """`encode_one` gives the ids of a string as bytes, the others those of several pieces within or before a line.
+
+        `lowers` says that the vocabulary lowers A to Z, `special` which texts must go to the library whole.
+        """
         self.encode_one, self.encode_many, self.encode_heads = encode_one, encode_many, encode_heads
-        self.keeps_space = keeps_space
+        self.keeps_space, self.lowers, self.special = keeps_space, lowers, special
         self.first = Recent(limit // 4)
         self.rest = Recent(limit)
         self.mark = {c: encode_one(c) for c in ".,"}
@@ -84,15 +101,18 @@ class PieceEncoder:
             self.first.age()
 
     def _without_spaces(self, texts: Sequence[str | None]) -> Iterator[bytes]:
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        self._learn(self.rest, chain.from_iterable(split), self.encode_many)
+        def parts(text: str) -> list[str]:
+            return (text.lower() if self.lowers and text.isascii() else text).replace("\n", " ").split(" ")
+
+        split = [[] if not t else t if self.special(t) else parts(t) for t in texts]
+        self._learn(self.rest, chain.from_iterable(p for p in split if isinstance(p, list)), self.encode_many)
         known = self.rest.new.__getitem__
-        for parts in split:
-            yield b"".join(map(known, parts))
+        for found in split:
+            yield self.encode_one(found) if isinstance(found, str) else b"".join(map(known, found))
 
     def _with_spaces(self, texts: Sequence[str | None]) -> Iterator[bytes]:
         split = [
-            t if t and _MEETING.search(t) else [line.split(" ") for line in t.split("\n")] if t else [] for t in texts
+            t if t and (_MEETING.search(t) or self.special(t)) else [line.split(" ") for line in t.split("\n")] if t else [] for t in texts
         ]
         lists = [line for lines in split if isinstance(lines, list) for line in lines]
         self._learn(self.first, (line[0] for line in lists), self.encode_heads)
@@ -123,9 +143,7 @@ def encoder(path: str, memory: int = MEMORY) -> PieceEncoder:
     def build() -> PieceEncoder:
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
-        return library_encoder(library, memory)
+        return library_encoder(Tokenizer.from_file(path), memory)
 
     return common.kept_in_worker(("library", path, memory), build)
 
@@ -138,6 +156,16 @@ def library_encoder(library, memory: int = MEMORY) -> PieceEncoder:
         return ids_of(text).tobytes() if text else b""
 
     keeps_space = ids_of("a b").tolist() != ids_of("a  b").tolist()
+    lowers = all(encode_one(c) == encode_one(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    tokens = [token.content for token in library.get_added_tokens_decoder().values()]
+    begin = os.path.commonprefix([token.lower() for token in tokens])
+
+    def special(text: str) -> bool:
+        if not tokens:
+            return False
+        # Tokens can match the text as it is or as it is normalised.
+        return begin in (text if begin.upper() == begin else text.lower())
+
     size = library.get_vocab_size()
     begins = np.zeros(size, dtype=bool)
     if keeps_space:
@@ -188,6 +216,7 @@ def library_encoder(library, memory: int = MEMORY) -> PieceEncoder:
             lambda pieces: separately(pieces, "\n", "", heads),
             True,
             memory,
+            special=special,
         )
 
     separator = ids_of(_SEPARATOR)
@@ -198,4 +227,4 @@ def library_encoder(library, memory: int = MEMORY) -> PieceEncoder:
     def words(pieces: list[str]) -> Iterator[bytes]:
         return separately(pieces, _SEPARATOR, "", between)
 
-    return PieceEncoder(encode_one, words, words, False, memory)
+    return PieceEncoder(encode_one, words, words, False, memory, lowers, special)

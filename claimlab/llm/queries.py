@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimlab.llm import (
+    best_fit,
     bpe_transducer,
     cost_packing,
     ftrl_toxicity,
@@ -15,7 +16,9 @@ from claimlab.llm import (
     ngram_join,
     quality_rules,
     quotation_links,
+    reversed_search,
     token_files,
+    turn_repair,
     warc_revisit,
 )
 
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisit": warc_revisit.revisit_digest,
     "op9_quotation_links": quotation_links.reply_threads,
     "op10_token_files": token_files.token_file_digest,
+    "op11_turn_repair": turn_repair.repair_digest,
+    "op12_best_fit": best_fit.packing_digest,
+    "op13_reversed_search": reversed_search.benchmark_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,4 +43,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard": ngram_join.SQL,
     "op8_warc_revisit": warc_revisit.SQL,
     "op9_quotation_links": quotation_links.SQL,
+    "op13_reversed_search": reversed_search.SQL,
 }

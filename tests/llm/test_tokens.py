@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from claimlab.llm import bpe_transducer, common, cost_packing, elias_fano, library_encoding, token_files, words
 
 ODD = [
-    "a  b", "", "  x", " x y ", "\nab c\n\nd", "É́ é̂ Ǆ ß ΑΣ ΣΑΣ", "<|endoftext|> a", None, "a's 's it's", " \t a",
+    "a  b", "", "  x", " x y ", "\nab c\n\nd", "É́ é̂ Ǆ ß ΑΣ ΣΑΣ", "<|endoftext|> a", "see <|endoftext|> here<|startoftext|>x", "B <|ENDOFTEXT|> <| b |>", None, "a's 's it's", " \t a",
     "x　 y z", " ", "x\nY z.\n", "ÄÖ, ß. é, \"a.\" 1,2 3.", "a\n b", "don't. it's, \n", "\nq", "a, b. c,. d.,e. f",
     "\x01 a \x01", "a" * 3000, "ab " * 2000,
 ]
@@ -27,7 +27,6 @@ SCHEMA = "doc_id long, text string, start int, ids string"
 
 def library(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
