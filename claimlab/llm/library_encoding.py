@@ -224,7 +224,20 @@ def library_encoder(library, memory: int = MEMORY) -> PieceEncoder:
     def between(pieces: list[str]) -> list[bytes]:
         return marked(f" {_SEPARATOR} ".join(["", *pieces, ""]), separator[0], pieces)
 
+    ends = np.zeros(size, dtype=bool)
+    ends[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def letters(pieces: list[str]) -> list[bytes]:
+        ids = ids_of(" ".join(pieces))
+        stops = np.flatnonzero(ends[ids]) + 1
+        return pieces_of(ids, np.append(0, stops[:-1]), stops, pieces, "")
+
     def words(pieces: list[str]) -> Iterator[bytes]:
-        return separately(pieces, _SEPARATOR, "", between)
+        # Latin letters are one pre-token, whose last id ends a word, so they need no separator.
+        simple = [p for p in pieces if p.isalpha() and max(p) < "\u0250"]
+        found = dict(zip(simple, separately(simple, " ", "", letters)))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, separately(rest, _SEPARATOR, "", between)))
+        return map(found.__getitem__, pieces)
 
     return PieceEncoder(encode_one, words, words, False, memory, lowers, special)
