@@ -7,10 +7,11 @@ weight of a coordinate at exactly zero until its gradients add up to more than `
 list of coordinates and weights, at most 12 bytes for each of the `2 ** BITS` coordinates, that every task gets.
 
 Bound of the sample: the `SAMPLE` labelled documents of the training part with the smallest hash of their id.
-The features of whole texts are taken; only those of the sample's documents meet in one task.
+Of rows that share a doc_id the sample has the one with the smallest text. The features of whole texts are taken;
+only those of the sample's documents meet in one task.
 
 Defined results: a null or empty text has no feature and gets the score of the intercept; labels other than 0
-and 1 are not learned from; without any label to learn from every score is 0.5; repeated rows are scored each.
+and 1 are not learned from, and of conflicting labels of a document 1 counts; a null doc_id counts as held out; without any label to learn from every score is 0.5; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -89,10 +90,10 @@ def fitted(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero coordinates and their weights; documents and labels hold the training part only."""
     order = F.xxhash64("doc_id")
-    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # At most `sample` rows of two numbers, so the broadcast is bounded.
     known = F.broadcast(known.orderBy(order, "doc_id").limit(sample))
-    texts = documents.select("doc_id", "text").join(known, "doc_id").select("doc_id", "toxic", "text")
+    texts = documents.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

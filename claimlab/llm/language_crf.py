@@ -8,17 +8,19 @@ passes give each word's probability of each language given the whole text, which
 code-switched text; a text's score for a language is the mean over its words.
 
 Training maximises the conditional likelihood on chains put together from stretches of documents in different
-languages, so that transitions see switches. Bound of the sample: `SAMPLE` documents (those with the smallest
-hash of their id) and from each at most `STRETCHES` stretches of `STRETCH` words, evenly spaced over the text.
+languages, so that transitions see switches. Bound of the sample: of each language `SAMPLE` different documents
+(those with the smallest hash of id and text) and from each at most `STRETCHES` stretches of `STRETCH` words of
+at most `LONGEST` letters, evenly spaced over the text. Training runs in one task over these stretches.
 
 Defined results: null text and text without a letter is `und` with score 0; without a language to learn from
 every text is; documents without lang are labelled like others but not learned from; repeated rows are labelled
-each; equal scores go to the language that sorts first. The stage drops only texts without a letter and texts
+each and learned from once; a null doc_id counts as held out; equal scores go to the language that sorts first. The stage drops only texts without a letter and texts
 whose words have, on average, no probable language; without a model it keeps every text with a letter.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,14 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlab.llm import common
 from claimlab.llm.library_encoding import Recent
 from claimlab.llm.words import text_bytes
 
-SAMPLE = 2_000
+SAMPLE = 500
+LONGEST = 100
 STRETCHES, STRETCH = 6, 24
 NGRAMS = (1, 2, 3, 4)
 BITS = 16
@@ -138,37 +141,48 @@ def forward_backward(
 # --- Training ----------------------------------------------------------------------------------------------
 
 
-def _stretches(documents: DataFrame, sample: int) -> list[tuple[str, list[str]]]:
-    """Stretches of words of the sample with their language; at most sample * STRETCHES * STRETCH words."""
+def _sample(documents: DataFrame, sample: int) -> DataFrame:
+    """lang, h and text of `sample` different rows of each language, those with the smallest hash of id and text.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(text)
-                count = min(STRETCHES, -(-len(words) // STRETCH))
-                for i in range(count):
-                    at = (len(words) - STRETCH) * i // max(1, count - 1) if count > 1 else 0
-                    rows.append((key, i, lang, words[max(0, at) : max(0, at) + STRETCH]))
-            columns = list(zip(*rows)) or [[]] * 4
-            types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())]
-            names = ["doc_id", "i", "lang", "words"]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    known = documents.where("lang is not null and text is not null")
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    # At most `sample` ids, so the broadcast is bounded.
-    chosen = known.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    rows = chosen.mapInArrow(cut, "doc_id long, i int, lang string, words array<string>")
-    return [(r.lang, r.words) for r in rows.orderBy("doc_id", "i", "words").collect()]
+    Only hashes are ranked; rows below a language's limit then combine by hash, so copies of a row count once.
+    """
+    hashed = documents.where("lang is not null and text is not null").select(
+        F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "text"
+    )
+    # Copies of a row would fill the ranks, so `dense_rank` counts hashes.
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    least = hashed.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= sample)
+    limits = least.groupBy("lang").agg(F.max("h").alias("limit"))
+    chosen = hashed.join(limits, "lang").where("h <= limit")
+    return chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for lang, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words = [w for w in words_of(text) if len(w) <= LONGEST]
+            count = min(STRETCHES, -(-len(words) // STRETCH))
+            for i in range(count):
+                at = (len(words) - STRETCH) * i // max(1, count - 1) if count > 1 else 0
+                rows.append((lang, h, i, words[max(0, at) : max(0, at) + STRETCH]))
+        columns = list(zip(*rows)) or [[]] * 4
+        types = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "h", "i", "words"])
+
+
+def _train(group: pa.Table) -> pa.Table:
+    rows = sorted(group.select(["lang", "h", "i", "words"]).to_pylist(), key=lambda r: (r["lang"], r["h"], r["i"]))
+    model = trained([(r["lang"], r["words"]) for r in rows])
+    return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
 def fitted(documents: DataFrame, sample: int = SAMPLE) -> Crf | None:
-    """The model learned from documents that have a language; None if there is none."""
-    stretches = _stretches(documents, sample)
-    if not stretches:
-        return None
-    return trained(stretches)
+    """The model learned, in one task, from documents that have a language; None if there is none."""
+    rows = _sample(documents, sample).mapInArrow(_stretches, "lang string, h long, i int, words array<string>")
+    # The sample's bound holds for what meets in the task; the model is all that comes back.
+    models = rows.groupBy(F.lit(0).alias("all")).applyInArrow(_train, "model binary").collect()
+    return pickle.loads(models[0].model) if models else None
 
 
 def trained(stretches: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int = 0) -> Crf:
@@ -371,7 +385,7 @@ def _certainty(model: Crf | None):
     return certain
 
 
-def in_one_language(documents: DataFrame, least_score: float = 0.4) -> DataFrame:
+def surely_labelled(documents: DataFrame, least_score: float = 0.4) -> DataFrame:
     """The documents, all their columns, that have letters and whose words' languages are sure on average.
 
     A word's certainty is the probability of its most likely language, whichever that is, so text that mixes

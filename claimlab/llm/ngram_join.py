@@ -6,6 +6,7 @@
    n-gram once: blocks of a few thousand documents are sorted, cut into buckets of the hash space and sent as
    bytes of differences. N-grams in a large share of all documents are found beforehand from local counts; at
    most 64 times the mean set size of them exist, they take no part in that shuffle, and come last in the order.
+   The number of rows is that of blocks times buckets, and never more than that of n-grams.
 3. Two sets of n and m n-grams that reach the threshold share one of the first n - ceil(t n) + 1 n-grams of
    either. N-grams of a single class come first, so a class whose prefix holds only those is linked with
    nothing. For the few others, classes that share a prefix n-gram form blocks (connected components).
@@ -43,7 +44,7 @@ from claimlab.llm.words import mixed, word_hashes
 WORDS = 5
 PERCENT = 80
 BLOCK_SETS = 2048
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 2_500_000
 PART_CLASSES = 4096
 _SHARE = 64
 _BATCH_TOKENS = 1_000_000
@@ -188,7 +189,7 @@ def _bucket_rows(held: list[np.ndarray], classes: list[int], frequent: np.ndarra
         used, local = np.unique(owner, return_inverse=True)
         steps = np.diff(values, prepend=np.uint64(0))
         rows.append(
-            (bucket, _bytes_of(steps, 8 if bucket < 0 else 5), _bytes_of(local, 3), names[used].tobytes(), sizes[used].tobytes())
+            (bucket, _bytes_of(steps, 8 if bucket < 0 else 5), _bytes_of(local, 3), names[used].tobytes(), _bytes_of(sizes[used], 4))
         )
 
     if len(frequent):
@@ -229,7 +230,7 @@ def _shared_in(parts: int):
             at = _values_of(row["owners"], 3).astype(np.int64)
             grams.append(np.cumsum(_values_of(row["grams"], width), dtype=np.uint64))
             owners.append(np.frombuffer(row["classes"], dtype="<i8")[at])
-            sizes.append(np.frombuffer(row["sizes"], dtype="<u4")[at])
+            sizes.append(_values_of(row["sizes"], 4).astype("<u4")[at])
         grams, owners, sizes = np.concatenate(grams), np.concatenate(owners), np.concatenate(sizes)
         order = np.lexsort((owners, grams))
         grams, owners, sizes = grams[order], owners[order], sizes[order]
@@ -582,41 +583,65 @@ def _across_cuts(sets: DataFrame, first: DataFrame, percent: int, block_sets: in
     return crossing.union(between)
 
 
-def linked_components(
-    documents: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS
-) -> DataFrame:
-    """doc_id, class_id (equal for equal sets, null for the empty set), n_shingles, component_id.
-
-    component_id is the smallest doc_id reachable by links.
-    """
+def _linked(documents: DataFrame, words: int, percent: int, block_sets: int) -> DataFrame:
+    """One row per document: doc_id, class_id, n_shingles, component_id, and the root class of the component."""
     described = common.saved(_described(documents, words))
     members = described.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls")
     roots = _class_links(documents, described, words, percent, block_sets).withColumnRenamed("node", "cls")
     firsts = members.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     labelled = firsts.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "root").select("cls", "component_id")
+    named = labelled.join(least, "root").select("cls", "root", "component_id")
+    nothing = F.lit(None).cast("long")
     empty = members.where("n_shingles = 0").select(
-        "doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_shingles"),
-        F.col("doc_id").alias("component_id"),
+        "doc_id", nothing.alias("class_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+        nothing.alias("root"),
     )
     full = members.where("n_shingles > 0").join(named, "cls", "left")
-    return full.select("doc_id", F.col("cls").alias("class_id"), F.col("n_shingles").cast("long"), "component_id").union(empty)
+    return full.select(
+        "doc_id", F.col("cls").alias("class_id"), F.col("n_shingles").cast("long"), "component_id", "root"
+    ).union(empty)
+
+
+def linked_components(
+    documents: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS
+) -> DataFrame:
+    """doc_id, class_id (equal for equal sets, null for the empty set), n_shingles, component_id.
+
+    component_id is the smallest doc_id reachable by links.
+    """
+    return _linked(documents, words, percent, block_sets).drop("root")
+
+
+def _classes(words: int):
+    def name(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([set_class(grams) for grams in shingle_sets(batch, words)], pa.int64())
+
+    return name
 
 
 def one_of_each_group(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, all their columns, less those linked with one of smaller doc_id.
 
-    Rows of one doc_id are one document, of which the row with the smallest text stays; rows without doc_id,
-    which no link can name, all stay.
+    One row of a group stays, one with its smallest doc_id. Rows that share a doc_id are told apart by their
+    n-gram sets, so each stays or goes with its own group; of those that share a group as well, one with the
+    smallest class stays. Rows without doc_id, which no link can name, and texts without words all stay.
     """
-    linked = linked_components(documents, words, percent)
-    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    key = F.col("doc_id").cast("long")
-    rows = documents.select(F.struct("*").alias("row"), key.alias("kept_id"), "text")
-    place = F.row_number().over(Window.partitionBy("kept_id").orderBy("text"))
-    named = rows.join(kept, "kept_id", "left_semi").withColumn("place", place).where("place = 1")
-    return named.select("row.*").unionByName(documents.where(key.isNull()))
+    linked = common.saved(_linked(documents, words, percent, BLOCK_SETS).where("doc_id is not null"))
+    stays = F.col("class_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    ids = linked.groupBy(F.col("doc_id").alias("id")).agg((F.count("*") > 1).alias("several"), F.max(stays).alias("stays"))
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), "text")
+    rows = rows.join(ids.where("stays").select("id", "several"), F.col("key") == F.col("id")).drop("id")
+    single = rows.where(~F.col("several")).select("row.*")
+    # Only texts of repeated ids are looked at again.
+    chosen = linked.where("class_id is not null and doc_id = component_id").groupBy("root", F.col("doc_id").alias("id"))
+    chosen = chosen.agg(F.min("class_id").alias("cls")).select("id", "cls")
+    again, cls, _ = common.with_text_result(rows.where("several").select("row", "key", "text"), "bigint", _classes(words))
+    wordless = again.where(F.col(cls) == 0).select("row.*")
+    kept = again.join(chosen, (F.col("key") == F.col("id")) & (F.col(cls) == F.col("cls")), "left_semi")
+    kept = kept.dropDuplicates(["key", cls]).select("row.*")
+    return single.unionByName(kept).unionByName(wordless).unionByName(documents.where(F.col("doc_id").cast("long").isNull()))
 
 
 def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,7 +174,7 @@ def test_language_query_and_stage(spark, sf_dir):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
     tested = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == langs[r.doc_id] for r in tested) >= 0.95 * len(tested)
-    kept = language_crf.in_one_language(frame)
+    kept = language_crf.surely_labelled(frame)
     assert kept.columns == frame.columns and kept.count() >= 0.97 * len(rows)
 
 
@@ -191,11 +191,22 @@ def test_language_edges(spark):
     assert labelled[90] == [] and [w.lang for w in labelled[93]] == ["en"] * 3
     assert language_crf.fitted(documents(spark, [])) is None
     assert {r.l.lang_pred for r in frame.select(language_crf.text_language(None).alias("l")).collect()} == {"und"}
-    assert language_crf.in_one_language(documents(spark, [])).count() == 0
-    kept = language_crf.in_one_language(frame)
+    assert language_crf.surely_labelled(documents(spark, [])).count() == 0
+    kept = language_crf.surely_labelled(frame)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} >= set(range(40)) and kept.count() == 42
 
 
+def test_sample_is_bounded_by_rows_and_has_every_language(spark):
+    rows = [(1, f"the and of {'ab'[i % 2] * (i % 40)}", "en") for i in range(3000)] + [(1, "copy of one", "en")] * 500
+    rows += [(2, "der die und " + "x" * 5000, "rare")]
+    frame = documents(spark, rows)
+    sample = language_crf._sample(frame, 10).collect()
+    assert sorted(r.lang for r in sample) == ["en"] * 10 + ["rare"]
+    assert len({r.h for r in sample}) == 11
+    model = language_crf.fitted(frame, 10)
+    assert model.languages == ["en", "rare"] and max(map(len, model.lexicon)) <= language_crf.LONGEST
+
+
 def test_stage_keeps_mixed_but_sure_texts_and_texts_without_a_model(spark):
     words = {g: [f"{g}{c}{d}" for c in "klmnp" for d in "aeiou"] for g in ("qa", "wo", "xi", "zu")}
     rows = [(i, " ".join(words[g] * 2), g) for i, g in enumerate(list(words) * 15)]
@@ -203,10 +214,10 @@ def test_stage_keeps_mixed_but_sure_texts_and_texts_without_a_model(spark):
     frame = documents(spark, [*rows, (900, mixed, None), (901, "12 34", None), (902, None, "qa")])
     model = language_crf.fitted(frame)
     assert language_crf.Labeller(model).text_scores(pa.array([mixed])).max() < 0.4
-    kept = {r.doc_id for r in language_crf.in_one_language(frame).collect()}
+    kept = {r.doc_id for r in language_crf.surely_labelled(frame).collect()}
     assert kept == {*range(len(rows)), 900}
     unknown = documents(spark, [(i, t, None) for i, t in enumerate(["some text", "", None, "12 -", "\u00e9"])])
-    kept = language_crf.in_one_language(unknown)
+    kept = language_crf.surely_labelled(unknown)
     assert kept.columns == unknown.columns and {r.doc_id for r in kept.collect()} == {0, 4}
 
 

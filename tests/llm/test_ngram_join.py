@@ -170,6 +170,23 @@ def test_one_of_each_group_keeps_all_columns(spark):
     assert sorted((r.doc_id or 0, r.place) for r in kept.collect()) == [(0, 4), (2, 2), (5, 5), (9, 3)]
 
 
+def test_rows_of_one_id_stay_or_go_with_their_own_group(spark):
+    copied, alone, third = (" ".join(f"{c}{i}" for i in range(30)) for c in "cax")
+    rows = [(3, copied, 1), (5, copied, 2), (5, alone, 3), (5, alone, 3), (7, alone, 4), (8, " ", 5), (8, third, 6), (8, "", 7)]
+    rows += [(2, third + " end", 8), (2, third, 8), (9, third, 9)] + [(20, f"only {i}", 10 + i) for i in range(4)]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, place int, several int")
+    kept = ngram_join.one_of_each_group(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.place) for r in kept.collect()) == [(2, 8), (3, 1), (5, 3), (8, 5), (8, 7)] + [(20, 10 + i) for i in range(4)]
+
+
+def test_long_paths_and_negative_nodes(spark):
+    links = [(i, i + 1) for i in range(-300, 300)] + [(1000 + 7 * i % 101, 1000 + 7 * (i + 1) % 101) for i in range(101)]
+    rows = components(spark.createDataFrame(links, "u long, v long").repartition(9)).collect()
+    found = {r.node: r.root for r in rows}
+    assert len(rows) == len(found) and found == {n: -300 if n < 900 else 1000 for link in links for n in link}
+
+
 def test_registered_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in common.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark, sf_dir).collect()}
