@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words have sure languages, mixed or not; the model is learned from these documents' own labels."""
     common.small_batches(spark)
-    return language_crf.in_one_language(docs)
+    return language_crf.surely_labelled(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
