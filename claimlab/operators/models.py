@@ -6,8 +6,10 @@ Fits run as Spark ML jobs or as a few wide aggregates; only coefficient-sized re
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     OneHotEncoder,
@@ -16,7 +18,7 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from claimlab.functions.recovery import checkpointed
 from claimlab.operators import cells as C
 from claimlab.operators import features as FT
 
+# Columns that the models read.
 SEVERITY_COLUMNS = ["OUTCOME", "PRACTAGE", "STATE", "PERIOD_10Y", "RESOLUTION_BINARY", "ALGNNATR"]
 SEVERITY_TERMS = ["OUTCOME", "RESOLUTION_BINARY", "PERIOD_10Y", "STATE"]
 CATASTROPHIC_FEATURES = ["OUTCOME", "PRACTAGE", "LAG_YEARS", "STATE", "RESOLUTION_BINARY", "ALGNNATR"]
@@ -247,80 +250,164 @@ def fill_frequent(train: DataFrame, features: list[str]) -> dict[str, str]:
     return {row["column"]: row["code"] for row in best.collect()}
 
 
-def _class_weights(train: DataFrame, label: str) -> dict[int, float]:
-    counts = {row[label]: row["n"] for row in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    return {value: total / (len(counts) * n) for value, n in counts.items()}
+def classifier_cells(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """One row per combination of feature values, label and part of the split, with its reports.
 
-
-def classifier_frame(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """The columns that the classifier reads: SEQNO, features and the 0/1 label."""
+    Features are bounded codes, so this is a small table however many reports there are, and the one read of
+    the reports. It is written to the checkpoint folder, as the passes of the fit all start from it.
+    """
     frame = model_frame(df.filter(F.col(target).isNotNull()), ["SEQNO", *features, target])
-    return frame.withColumns({"label": F.col(target).cast("int"), "SEQNO": F.col("SEQNO").cast("long")})
+    label, tested = F.col(target).cast("int").alias("label"), is_test_row().alias("tested")
+    return checkpointed(frame.groupBy(*features, label, tested).agg(F.count(F.lit(1)).alias(C.ROWS)))
 
 
-def fit_catastrophic_classifier(
-    df: DataFrame, features: list[str] = CATASTROPHIC_FEATURES, target: str = "CATASTROPHIC"
-) -> tuple[PipelineModel, DataFrame]:
-    """Class-balanced logistic model of catastrophic payments and its scores on the test rows.
+@dataclass(frozen=True)
+class Classifier:
+    """A fitted logistic model: how columns become slots, and each slot's coefficient."""
 
-    Returns the fitted pipeline and a frame of (SEQNO, label, score). The narrow training rows are written to
-    the checkpoint folder once, so the passes of the fit don't derive them from the reports again.
-    """
-    frame = classifier_frame(df, features, target)
-    train, test = split_rows(frame)
-    train = checkpointed(train)
-    fill = fill_missing(train, features)
-    weights = _class_weights(train, "label")
-    weight = F.when(F.col("label") == 1, F.lit(weights.get(1, 1.0))).otherwise(F.lit(weights.get(0, 1.0)))
-    filled = train.na.fill(fill).withColumn("_weight", weight)
+    fill: dict[str, str | float]
+    centres: dict[str, float]
+    spreads: dict[str, float]
+    levels: dict[str, list[str]]
+    coefficients: list[float]
+    intercept: float
+    class_weights: dict[int, float]
+    penalty: float
+
+    @property
+    def slots(self) -> list[str]:
+        """Names of the slots in the order of the coefficients: scaled numbers, then levels of codes."""
+        return [*self.centres, *(f"{c}={level}" for c, levels in self.levels.items() for level in levels)]
+
+    def values(self) -> list[Column]:
+        """The slots' values, from rows with missing values filled."""
+        numbers = [(F.col(c) - F.lit(m)) / F.lit(self.spreads[c]) for c, m in self.centres.items()]
+        return numbers + [(F.col(c) == F.lit(v)).cast("double") for c, levels in self.levels.items() for v in levels]
+
+    def filled(self, df: DataFrame) -> DataFrame:
+        return df.na.fill(self.fill) if self.fill else df
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """Add `score`, the probability of the positive class; a code without a slot adds nothing."""
+        filled = self.filled(df)
+        terms = [F.lit(b) * F.coalesce(x, F.lit(0.0)) for b, x in zip(self.coefficients, self.values())]
+        margin = reduce(lambda x, y: x + y, terms, F.lit(self.intercept))
+        return filled.withColumn("score", 1 / (1 + F.exp(-margin)))
+
+    def weight(self) -> Column:
+        return F.when(F.col("label") == 1, F.lit(self.class_weights.get(1, 1.0))).otherwise(F.lit(self.class_weights.get(0, 1.0)))
+
+
+def _filled_levels(train: DataFrame, features: list[str]) -> dict[str, str | float]:
+    """What missing values become, from cells: the median of a number, the most frequent code of a text column."""
+    text = [c for c in features if isinstance(train.schema[c].dataType, T.StringType)]
+    numbers = [c for c in features if c not in text]
+    fill: dict[str, str | float] = {}
+    if numbers:
+        values = train.select(C.ROWS, *[F.col(c).cast("double").alias(c) for c in numbers]).unpivot(C.ROWS, numbers, "column", C.VALUE)
+        cells = values.groupBy("column", C.VALUE).agg(F.sum(C.ROWS).alias(C.ROWS))
+        medians = C.cell_quantiles(cells, ["column"], {"median": 0.5}).collect()
+        fill |= {row["column"]: row["median"] for row in medians if row["median"] is not None}
+    if text:
+        counts = train.select(C.ROWS, *text).unpivot(C.ROWS, text, "column", "code").filter(F.col("code").isNotNull())
+        counts = counts.groupBy("column", "code").agg(F.sum(C.ROWS).alias("n"))
+        best = counts.groupBy("column").agg(F.min_by("code", F.struct(-F.col("n"), F.col("code"))).alias("code"))
+        fill |= {row["column"]: row["code"] for row in best.collect()}
+    return fill
+
+
+def fit_classifier_cells(cells: DataFrame, features: list[str]) -> Classifier:
+    """Class-balanced logistic model with a unit penalty on every coefficient, fitted on weighted cells."""
+    train = cells.filter(~F.col("tested"))
+    text = [c for c in features if isinstance(cells.schema[c].dataType, T.StringType)]
+    numbers = [c for c in features if c not in text]
+    fill = _filled_levels(train, features)
+    filled = train.na.fill(fill) if fill else train
+    w = F.col(C.ROWS)
+    classes = {row["label"]: row["n"] for row in train.groupBy("label").agg(F.sum(w).alias("n")).collect()}
+    rows = sum(classes.values())
+    if not rows:
+        raise ValueError("there is no training row")
+    weights = {label: rows / (len(classes) * n) for label, n in classes.items()}
+    centres, spreads = {}, {}
+    if numbers:
+        means = filled.agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in numbers]).first().asDict()
+        centres = {c: means[c] if means[c] is not None else 0.0 for c in numbers}
+        apart = {c: F.col(c) - F.lit(centres[c]) for c in numbers}
+        squares = filled.agg(*[F.sum(w * apart[c] * apart[c]).alias(c) for c in numbers]).first().asDict()
+        spreads = {c: math.sqrt((squares[c] or 0.0) / max(rows - 1, 1)) or 1.0 for c in numbers}
+    levels = {}
+    if text:
+        # Levels are code lists; a code that only test rows have gets no slot.
+        found = filled.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in text]).first().asDict()
+        levels = {c: list(found[c]) for c in text}
+    model = Classifier(fill, centres, spreads, levels, [], 0.0, weights, 1.0)
+    slots = F.array(*model.values()) if model.slots else F.array().cast("array<double>")
+    data = filled.select(array_to_vector(slots).alias("features"), "label", (model.weight() * w).alias("_weight"))
     # Balanced weights sum to the number of training rows; unit penalty strength spreads over them.
-    rows = filled.count()
-    classifier = LogisticRegression(
-        weightCol="_weight", maxIter=_MAX_ITERATIONS, tol=1e-9, regParam=1.0 / max(rows, 1), elasticNetParam=0.0,
+    fitted = LogisticRegression(
+        weightCol="_weight", maxIter=_MAX_ITERATIONS, tol=1e-12, regParam=model.penalty / rows, elasticNetParam=0.0,
         standardization=False,
-    )
-    pipeline = preprocessing(filled, features)
-    model = Pipeline(stages=[*pipeline.getStages(), classifier]).fit(filled)
-    if model.stages[-1].summary.totalIterations >= _MAX_ITERATIONS:
+    ).fit(data)
+    if fitted.summary.totalIterations >= _MAX_ITERATIONS:
         raise RuntimeError(f"the fit has not converged in {_MAX_ITERATIONS} iterations")
-    scored = model.transform(test.na.fill(fill)).select(
-        "SEQNO", "label", vector_to_array("probability")[1].alias("score")
-    )
+    return replace(model, coefficients=[float(b) for b in fitted.coefficients], intercept=float(fitted.intercept))
+
+
+def fit_catastrophic_classifier(
+    df: DataFrame, features: list[str] = CATASTROPHIC_FEATURES, target: str = "CATASTROPHIC"
+) -> tuple[Classifier, DataFrame]:
+    """Class-balanced logistic model of catastrophic payments and its scores on the test part.
+
+    The second result has a row per (label, score) with its reports (`_rows`), which is all that the metrics
+    need; `Classifier.scored` scores any rows that have the features. The reports are read once.
+    """
+    cells = classifier_cells(df, features, target)
+    model = fit_classifier_cells(cells, features)
+    scored = model.scored(cells.filter("tested")).groupBy("label", "score").agg(F.sum(C.ROWS).alias(C.ROWS))
     return model, scored
 
 
-def classifier_balance(
+def classifier_equations(
     df: DataFrame, features: list[str] = CATASTROPHIC_FEATURES, target: str = "CATASTROPHIC"
 ) -> DataFrame:
-    """Training rows, positives, class-weighted mean score, and test rows and positives.
+    """One row per slot and one for the intercept: training rows and positives behind it, and its score equation.
 
-    The intercept is free, so at the optimum the weighted mean score is the weighted share of positives, a half.
+    At the optimum the weighted sum of (label - score) times the slot's value equals the penalty times the
+    coefficient; `residual` is the difference per training row, without its sign. A level's rows and positives are
+    those with the level, a number's and the intercept's are all.
     """
-    model, scored = fit_catastrophic_classifier(df, features, target)
-    train, _ = split_rows(classifier_frame(df, features, target))
-    weights = _class_weights(train, "label")
-    weight = F.when(F.col("label") == 1, F.lit(weights.get(1, 1.0))).otherwise(F.lit(weights.get(0, 1.0)))
-    fitted = model.transform(train.na.fill(fill_missing(train, features)))
-    score = vector_to_array("probability")[1]
-    own = fitted.agg(
-        F.count(F.lit(1)).alias("train_rows"),
-        F.sum(F.col("label").cast("long")).alias("train_positives"),
-        (F.sum(weight * score) / F.sum(weight)).alias("mean_score"),
-    )
-    tested = scored.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("long"))).first()
-    return own.select("*", F.lit(tested[0]).alias("test_rows"), F.lit(tested[1]).alias("test_positives"))
+    cells = classifier_cells(df, features, target)
+    model = fit_classifier_cells(cells, features)
+    train = model.scored(cells.filter("not tested")).withColumn("_error", model.weight() * F.col(C.ROWS) * (F.col("label") - F.col("score")))
+    names, values = [*model.slots, "Intercept"], [*model.values(), F.lit(1.0)]
+    penalised = [model.penalty * b for b in model.coefficients] + [0.0]
+    numbers = len(model.centres)
+    rows = F.sum(C.ROWS)
+    parts = [
+        F.struct(
+            F.lit(name).alias("slot"),
+            (rows if i < numbers or name == "Intercept" else F.sum(F.col(C.ROWS) * x).cast("long")).alias("rows"),
+            F.coalesce(
+                F.sum(F.col(C.ROWS) * F.col("label") * (1 if i < numbers or name == "Intercept" else x)).cast("long"), F.lit(0).cast("long")
+            ).alias("positives"),
+            F.abs((F.sum(F.col("_error") * x) - F.lit(b)) / rows).alias("residual"),
+        )
+        for i, (name, x, b) in enumerate(zip(names, values, penalised))
+    ]
+    return train.agg(F.array(*parts).alias("_parts")).select(F.inline("_parts"))
 
 
 def classifier_metrics(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Exact ROC-AUC, average precision and row count of scored rows.
+    """Exact ROC-AUC, average precision and row count of scored rows; `_rows`, if there, says how many a row is.
 
     Both follow from counts per distinct score and running counts from the highest score down.
     Average precision sums precision times the recall gained at each score, without interpolation.
     """
+    n = F.col(C.ROWS) if C.ROWS in scored.columns else F.lit(1).cast("long")
     counts = (
         scored.groupBy((-F.col(score)).alias(C.VALUE))
-        .agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("_hits"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.coalesce(F.sum(F.col(label).cast("long") * n), F.lit(0)).alias("_hits"), F.sum(n).alias("_n"))
         .withColumn("_misses", F.col("_n") - F.col("_hits"))
     )
     ranked = C.running_totals(counts, ["_hits", "_misses"])
@@ -345,8 +432,8 @@ _MOVES = 4
 def fit_severity_distributions(df: DataFrame, column: str = "PAYMENT_ADJ", rounds: int = 9) -> DataFrame:
     """Maximum-likelihood fits of five severity distributions, ranked by AIC and BIC.
 
-    Location is zero. The data enter as (value, count) cells; each round of a one-parameter search
-    evaluates all trial values in one aggregate, so a fit takes a few passes over the cells.
+    Location is zero. The data enter as (value, count) cells. Two fits are the root of the derivative of their
+    profile likelihood; each round evaluates it at all trial values in one aggregate, so a fit takes a few passes.
     """
     positive = df.filter(F.col(column) > 0)
     cells = checkpointed(C.amount_cells(positive, [], column).withColumn("_log", F.ln(C.VALUE)))
@@ -406,71 +493,69 @@ def _lognormal_fit(n: float, mean_log: float, mean_log2: float):
     return "lognormal", sigma, math.exp(mean_log), like, 2
 
 
-def _search(evaluate, low: float, high: float, rounds: int) -> float:
-    """Maximum of a unimodal function: a grid per round, then the neighbours of its best point.
+def _root(evaluate, low: float, high: float, rounds: int) -> float:
+    """Where a function changes sign once: a grid per round, then the step that holds the change.
 
-    A best point at the edge moves the range on, at most `_MOVES` times; a function that still rises is an error.
+    A range without a change moves towards it, at most `_MOVES` times; then there is no root, which is an error.
     """
     moves = 0
     while rounds:
         step = (high - low) / (_TRIALS - 1)
         grid = [low + step * i for i in range(_TRIALS)]
         values = evaluate(grid)
-        best = max(range(_TRIALS), key=lambda i: values[i])
-        if best in (0, _TRIALS - 1):
+        if (values[0] > 0) == (values[-1] > 0):
             moves += 1
             if moves > _MOVES:
                 raise RuntimeError("the likelihood has no maximum in the range that was searched")
+            # Derivatives fall, so values above zero say that the root is higher.
             width = high - low
-            low, high = (low - width / 2, high - width / 2) if best == 0 else (low + width / 2, high + width / 2)
+            low, high = (high, high + width) if values[0] > 0 else (low - width, low)
             continue
-        low, high = grid[best - 1], grid[best + 1]
+        after = next(i for i, v in enumerate(values) if (v > 0) != (values[0] > 0))
+        low, high = grid[after - 1], grid[after]
         rounds -= 1
     return (low + high) / 2
 
 
-def _sums(cells: DataFrame, term, grid: list[float]) -> list[float]:
-    """Weighted sums over cells of one term per grid point, in one aggregate."""
+def _sums(cells: DataFrame, terms: list, grid: list[float]) -> list[tuple[float, ...]]:
+    """Weighted sums over cells of each term per grid point, in one aggregate."""
     trials = F.array(*[F.lit(g) for g in grid])
     per_trial = cells.select(C.ROWS, C.VALUE, "_log", F.posexplode(trials).alias("_trial", "_at"))
-    sums = per_trial.groupBy("_trial").agg(F.sum(F.col(C.ROWS) * term(F.col("_at"))).alias("_sum"))
-    by_trial = {row["_trial"]: row["_sum"] for row in sums.collect()}
+    wanted = [F.sum(F.col(C.ROWS) * term(F.col("_at"))).alias(f"_sum_{i}") for i, term in enumerate(terms)]
+    by_trial = {row["_trial"]: tuple(row)[1:] for row in per_trial.groupBy("_trial").agg(*wanted).collect()}
     return [by_trial[i] for i in range(len(grid))]
 
 
 def _weibull_fit(cells: DataFrame, n: float, mean_log: float, max_log: float, rounds: int):
-    """Profile likelihood over the log shape; powers are taken relative to the largest value to stay finite."""
+    """Root over the log shape; powers are taken relative to the largest value to stay finite."""
+
+    def power(at):
+        return F.exp(F.exp(at) * (F.col("_log") - max_log))
 
-    def scaled_power_sums(grid):
-        return _sums(cells, lambda at: F.exp(F.exp(at) * (F.col("_log") - max_log)), grid)
+    def sums(grid):
+        return _sums(cells, [power, lambda at: power(at) * F.col("_log")], grid)
 
-    def profile(grid):
-        sums = scaled_power_sums(grid)
-        out = []
-        for at, total in zip(grid, sums):
-            shape = math.exp(at)
-            log_mean_power = math.log(total / n) + shape * max_log
-            out.append(n * (at - log_mean_power + (shape - 1) * mean_log - 1))
-        return out
+    def slope(grid):
+        return [1 / math.exp(at) + mean_log - logs / total for at, (total, logs) in zip(grid, sums(grid))]
 
-    at = _search(profile, math.log(0.02), math.log(50.0), rounds)
+    at = _root(slope, math.log(0.02), math.log(50.0), rounds)
     shape = math.exp(at)
-    log_mean_power = math.log(scaled_power_sums([at])[0] / n) + shape * max_log
-    return "weibull", shape, math.exp(log_mean_power / shape), profile([at])[0], 2
+    log_mean_power = math.log(sums([at])[0][0] / n) + shape * max_log
+    like = n * (at - log_mean_power + (shape - 1) * mean_log - 1)
+    return "weibull", shape, math.exp(log_mean_power / shape), like, 2
 
 
 def _lomax_fit(cells: DataFrame, n: float, mean: float, rounds: int):
-    """Profile likelihood over the log scale; the shape has a closed form for each scale."""
-
-    def log_sums(grid):
-        return _sums(cells, lambda at: F.log1p(F.col(C.VALUE) / F.exp(at)), grid)
+    """Root over the log scale; the shape has a closed form for each scale."""
+    terms = [
+        lambda at: F.log1p(F.col(C.VALUE) / F.exp(at)),
+        lambda at: F.col(C.VALUE) / (F.exp(at) + F.col(C.VALUE)),
+    ]
 
-    def profile(grid):
-        out = []
-        for at, total in zip(grid, log_sums(grid)):
-            shape = n / total
-            out.append(n * math.log(shape) - n * at - (shape + 1) * total)
-        return out
+    def slope(grid):
+        return [(n / logs + 1) * shares - n for logs, shares in _sums(cells, terms, grid)]
 
-    at = _search(profile, math.log(mean) - 12, math.log(mean) + 12, rounds)
-    return "lomax", n / log_sums([at])[0], math.exp(at), profile([at])[0], 2
+    at = _root(slope, math.log(mean) - 12, math.log(mean) + 12, rounds)
+    total = _sums(cells, terms, [at])[0][0]
+    shape = n / total
+    return "lomax", shape, math.exp(at), n * math.log(shape) - n * at - (shape + 1) * total, 2

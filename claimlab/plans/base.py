@@ -79,12 +79,14 @@ class Query:
         ]
         replace = f" REPLACE ({', '.join(rounded)})" if rounded else ""
         body = self.sql.strip()
-        local = ""
+        local = kind = ""
         if body.startswith("WITH "):
             # A query's own CTEs end at the marker and join the shared ones.
             local, body = body[5:].split(";;")
+            if local.startswith("RECURSIVE "):
+                kind, local = "RECURSIVE ", local[10:]
             local = ", " + local.strip()
-        return f"WITH {SHARED_CTES}{local}\nSELECT *{replace} FROM (\n{body.strip()}\n) AS result"
+        return f"WITH {kind}{SHARED_CTES}{local}\nSELECT *{replace} FROM (\n{body.strip()}\n) AS result"
 
 
 def _code(column: str) -> str:

@@ -128,6 +128,68 @@ _TERM_ROWS = " UNION ALL ".join(
     for t in M.SEVERITY_TERMS
 )
 
+#: Training rows with the missing lags filled, then a row for each slot of the classifier.
+_EQUATIONS_SQL = f"""WITH train AS (SELECT *, CAST(CATASTROPHIC AS INTEGER) AS y FROM p_feat WHERE {_SEVERITY_WHERE} AND {_BUCKET_SQL} >= 0.25);;
+SELECT slot, rows, CAST(positives AS BIGINT) AS positives, CAST(0 AS DOUBLE) AS residual FROM (
+  SELECT 'STATE=' || STATE AS slot, count(*) AS rows, sum(y) AS positives FROM train GROUP BY STATE
+  UNION ALL SELECT 'RESOLUTION_BINARY=' || RESOLUTION_BINARY, count(*), sum(y) FROM train GROUP BY RESOLUTION_BINARY
+  UNION ALL SELECT unnest(['OUTCOME', 'PRACTAGE', 'LAG_YEARS', 'ALGNNATR', 'Intercept']), n, p
+    FROM (SELECT count(*) AS n, sum(y) AS p FROM train) AS t) AS slots"""
+
+_DIGAMMA_SQL = """(ln(x + 8) - 0.5 / (x + 8) - 1 / (12 * (x + 8) ** 2) + 1 / (120 * (x + 8) ** 4) - 1 / (252 * (x + 8) ** 6)
+  - list_sum(list_transform(range(0, 8), lambda i: 1 / (x + i))))"""
+
+
+def _bisected(name: str, start: str, slope: str) -> str:
+    """A recursive table that halves (low, high) around the root of a falling function of `mid` and `x`, its exponential, 60 times."""
+    return f"""{name} AS (
+  SELECT 0 AS i, CAST({start[0]} AS DOUBLE) AS low, CAST({start[1]} AS DOUBLE) AS high FROM m
+  UNION ALL
+  SELECT i + 1, CASE WHEN slope > 0 THEN mid ELSE low END, CASE WHEN slope > 0 THEN high ELSE mid END FROM (
+    SELECT i, low, high, mid, {slope} AS slope FROM (SELECT *, (low + high) / 2 AS mid, exp((low + high) / 2) AS x FROM {name}, m) AS halved
+  ) AS tried WHERE i < 60
+)"""
+
+
+_POWERS = "list_transform(logs, lambda l: exp(x * (l - max_log)))"
+_FITS_SQL = f"""WITH RECURSIVE paid AS (
+  SELECT PAYMENT_ADJ AS v, ln(PAYMENT_ADJ) AS l, CAST(count(*) AS DOUBLE) AS n FROM feat
+  WHERE PAYMENT_MODE = 'Single Payment' AND PAYMENT_ADJ > 0 GROUP BY PAYMENT_ADJ),
+m AS (SELECT list(v ORDER BY v) AS vals, list(l ORDER BY v) AS logs, list(n ORDER BY v) AS counts, sum(n) AS total, sum(n * v) / sum(n) AS mean,
+  sum(n * l) / sum(n) AS mean_log, sum(n * l * l) / sum(n) AS mean_log2, max(l) AS max_log FROM paid),
+{_bisected('gamma_root', ('-20', '20'), f'mid - {_DIGAMMA_SQL} - ln(mean) + mean_log')},
+{_bisected('weibull_root', ('ln(0.02)', 'ln(50)'), f'1 / x + mean_log - list_dot_product(counts, list_transform(list_zip({_POWERS}, logs), lambda p: p[1] * p[2])) / list_dot_product(counts, {_POWERS})')},
+{_bisected('lomax_root', ('ln(mean) - 12', 'ln(mean) + 12'), '(total / list_dot_product(counts, list_transform(vals, lambda v: ln(1 + v / x))) + 1) * list_dot_product(counts, list_transform(vals, lambda v: v / (x + v))) - total')},
+sigma AS (SELECT sqrt(mean_log2 - mean_log * mean_log) AS s FROM m),
+gamma_fit AS (SELECT exp((low + high) / 2) AS k, mean / exp((low + high) / 2) AS theta FROM gamma_root, m WHERE i = 60),
+weibull_fit AS (SELECT x AS k, ln(list_dot_product(counts, {_POWERS}) / total) + x * max_log AS log_power
+  FROM (SELECT exp((low + high) / 2) AS x FROM weibull_root WHERE i = 60) AS w, m),
+lomax_fit AS (SELECT x, list_dot_product(counts, list_transform(vals, lambda v: ln(1 + v / x))) AS t
+  FROM (SELECT exp((low + high) / 2) AS x FROM lomax_root WHERE i = 60) AS w, m),
+fits AS (
+  SELECT 'exponential' AS distribution, CAST(NULL AS DOUBLE) AS shape, mean AS scale, -total * (ln(mean) + 1) AS log_likelihood, 1 AS free, total FROM m
+  UNION ALL SELECT 'lognormal', s, exp(mean_log), -total * (mean_log + ln(s) + 0.5 * ln(2 * pi()) + 0.5), 2, total FROM m, sigma
+  UNION ALL SELECT 'gamma', k, theta, total * ((k - 1) * mean_log - mean / theta - lgamma(k) - k * ln(theta)), 2, total FROM m, gamma_fit
+  UNION ALL SELECT 'weibull', k, exp(log_power / k), total * (ln(k) - log_power + (k - 1) * mean_log - 1), 2, total FROM m, weibull_fit
+  UNION ALL SELECT 'lomax', total / t, x, total * ln(total / t) - total * ln(x) - (total / t + 1) * t, 2, total FROM m, lomax_fit
+);;
+SELECT distribution, {{measures}} FROM (SELECT *, 2 * free - 2 * log_likelihood AS aic, ln(total) * free - 2 * log_likelihood AS bic FROM fits) AS f"""
+_FIT_COLUMNS = ["shape", "scale", "log_likelihood", "aic", "bic"]
+_FITS_SQL = _FITS_SQL.format(
+    measures=", ".join(
+        f"round({c} / pow(10, floor(log10(abs({c})))), 4) AS {c}, CAST(floor(log10(abs({c}))) AS INTEGER) AS {c}_exponent"
+        for c in _FIT_COLUMNS
+    )
+)
+
+
+def _four_digits(fits):
+    """Every figure as a number between 1 and 10 with four decimals, and its power of ten."""
+    power = {c: F.floor(F.log10(F.abs(F.col(c)))) for c in _FIT_COLUMNS}
+    figures = [(F.round(F.col(c) / F.pow(F.lit(10.0), power[c]), 4)).alias(c) for c in _FIT_COLUMNS]
+    return fits.select("distribution", *figures, *[power[c].cast("int").alias(f"{c}_exponent") for c in _FIT_COLUMNS])
+
+
 QUERIES = [
     Query("d01_describe_payment", lambda c: D.describe(c.feat, "PAYMENT"), _describe_sql("PAYMENT", "feat"), r2="value"),
     Query("d01_describe_total", lambda c: D.describe(c.feat, "TOTALPMT"), _describe_sql("TOTALPMT", "feat"), r2="value"),
@@ -268,12 +330,10 @@ QUERIES = [
         r2="ratio",
     ),
     Query(
-        "m07_classifier_balance",
-        lambda c: M.classifier_balance(M.severity_frame(c.new)),
-        f"""SELECT count(*) FILTER (WHERE NOT t) AS train_rows, CAST(sum(y) FILTER (WHERE NOT t) AS BIGINT) AS train_positives,
-        CAST(0.5 AS DOUBLE) AS mean_score, count(*) FILTER (WHERE t) AS test_rows, CAST(sum(y) FILTER (WHERE t) AS BIGINT) AS test_positives
-        FROM (SELECT CAST(CATASTROPHIC AS INTEGER) AS y, {_BUCKET_SQL} < 0.25 AS t FROM p_feat WHERE {_SEVERITY_WHERE}) AS split""",
-        r4="mean_score",
+        "m07_classifier_equations",
+        lambda c: M.classifier_equations(M.severity_frame(c.new)),
+        _EQUATIONS_SQL,
+        r4="residual",
     ),
     Query(
         "m06_preprocessing",
@@ -288,20 +348,8 @@ QUERIES = [
     Query("m08_classifier_metrics", _severity_score, _SCORE_SQL, r4="roc_auc average_precision"),
     Query(
         "m09_severity_distributions",
-        lambda c: M.fit_severity_distributions(c.feat.filter(F.col("PAYMENT_MODE") == "Single Payment")),
-    ),
-    Query(
-        "m09_closed_form_fits",
-        lambda c: M.fit_severity_distributions(c.feat.filter(F.col("PAYMENT_MODE") == "Single Payment"))
-        .filter(F.col("distribution").isin("exponential", "lognormal"))
-        .select("distribution", "shape", "scale", "aic"),
-        """WITH paid AS (SELECT PAYMENT_ADJ AS x, ln(PAYMENT_ADJ) AS l FROM feat
-          WHERE PAYMENT_MODE = 'Single Payment' AND PAYMENT_ADJ > 0),
-        m AS (SELECT count(*) AS n, avg(x) AS mean, avg(l) AS mu, stddev_pop(l) AS sigma FROM paid);;
-        SELECT 'exponential' AS distribution, CAST(NULL AS DOUBLE) AS shape, mean AS scale, 2 + 2 * n * (ln(mean) + 1) AS aic FROM m
-        UNION ALL SELECT 'lognormal', sigma, exp(mu), 4 + 2 * n * (mu + ln(sigma) + 0.5 * ln(2 * pi()) + 0.5) FROM m""",
-        r4="shape",
-        r2="scale aic",
+        lambda c: _four_digits(M.fit_severity_distributions(c.feat.filter(F.col("PAYMENT_MODE") == "Single Payment"))),
+        _FITS_SQL,
     ),
     Query(
         "m10_lag_frame",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from claimlab.operators import linkage
 from claimlab.plans.registry import ALL
 
-FITTED = {"m03_log_payment_model", "m04_gamma_payment_model", "m07_catastrophic_classifier", "m09_severity_distributions"}
+FITTED = {"m03_log_payment_model", "m04_gamma_payment_model", "m07_catastrophic_classifier", "m07_classifier_equations", "m09_severity_distributions"}
 
 
 def plan_of(df) -> str:
