@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 from claimlab.functions.labels import CPI_FACTORS, CPI_FIRST_YEAR
 
 
-DECIMAL_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# The characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# A cast also reads hexadecimal numbers, type suffixes, NaN and Infinity, and skips control characters at the ends.
+_NOT_IN_NUMBERS = "dDfFxXnNiIpP" + "".join(map(chr, range(32)))
 
 
 def stripped(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def number(text: Column) -> Column:
     """Text to double; anything that is not a plain decimal number becomes null."""
     plain = stripped(text)
-    return F.when(F.rlike(plain, F.lit(DECIMAL_NUMBER)), plain.try_cast("double"))
+    return F.when(F.translate(plain, _NOT_IN_NUMBERS, "") == plain, plain.try_cast("double"))
 
 
 def currency(text: Column) -> Column:

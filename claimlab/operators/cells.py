@@ -7,7 +7,8 @@ value. All sums, means and shares are then algebraic over cells. For quantiles e
 bucket from a fixed monotone function, so that
 
 1. bucket counts per group (a bounded histogram) locate the bucket that holds each wanted rank,
-2. only the cells of those buckets are put in order, one task per (group, bucket).
+2. only the cells of those buckets are put in order, one task per (group, bucket), and where there are at most
+   `TARGET_LIMIT` such buckets, only they move again: their hashes filter the cells before the second exchange.
 
 No step gathers a whole group, and every step is exact. The cells are one aggregate with a single
 count, so the branches that read them share one exchange and the input is scanned once. That holds as
@@ -30,6 +31,8 @@ CENTRE = "_centre"
 
 #: Buckets per doubling of |value|: values of a bucket differ by 0.02 % at every magnitude, small or large.
 BUCKETS_PER_DOUBLING = 4096
+#: Wanted (group, bucket) pairs whose hashes a query carries to filter cells; beyond it cells are filtered by the join.
+TARGET_LIMIT = 2_000
 #: Doublings below 1 down to the smallest double, so that bucket numbers of positive values are positive.
 _DOUBLINGS_BELOW_ONE = 1075
 
@@ -156,7 +159,7 @@ def cell_quantiles(cells: DataFrame, keys: list[str], quantiles: dict[str, float
         [F.col(k).eqNullSafe(F.col(f"_target_{k}")) for k in keys],
         F.col(BUCKET).eqNullSafe(F.col("_target_bucket")),
     )
-    candidates = values.join(targets, on)
+    candidates = values.filter(_may_hold(targets, keys)).join(targets, on)
 
     in_order = Window.partitionBy(*keys, BUCKET).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
     ordered = candidates.withColumn("_end", F.col("_start") + F.sum(ROWS).over(in_order)).withColumn(
@@ -170,6 +173,18 @@ def cell_quantiles(cells: DataFrame, keys: list[str], quantiles: dict[str, float
     return ordered.groupBy(*keys).agg(*[column.alias(name) for name, column in picks.items()])
 
 
+def _may_hold(targets: DataFrame, keys: list[str]) -> Column:
+    """Whether a cell can lie in a wanted bucket, by the set of their hashes; true for all if there are too many.
+
+    The set comes from a scalar subquery that reads the same exchange. The condition names the row count, so
+    that it stays above the cells' aggregation and the exchange below remains one.
+    """
+    name = F.xxhash64(*[f"_target_{k}" for k in keys], "_target_bucket")
+    some = targets.select(name.alias("_name")).limit(TARGET_LIMIT + 1).agg(F.collect_set("_name").alias("_names")).scalar()
+    own = F.xxhash64(*keys, BUCKET)
+    return F.when(F.col(ROWS) > 0, (F.size(some) > TARGET_LIMIT) | F.array_contains(some, own))
+
+
 def _ranks(p: float) -> tuple[Column, Column, Column]:
     """Zero-based ranks around a quantile and the interpolation weight of the upper one."""
     position = (F.col("_size") - 1) * F.lit(float(p))
@@ -215,17 +230,26 @@ def stats_of_cells(
 def running_totals(values: DataFrame, columns: list[str], bucket: Column | None = None) -> DataFrame:
     """Add `<column>_before`, the sum over all smaller values, and `<column>_all`, the sum over all values.
 
-    `values` has one row per distinct `_value`. Totals of the value buckets are accumulated first
-    (bounded table), then each bucket is put in order by a task of its own.
+    `values` has one row per distinct `_value`. Sums go up in three steps: ranges of `BUCKETS_PER_DOUBLING`
+    buckets, of which doubles have a fixed number, are the only rows that one task puts in order; then the buckets of each
+    range, and then the values of each bucket, by tasks of their own.
     """
     placed = values.withColumn(BUCKET, bucket_of(F.col(VALUE)) if bucket is None else bucket)
-    every_bucket = Window.partitionBy(F.lit(0))
-    smaller = every_bucket.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    histogram = placed.groupBy(BUCKET).agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
-    offsets = histogram.select(
+    span = F.floor(F.col(BUCKET) / BUCKETS_PER_DOUBLING).alias("_range")
+    histogram = placed.groupBy(BUCKET).agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns]).select("*", span)
+    all_ranges = Window.partitionBy(F.lit(0))
+    lower = all_ranges.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = histogram.groupBy("_range").agg(*[F.sum(f"_sum_{c}").alias(f"_sum_{c}") for c in columns])
+    ranges = ranges.select(
+        F.col("_range").alias("_in_range"),
+        *[F.coalesce(F.sum(f"_sum_{c}").over(lower), F.lit(0)).alias(f"_lower_{c}") for c in columns],
+        *[F.sum(f"_sum_{c}").over(all_ranges).alias(f"{c}_all") for c in columns],
+    )
+    smaller = Window.partitionBy("_range").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = histogram.join(ranges, F.col("_range").eqNullSafe(F.col("_in_range"))).select(
         F.col(BUCKET).alias("_offset_bucket"),
-        *[F.coalesce(F.sum(f"_sum_{c}").over(smaller), F.lit(0)).alias(f"_offset_{c}") for c in columns],
-        *[F.sum(f"_sum_{c}").over(every_bucket).alias(f"{c}_all") for c in columns],
+        *[(F.col(f"_lower_{c}") + F.coalesce(F.sum(f"_sum_{c}").over(smaller), F.lit(0))).alias(f"_offset_{c}") for c in columns],
+        *[f"{c}_all" for c in columns],
     )
     inside = Window.partitionBy(BUCKET).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, -1)
     joined = placed.join(offsets, F.col(BUCKET).eqNullSafe(F.col("_offset_bucket")))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlab.functions import columns as X
@@ -93,12 +93,12 @@ def _grouped_episodes(df: DataFrame, tier: str) -> DataFrame:
     )
 
 
-def _flagged(episodes: DataFrame, tier: str) -> DataFrame:
+def _flagged(episodes: DataFrame, span_limit: int | Column) -> DataFrame:
     varied = [F.col(c) > 1 for c in _COUNTED if c != "reptype_count"]
     span = F.col("origyear_span")
     return (
         episodes.withColumn("origyear_span", F.col("max_origyear") - F.col("min_origyear"))
-        .withColumn("ambiguous_episode", reduce(lambda a, b: a | b, varied) | (span > TIER_SPAN_LIMIT[tier]))
+        .withColumn("ambiguous_episode", reduce(lambda a, b: a | b, varied) | (span > span_limit))
         .withColumn("reconstruction_eligible", ~F.col("ambiguous_episode") & (F.col("record_count") >= 1))
     )
 
@@ -107,7 +107,7 @@ _KEY_PREFIX = "_key_"
 
 
 def _episodes_with_keys(df: DataFrame, tier: str) -> DataFrame:
-    return _flagged(_grouped_episodes(df, tier), tier)
+    return _flagged(_grouped_episodes(df, tier), TIER_SPAN_LIMIT[tier])
 
 
 def payment_episodes(df: DataFrame, tier: str = "strict") -> DataFrame:
@@ -134,12 +134,12 @@ def validate_episodes(episodes: DataFrame) -> DataFrame:
     )
 
 
-def validation_metrics(validation: DataFrame) -> DataFrame:
-    """One row of linkage quality; no row when nothing could be validated."""
+def validation_metrics(validation: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Linkage quality, one row for each value of `keys`; no row when nothing could be validated."""
     flags = ["within_10pct", "within_25pct", "ambiguous_episode"]
     return C.group_stats(
         validation,
-        [],
+        list(keys),
         "absolute_pct_error",
         {
             "episodes_validated": C.rows(),
@@ -153,13 +153,47 @@ def validation_metrics(validation: DataFrame) -> DataFrame:
     ).filter(F.col("episodes_validated") > 0)
 
 
-def compare_tiers(df: DataFrame, tiers: list[str] = ("strict", "moderate")) -> DataFrame:
-    """Validation metrics of several tiers, one tagged row each."""
-    tagged = [
-        validation_metrics(validate_episodes(payment_episodes(df, tier))).withColumn("tier", F.lit(tier))
+def tier_episodes(df: DataFrame, tiers: list[str]) -> DataFrame:
+    """Episodes of several tiers at once, told apart by `tier`: their sizes, spreads and sums, without keys.
+
+    Every report becomes one row a tier, with the columns that are no key there left out, and states of (count,
+    sum, least, largest, distinct codes) merge: first by key and counted codes, which spreads a large episode, then
+    by key. So all tiers come from one read of the reports and two exchanges.
+    """
+    for tier in tiers:
+        _check_tier(tier)
+    keys = sorted({k for tier in tiers for k in TIER_KEYS[tier]})
+    counted = list(_COUNTED.values())
+    versions = [
+        F.struct(F.lit(tier).alias("tier"), *[F.when(F.lit(k in TIER_KEYS[tier]), F.col(k)).alias(f"_key_{k}") for k in keys])
         for tier in tiers
     ]
-    return reduce(DataFrame.unionByName, tagged)
+    rows = linkage_frame(df).select(*counted, "ORIGYEAR", "PAYMENT_ADJ", "TOTALPMT_ADJ", F.inline(F.array(*versions)))
+    masked = [f"_key_{k}" for k in keys]
+    parts = rows.groupBy("tier", *masked, *counted).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min("ORIGYEAR").alias("_first"),
+        F.max("ORIGYEAR").alias("_last"),
+        F.sum("PAYMENT_ADJ").alias("_paid"),
+        F.max("TOTALPMT_ADJ").alias("_total"),
+        F.count("TOTALPMT_ADJ").alias("_totals"),
+    )
+    episodes = parts.groupBy("tier", *masked).agg(
+        F.sum("_rows").alias("record_count"),
+        *[F.size(F.collect_set(column)).cast("long").alias(name) for name, column in _COUNTED.items()],
+        F.min("_first").alias("min_origyear"),
+        F.max("_last").alias("max_origyear"),
+        F.coalesce(F.sum("_paid"), F.lit(0.0)).alias("payment_sum_adj"),
+        F.max("_total").alias("totalpmt_max_adj"),
+        F.sum("_totals").alias("totalpmt_non_null"),
+    )
+    limit = reduce(lambda other, tier: other.when(F.col("tier") == tier, TIER_SPAN_LIMIT[tier]), tiers, F)
+    return _flagged(episodes.drop(*masked), limit)
+
+
+def compare_tiers(df: DataFrame, tiers: list[str] = ("strict", "moderate")) -> DataFrame:
+    """Validation metrics of several tiers, one tagged row each; no row for a tier without an observed total."""
+    return validation_metrics(validate_episodes(tier_episodes(df, list(tiers))), ["tier"])
 
 
 def with_best_total(df: DataFrame, tier: str = "strict", episodes_of: DataFrame | None = None) -> DataFrame:

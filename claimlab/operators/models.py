@@ -346,7 +346,7 @@ def fit_classifier_cells(cells: DataFrame, features: list[str]) -> Classifier:
     data = filled.select(array_to_vector(slots).alias("features"), "label", (model.weight() * w).alias("_weight"))
     # Balanced weights sum to the number of training rows; unit penalty strength spreads over them.
     fitted = LogisticRegression(
-        weightCol="_weight", maxIter=_MAX_ITERATIONS, tol=1e-12, regParam=model.penalty / rows, elasticNetParam=0.0,
+        weightCol="_weight", maxIter=_MAX_ITERATIONS, tol=1e-8, regParam=model.penalty / rows, elasticNetParam=0.0,
         standardization=False,
     ).fit(data)
     if fitted.summary.totalIterations >= _MAX_ITERATIONS:

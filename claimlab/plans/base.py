@@ -165,10 +165,11 @@ def _key_sql(columns: list[str]) -> str:
     return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), 'NA')" for c in columns)
 
 
+# Key columns and the largest span of years of each tier.
 _TIERS = {
-    "strict": ("PRACTNUM STATE MALYEAR1 MALYEAR2 ALGNNATR PAYTYPE_STR".split(), 3),
-    "moderate": ("PRACTNUM STATE MALYEAR1 ALGNNATR ORIGYEAR_WINDOW".split(), 5),
-    "exploratory": ("PRACTNUM STATE MALYEAR1".split(), 7),
+    "strict": (["PRACTNUM", "STATE", "MALYEAR1", "MALYEAR2", "ALGNNATR", "PAYTYPE_STR"], 3),
+    "moderate": (["PRACTNUM", "STATE", "MALYEAR1", "ALGNNATR", "ORIGYEAR_WINDOW"], 5),
+    "exploratory": (["PRACTNUM", "STATE", "MALYEAR1"], 7),
 }
 
 

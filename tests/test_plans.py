@@ -2,10 +2,13 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from claimlab.functions import columns as X
+from claimlab.operators import cells as C
 from claimlab.operators import linkage
 from claimlab.plans.registry import ALL
 
@@ -19,6 +22,22 @@ def plan_of(df) -> str:
     return out.getvalue()
 
 
+def final_plan(df) -> str:
+    """What ran: the plan and those of its subqueries, without the parts that show them as first planned."""
+    kept, hidden = [], None
+    for line in plan_of(df).replace(X.WHITE_SPACE, "").splitlines():
+        column = re.search(r"[A-Za-z=]", line)
+        column = column.start() if column else 0
+        if hidden is not None and column > hidden:
+            continue
+        hidden = None
+        if "== Initial Plan ==" in line:
+            hidden = line.index("==") - 3
+        else:
+            kept.append(line)
+    return "\n".join(kept)
+
+
 @pytest.fixture
 def static_plans(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -47,14 +66,33 @@ def test_branches_share_one_scan(static_plans, sf_dir, key):
     assert "ReusedExchange" in plan, key
 
 
-@pytest.mark.parametrize("key", ["a03_state_summary", "a14_state_amounts", "p05_multi_payment_profile", "f01_cohorts"])
+@pytest.mark.parametrize("key", ["a03_state_summary", "a14_state_amounts", "p05_multi_payment_profile", "f01_cohorts", "k07_compare_tiers"])
 def test_one_scan_in_the_plan_that_ran(spark, sf_dir, key):
     """With adaptive execution on, after the query has run."""
     df = ALL[key].run(spark, sf_dir)
     df.collect()
-    plan = plan_of(df)
-    final = plan.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
-    assert final.count("orders.parquet") == 1, key
+    assert final_plan(df).count("orders.parquet") == 1, key
+
+
+def test_second_exchange_carries_wanted_buckets_only(spark, sf_dir):
+    """The join that orders cells reads cells that the set of wanted buckets has filtered, and little else."""
+    n = F.col("id")
+    df = spark.range(0, 400_000).select((n % 3).alias("k"), (n * 7919 % 100_003 + 1).cast("double").alias("v"))
+    cells = C.amount_cells(df, ["k"], "v")
+    found = C.cell_quantiles(cells, ["k"], {"median": 0.5, "p90": 0.9})
+    rows = {r["k"]: (r["median"], r["p90"]) for r in found.collect()}
+    for k in range(3):
+        wanted = df.where(F.col("k") == k).agg(F.percentile("v", [0.5, 0.9])).first()[0]
+        assert rows[k] == tuple(wanted)
+    plan = final_plan(found)
+    assert plan.count("Range (0, 400000") == 1
+    assert re.search(r"Exchange hashpartitioning\(k#\w+, _bucket#\w+, \d+\)[^\n]*\n(.*\n){1,4}?.*Filter .*array_contains", plan)
+    values = cells.withColumn(C.BUCKET, C.bucket_of(F.col(C.VALUE)))
+    targets = values.where(F.col(C.VALUE).between(50_000, 50_010)).select(F.col("k").alias("_target_k"), F.col(C.BUCKET).alias("_target_bucket"))
+    moved = values.filter(C._may_hold(targets.distinct(), ["k"])).count()
+    assert 0 < moved < 0.01 * cells.count()
+    many = values.select(F.col("k").alias("_target_k"), F.col(C.BUCKET).alias("_target_bucket")).distinct()
+    assert many.count() > C.TARGET_LIMIT and values.filter(C._may_hold(many, ["k"])).count() == cells.count()
 
 
 def test_scan_reads_needed_columns_only(static_plans, sf_dir):

@@ -25,6 +25,18 @@ def test_currency(spark):
     assert values(cleaning.clean_currency(df)) == [3500.0, 1234.0, None, None, None, None, None, None, 7.0]
 
 
+def test_numbers_and_white_space_follow_the_patterns(spark):
+    """The expressions without regular expressions against the rules written as such."""
+    cells = ["1", "-2.5", "+.5", "5.", "1e3", "1E-2", ".", "", "e5", "1d", "2F", "0x1p3", "0X5", "NaN", "inf", "-Infinity", "1_0", "1 2", "--1"]
+    cells += ["\u0661", "\x1c5", "5\x00", "\x075\x07", "1e400", "1e-400", "12345678901234567890", "1,5", "$3", "1e", "1e+", "abc", None]
+    cells += [f"{a}7{b}" for a in ["\xa0", "\u3000", "\u2003\t", "\x85"] for b in ["", " \n", "\u2028"]] + ["a\u00a0", "\u200b1", "\x1f"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    plain = F.regexp_replace("c", r"(?U)^\s+|\s+$", "")
+    wanted = F.when(F.rlike(plain, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), plain.try_cast("double"))
+    rows = df.select("c", plain.alias("p"), X.stripped(F.col("c")).alias("q"), wanted.alias("a"), X.number(F.col("c")).alias("b")).collect()
+    assert [(r.c, r.p, r.a) for r in rows] == [(r.c, r.q, r.b) for r in rows]
+
+
 def test_coded_integers_round_half_to_even(spark):
     df = spark.createDataFrame([("2.5",), ("3.5",), ("-1.5",), ("x",), (None,), ("nan",)], "GRAD string")
     assert values(cleaning.clean_coded_integers(df)) == [2, 4, -2, None, None, None]
