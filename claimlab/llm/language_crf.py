@@ -8,7 +8,8 @@ passes give each word's probability of each language given the whole text, which
 code-switched text; a text's score for a language is the mean over its words.
 
 Training maximises the conditional likelihood on chains put together from stretches of documents in different
-languages, so that transitions see switches. Bound of the sample: of each language `SAMPLE` different documents
+languages, so that transitions see switches. Bound of the sample: of each language (at most `LANGUAGES`, those with
+the most sampled documents) `SAMPLE` different documents
 (those with the smallest hash of id and text) and from each at most `STRETCHES` stretches of `STRETCH` words of
 at most `LONGEST` letters, evenly spaced over the text. Training runs in one task over these stretches.
 
@@ -36,6 +37,7 @@ from claimlab.llm.library_encoding import Recent
 from claimlab.llm.words import text_bytes
 
 SAMPLE = 500
+LANGUAGES = 200
 LONGEST = 100
 STRETCHES, STRETCH = 6, 24
 NGRAMS = (1, 2, 3, 4)
@@ -152,7 +154,9 @@ def _sample(documents: DataFrame, sample: int) -> DataFrame:
     # Copies of a row would fill the ranks, so `dense_rank` counts hashes.
     rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
     least = hashed.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= sample)
-    limits = least.groupBy("lang").agg(F.max("h").alias("limit"))
+    limits = least.groupBy("lang").agg(F.max("h").alias("limit"), F.max("rank").alias("rank"))
+    # At most `LANGUAGES` rows of a name and two numbers, so the broadcast is bounded and no text moves by language.
+    limits = F.broadcast(limits.orderBy(F.col("rank").desc(), "lang").limit(LANGUAGES).drop("rank"))
     chosen = hashed.join(limits, "lang").where("h <= limit")
     return chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
