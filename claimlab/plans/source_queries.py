@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from claimlab.functions import columns as X
 from claimlab.functions import labels as L
+from claimlab.functions.recovery import new_folder
 from claimlab.operators import audit, cleaning, features
 from claimlab.plans.base import Query, case_sql
 from claimlab.schema import CLAIMS_SCHEMA, DECLARED_KINDS
-from claimlab.sources.claims_csv import parse_claims_lines
+from claimlab.sources.claims_csv import parse_claims_lines, read_claims_csv
 
 KEY_COLUMNS = (
     "RECTYPE ORIGYEAR MALYEAR1 PAYMENT TOTALPMT PAYNUMBR PAYTYPE WORKSTAT LICNSTAT HOMESTAT PRACTNUM ALGNNATR OUTCOME"
@@ -65,6 +66,18 @@ def _csv_round_trip(c):
     return parse_claims_lines(lines, "line", schema).select("SEQNO", "RECTYPE", "ORIGYEAR", "PAYMENT", "TOTALPMT", "PRACTNUM")
 
 
+def _several_files(c):
+    """Claims written as CSV files in three column orders, one of them without a column, and read back together."""
+    names = c.raw.columns
+    orders = [names, names[::-1], [n for n in names[5:] + names[:5] if n != "PTAGE"]]
+    folder = new_folder(c.spark, "claims-csv")
+    for part, order in enumerate(orders):
+        rows = c.raw.filter(F.col("SEQNO") % 3 == part).select(*order)
+        rows.write.option("header", True).csv(f"{folder}/{part}")
+    read = read_claims_csv(c.spark, folder)
+    return read.select("SEQNO", "RECTYPE", "ORIGYEAR", "PRACTAGE", "PAYMENT", "TOTALPMT", "PTAGE", "PRACTNUM", "NPCTMRPT")
+
+
 _COHORT_SQL = " UNION ALL ".join(
     f"SELECT '{name}' AS cohort, SEQNO FROM clean WHERE RECTYPE IN ({types})"
     for name, types in [
@@ -162,6 +175,12 @@ QUERIES = [
         _csv_round_trip,
         "SELECT SEQNO, RECTYPE, ORIGYEAR, nullif(PAYMENT, '') AS PAYMENT, TOTALPMT, PRACTNUM FROM claims",
     ),
+    Query(
+        "s01_claims_csv_files",
+        _several_files,
+        """SELECT SEQNO, RECTYPE, ORIGYEAR, PRACTAGE, nullif(PAYMENT, '') AS PAYMENT, TOTALPMT,
+        CASE WHEN SEQNO % 3 <> 2 THEN PTAGE END AS PTAGE, PRACTNUM, NPCTMRPT FROM claims""",
+    ),
     Query(
         "s02_dataset_extent",
         lambda c: audit.dataset_extent(c.raw),

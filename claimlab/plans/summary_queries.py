@@ -410,9 +410,9 @@ QUERIES = [
     ),
     Query(
         "a34_license_experience_amounts",
-        lambda c: A.license_experience_amounts(c.feat, fields=3),
+        lambda c: A.license_experience_amounts(c.feat),
         f"""WITH experienced AS (SELECT * FROM ({EXPERIENCE_SQL.format(source='feat')}) AS e WHERE PAYMENT IS NOT NULL),
-        top_fields AS (SELECT LICNFELD FROM experienced GROUP BY LICNFELD ORDER BY count(*) DESC, LICNFELD LIMIT 3);;
+        top_fields AS (SELECT LICNFELD FROM experienced GROUP BY LICNFELD ORDER BY count(*) DESC, LICNFELD LIMIT 6);;
         SELECT LICNFELD, EXPERIENCE_BAND, count(*) AS count, avg(PAYMENT) AS mean, median(PAYMENT) AS median,
           {_license_label_sql('LICNFELD')} AS field_label
         FROM experienced WHERE LICNFELD IN (SELECT LICNFELD FROM top_fields) GROUP BY LICNFELD, EXPERIENCE_BAND""",

@@ -11,7 +11,7 @@ from claimlab.operators import audit, cleaning, summaries
 from claimlab.operators import cells as C
 from claimlab.operators.distributions import pivot_summary, report_incident_matrix
 from claimlab.schema import CLAIMS_SCHEMA
-from claimlab.sources.claims_csv import read_claims_csv
+from claimlab.sources.claims_csv import malformed_lines, read_claims_csv
 
 
 @pytest.mark.parametrize(
@@ -99,3 +99,20 @@ def test_report_incident_matrix(spark):
     got = report_incident_matrix(long).collect()
     assert len(got) == 1 and got[0]["1990-1999"] == 5.0 and got[0]["2000-2009"] is None
     assert pivot_summary(long, "PERIOD_10Y", "MAL_PERIOD_10Y", "count", ["3990-3999"]).count() == 2
+
+
+def test_files_with_their_own_headers(spark, tmp_path):
+    """Column order, missing and unknown columns differ by file; lines with a wrong number of cells are kept apart."""
+    (tmp_path / "a.csv").write_text('SEQNO,RECTYPE,PAYMENT\n1,M,"$1,000"\n2,P,$5,extra\n3\n')
+    (tmp_path / "b part.csv").write_text("PAYMENT,OTHER,SEQNO\n$7,x,4\n,y,5\n")
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "c.csv").write_text("RECTYPE,SEQNO\r\nA,6\r\n")
+    (tmp_path / "more" / "d.csv").write_text("RECTYPE,SEQNO\n")
+    rows = read_claims_csv(spark, str(tmp_path)).select("SEQNO", "RECTYPE", "PAYMENT").collect()
+    assert sorted(map(tuple, rows)) == [(1, "M", "$1,000"), (4, None, "$7"), (5, None, None), (6, "A", None)]
+    assert sorted(r.SEQNO for r in read_claims_csv(spark, str(tmp_path)).select("SEQNO").collect()) == [1, 4, 5, 6]
+    bad = malformed_lines(spark, str(tmp_path)).collect()
+    assert sorted(r.line for r in bad) == ["2,P,$5,extra", "3"] and all(r.file.endswith("a.csv") for r in bad)
+    (tmp_path / "more" / "e.csv").write_text("SEQNO,SEQNO\n1,2\n")
+    with pytest.raises(ValueError):
+        read_claims_csv(spark, str(tmp_path))
