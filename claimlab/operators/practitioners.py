@@ -120,7 +120,10 @@ def multi_payment_profile(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """
     frame = df.filter((F.col("PAYMENT_MODE") == "Multiple Payments") & F.col("PRACTNUM").isNotNull())
     parts = _partial(frame, ["PRACTNUM", "STATE"])
-    grand_total = parts.agg(F.coalesce(F.sum("_paid"), F.lit(0.0))).scalar()
+    # The subquery asks for every column of the partial rows, else its exchange would be another one.
+    others = [F.max(c).alias(c) for c in parts.columns if c not in ("PRACTNUM", "STATE", "_paid")]
+    whole = F.struct(F.coalesce(F.sum("_paid"), F.lit(0.0)).alias("_paid"), *others)
+    grand_total = parts.agg(whole.alias("_whole")).scalar().getField("_paid")
     return (
         parts.groupBy("PRACTNUM")
         .agg(
