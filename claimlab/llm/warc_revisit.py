@@ -10,11 +10,12 @@ URL's days carries the latest one into each later day, and only records of the s
 among themselves. So a URL with very many captures is spread over its days. Bodies move once, in the last join.
 
 Defined results: a response needs status 200 to 299, a URL and a time; earlier means a strictly smaller time,
-and of responses at the same time the larger record_id counts. A revisit without an earlier response is
+and of responses at the same time the larger record_id counts (then the larger row key, null ids before all). A revisit without an earlier response is
 `no_earlier_response`; one whose etag (else last-modified, else payload digest) differs from the response's, or
 where no such pair is there to compare, is `validator_mismatch`; both keep their own headers and no body. Weak
-and strong forms of an etag compare equal. Rows that repeat a record_id count once. Null url or time gives
-`no_earlier_response`. Columns other than those named are not read; an empty table gives no row.
+and strong forms of an etag compare equal. A row is known by a digest of all that is read of it, so rows that agree in
+everything count once, and rows that share a record_id but differ, or have none, are revisits or responses of their
+own. Null url or time gives `no_earlier_response`. Columns other than those named are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ UPDATABLE = ["cache-control", "content-location", "date", "etag", "expires", "la
 # Query parameters that don't change what a URL names.
 IGNORED_PARAMETERS = "^(utm_[a-z]+|ref|sessionid|phpsessid)="
 DAY = 86_400
+# Seconds between the versions of a page in the registered query's captures.
+VERSION_GAP = 172_801
 
 _ORIGIN = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
 
@@ -61,38 +64,42 @@ def resolved(records: DataFrame) -> DataFrame:
         F.col("record_id").cast("long").alias("record_id"), F.col("ts").cast("long").alias("ts"),
         canonical_url().alias("canonical"), "type", "status", "etag", "last_modified", "digest", "headers", "body",
     )
+    read = F.struct(
+        "record_id", "ts", "canonical", "type", "status", "etag", "last_modified", "digest",
+        F.array_sort(F.map_entries("headers")).alias("headers"), F.md5("body").alias("body"),
+    )
+    named = named.withColumn("key", F.unhex(F.md5(F.to_json(read))))
     day = F.floor(F.col("ts") / DAY)
     full = named.where("type = 'response' and status between 200 and 299 and canonical is not null and ts is not null")
-    revisits = named.where("type = 'revisit'").drop("body", "status", "type").dropDuplicates(["record_id"])
+    revisits = named.where("type = 'revisit'").drop("body", "status", "type").dropDuplicates(["key"])
 
-    times = full.select("canonical", day.alias("day"), "ts", "record_id")
-    daily = times.groupBy("canonical", "day").agg(F.max(F.struct("ts", "record_id")).alias("latest"))
+    latest = F.struct("ts", "record_id", "key")
+    times = full.select("canonical", day.alias("day"), "ts", "record_id", "key")
+    daily = times.groupBy("canonical", "day").agg(F.max(latest).alias("latest"))
     asked = revisits.where("canonical is not null and ts is not null").select(
-        "canonical", day.alias("day"), "ts", "record_id"
+        "canonical", day.alias("day"), "ts", F.col("key").alias("of")
     )
     # The latest response of all earlier days, for each day that a URL is asked about or answered on.
-    days = daily.unionByName(
-        asked.groupBy("canonical", "day").agg(F.lit(None).cast("struct<ts:bigint,record_id:bigint>").alias("latest"))
-    )
+    none = F.lit(None).cast("struct<ts:bigint,record_id:bigint,key:binary>")
+    days = daily.unionByName(asked.groupBy("canonical", "day").agg(none.alias("latest")))
     days = days.groupBy("canonical", "day").agg(F.max("latest").alias("latest"))
     before = Window.partitionBy("canonical").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     carried = days.withColumn("carried", F.max("latest").over(before)).select("canonical", "day", "carried")
-    events = times.withColumn("of", F.lit(None).cast("long")).unionByName(
-        asked.select("canonical", "day", "ts", F.lit(None).cast("long").alias("record_id"), F.col("record_id").alias("of"))
-    )
+    events = times.unionByName(asked, allowMissingColumns=True)
     earlier = Window.partitionBy("canonical", "day").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    same_day = F.max(F.when(F.col("record_id").isNotNull(), F.struct("ts", "record_id"))).over(earlier)
+    same_day = F.max(F.when(F.col("key").isNotNull(), latest)).over(earlier)
     matched = events.withColumn("same_day", same_day).where("of is not null")
     matched = matched.join(carried, ["canonical", "day"], "left").select(
-        F.col("of").alias("record_id"), F.coalesce("same_day.record_id", "carried.record_id").alias("response_id")
+        F.col("of").alias("key"), F.coalesce("same_day.key", "carried.key").alias("response_key")
     )
 
-    needed = matched.where("response_id is not null").select("response_id").distinct()
-    bodies = full.join(needed, F.col("record_id") == F.col("response_id"), "left_semi").dropDuplicates(["record_id"])
+    needed = matched.where("response_key is not null").select("response_key").distinct()
+    bodies = full.join(needed, F.col("key") == F.col("response_key"), "left_semi").dropDuplicates(["key"])
     bodies = bodies.select(
-        F.col("record_id").alias("response_id"), F.struct("ts", "etag", "last_modified", "digest", "headers", "body").alias("r")
+        F.col("key").alias("response_key"),
+        F.struct("record_id", "ts", "etag", "last_modified", "digest", "headers", "body").alias("r"),
     )
-    joined = revisits.join(matched, "record_id", "left").join(bodies, "response_id", "left")
+    joined = revisits.join(matched, "key", "left").join(bodies, "response_key", "left")
     same = F.coalesce(
         _strong(F.col("etag")) == _strong(F.col("r.etag")),
         F.col("last_modified") == F.col("r.last_modified"),
@@ -100,7 +107,7 @@ def resolved(records: DataFrame) -> DataFrame:
         F.lit(False),
     )
     outcome = (
-        F.when(F.col("response_id").isNull(), "no_earlier_response").when(same, "resolved").otherwise("validator_mismatch")
+        F.when(F.col("response_key").isNull(), "no_earlier_response").when(same, "resolved").otherwise("validator_mismatch")
     )
     joined = joined.withColumn("outcome", outcome)
     good = F.col("outcome") == "resolved"
@@ -110,38 +117,49 @@ def resolved(records: DataFrame) -> DataFrame:
     kept = F.map_filter(stored, lambda name, value: ~F.map_contains_key(updates, name))
     return joined.select(
         "record_id", F.col("canonical").alias("canonical_url"), "ts", "outcome",
-        F.when(good, F.col("response_id")).alias("response_id"), F.when(good, F.col("r.ts")).alias("response_ts"),
+        F.when(good, F.col("r.record_id")).alias("response_id"), F.when(good, F.col("r.ts")).alias("response_ts"),
         F.when(good, F.map_concat(kept, updates)).otherwise(own).alias("headers"), F.when(good, F.col("r.body")).alias("body"),
     )
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """Captures of a crawl derived from the pages table.
+    """Captures of a crawl derived from the pages table, five of each page over a month and some days more.
 
-    Every page is a full response; every third page has a second capture that came back as not modified, some
-    before the response itself and some with another etag. Times spread over a month.
+    Three are full responses, on different days and with different etags: the page, its first half, and a short
+    notice. Two came back as not modified, some of them before any response. They name the version of their time by
+    etag, last-modified or digest; every seventh page's etags are others.
     """
-    id_, url, html = F.col("page_id"), F.col("url"), F.col("html")
-    ts = id_ * 7919 % 2_592_000
-    etag = F.concat(F.lit('"'), F.md5(html), F.lit('"'))
-    headers = [F.lit("content-type"), F.lit("text/html"), F.lit("date"), ts.cast("string"), F.lit("etag"), etag]
-    response = pages.select(
-        (id_ * 2).alias("record_id"), url, ts.alias("ts"), F.lit("response").alias("type"), F.lit(200).alias("status"),
-        etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.sha1(html).alias("digest"),
-        F.create_map(*headers, F.lit("server"), F.lit("origin")).alias("headers"), html.alias("body"),
-    )
-    later = ts + (id_ % 5 - 1) * 43_200
+    id_, first = F.col("page_id"), F.col("page_id") * 7919 % 2_592_000
+    kind, version, ts = F.col("kind"), F.col("version"), F.col("ts")
+    rows = pages.select("page_id", "url", "html", F.explode(F.array(*map(F.lit, range(5)))).alias("kind"))
+    since = F.when(kind == 3, (id_ % 5 - 1) * 43_200).when(kind == 4, id_ % 9 * 43_200 + 7).otherwise(kind * VERSION_GAP)
+    rows = rows.withColumn("ts", first + since)
+    at_time = F.greatest(F.lit(0), F.least(F.lit(2), F.floor((ts - first - 1) / VERSION_GAP)))
+    rows = rows.withColumn("version", F.when(kind < 3, kind).otherwise(at_time).cast("long"))
+    half = F.substring("html", F.lit(1), F.floor(F.length("html") / 2).cast("int"))
+    notice = F.concat(F.lit("moved "), id_.cast("string"))
+    rows = rows.withColumn("held", F.when(version == 0, F.col("html")).when(version == 1, half).otherwise(notice))
+    full, named_by = kind < 3, (id_ + kind) % 4
+    etag = F.concat(F.lit('"'), id_.cast("string"), F.lit("-"), version.cast("string"), F.lit('"'))
     seen = F.when(id_ % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), etag))
-    revisit = pages.where("page_id % 3 = 0").select(
-        (id_ * 2 + 1).alias("record_id"), F.concat(url, F.lit("#again")).alias("url"), later.alias("ts"),
-        F.lit("revisit").alias("type"), F.lit(304).alias("status"), seen.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
-        F.create_map(F.lit("date"), later.cast("string"), F.lit("server"), F.lit("edge"), F.lit("vary"), F.lit("accept")).alias(
-            "headers"
-        ),
-        F.lit(None).cast("string").alias("body"),
+    modified = (first + version * VERSION_GAP).cast("string")
+    date = [F.lit("date"), ts.cast("string")]
+    answered = F.create_map(
+        *date, F.lit("content-type"), F.lit("text/html"), F.lit("etag"), etag, F.lit("last-modified"), modified,
+        F.lit("server"), F.lit("origin"),
+    )
+    return rows.select(
+        (id_ * 5 + kind).alias("record_id"),
+        F.concat("url", F.when(kind > 1, F.lit("#again")).otherwise("")).alias("url"), "ts",
+        F.when(full, "response").otherwise("revisit").alias("type"), F.when(full, 200).otherwise(304).alias("status"),
+        F.when(full, etag).when(named_by < 2, seen).alias("etag"),
+        F.when(full | (named_by == 2), modified).alias("last_modified"),
+        F.when(full | (named_by == 3), F.md5("held")).alias("digest"),
+        F.when(full, answered).otherwise(
+            F.create_map(*date, F.lit("server"), F.lit("edge"), F.lit("vary"), F.lit("accept"))
+        ).alias("headers"),
+        F.when(full, F.col("held")).alias("body"),
     )
-    return response.unionByName(revisit)
 
 
 def revisit_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,13 +174,26 @@ def revisit_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH captures AS (
-  SELECT page_id * 2 AS record_id, url, page_id * 7919 % 2592000 AS ts, 'response' AS type,
-    '"' || md5(html) || '"' AS etag, html AS body, page_id FROM pages
-  UNION ALL
-  SELECT page_id * 2 + 1, url || '#again', page_id * 7919 % 2592000 + (page_id % 5 - 1) * 43200, 'revisit',
-    CASE WHEN page_id % 7 = 0 THEN '"other"' ELSE 'W/"' || md5(html) || '"' END, NULL, page_id
-  FROM pages WHERE page_id % 3 = 0
+WITH kinds AS (
+  SELECT page_id AS p, url, html, page_id * 7919 % 2592000 AS t0, unnest([0, 1, 2, 3, 4]) AS kind FROM pages
+), timed AS (
+  SELECT *, t0 + CASE kind WHEN 3 THEN (p % 5 - 1) * 43200 WHEN 4 THEN p % 9 * 43200 + 7 ELSE kind * 172801 END AS ts
+  FROM kinds
+), versions AS (
+  SELECT *, CASE WHEN kind < 3 THEN kind
+    ELSE greatest(0, least(2, CAST(floor((ts - t0 - 1) / 172801.0) AS BIGINT))) END AS v FROM timed
+), held AS (
+  SELECT *, CASE v WHEN 0 THEN html WHEN 1 THEN substr(html, 1, length(html) // 2) ELSE 'moved ' || p END AS body,
+    '"' || p || '-' || v || '"' AS version_etag, (p + kind) % 4 AS named_by
+  FROM versions
+), captures AS (
+  SELECT p * 5 + kind AS record_id, url || CASE WHEN kind > 1 THEN '#again' ELSE '' END AS url, ts,
+    CASE WHEN kind < 3 THEN 'response' ELSE 'revisit' END AS type,
+    CASE WHEN kind < 3 THEN version_etag WHEN named_by < 2 AND p % 7 = 0 THEN '"other"'
+      WHEN named_by < 2 THEN 'W/' || version_etag END AS etag,
+    CASE WHEN kind < 3 OR named_by = 2 THEN CAST(t0 + v * 172801 AS VARCHAR) END AS last_modified,
+    CASE WHEN kind < 3 OR named_by = 3 THEN md5(body) END AS digest, body
+  FROM held
 ), parts AS (
   SELECT *, regexp_replace(url, '#.*$', '') AS whole FROM captures
 ), split AS (
@@ -179,14 +210,16 @@ WITH captures AS (
     FROM split
   ) AS q
 ), matched AS (
-  SELECT v.record_id, v.canonical_url, v.ts, v.etag, r.record_id AS rid, r.ts AS rts, r.etag AS retag, r.body AS rbody,
+  SELECT v.record_id, v.canonical_url, v.ts, v.etag, v.last_modified, v.digest, r.record_id AS rid, r.ts AS rts,
+    r.etag AS retag, r.last_modified AS rmodified, r.digest AS rdigest, r.body AS rbody,
     row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC NULLS LAST, r.record_id DESC NULLS LAST) AS n
   FROM (SELECT * FROM named WHERE type = 'revisit') AS v
   LEFT JOIN (SELECT * FROM named WHERE type = 'response') AS r
     ON r.canonical_url = v.canonical_url AND r.ts < v.ts
 ), judged AS (
   SELECT *, CASE WHEN rid IS NULL THEN 'no_earlier_response'
-    WHEN regexp_replace(etag, '^W/', '') = regexp_replace(retag, '^W/', '') THEN 'resolved'
+    WHEN coalesce(regexp_replace(etag, '^W/', '') = regexp_replace(retag, '^W/', ''), last_modified = rmodified,
+      digest = rdigest, false) THEN 'resolved'
     ELSE 'validator_mismatch' END AS outcome
   FROM matched WHERE n = 1
 )
@@ -194,7 +227,7 @@ SELECT record_id, canonical_url, ts, outcome,
   CASE WHEN outcome = 'resolved' THEN rid END AS response_id,
   CASE WHEN outcome = 'resolved' THEN rts END AS response_ts,
   CASE WHEN outcome = 'resolved'
-    THEN 'content-type=text/html;date=' || ts || ';etag=' || retag || ';server=origin;vary=accept'
+    THEN 'content-type=text/html;date=' || ts || ';etag=' || retag || ';last-modified=' || rmodified || ';server=origin;vary=accept'
     ELSE 'date=' || ts || ';server=edge;vary=accept' END AS headers,
   CASE WHEN outcome = 'resolved' THEN md5(rbody) END AS body_md5,
   CASE WHEN outcome = 'resolved' THEN length(rbody) END AS body_chars

@@ -122,6 +122,33 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert warc_revisit.resolved(records(spark, [])).count() == 0
 
 
+def test_revisits_without_ids_or_with_shared_ids(spark):
+    rows = [
+        (7, "http://h/a", 10, "response", 200, '"1"', None, None, None, "one"),
+        (7, "http://h/b", 10, "response", 200, '"2"', None, None, None, "two"),
+        (None, "http://h/c", 10, "response", 200, '"3"', None, None, None, "three"),
+        (None, "http://h/a", 20, "revisit", 304, '"1"', None, None, None, None),
+        (None, "http://h/b", 20, "revisit", 304, '"2"', None, None, None, None),
+        (9, "http://h/c", 20, "revisit", 304, '"3"', None, None, {"b": "1", "a": None}, None),
+        (9, "http://h/c", 21, "revisit", 304, '"4"', None, None, None, None),
+        (9, "http://h/c", 21, "revisit", 304, '"4"', None, None, None, None),
+    ]
+    found = warc_revisit.resolved(records(spark, rows)).collect()
+    assert sorted((r.record_id or 0, r.ts, r.outcome, r.body or "") for r in found) == [
+        (0, 20, "resolved", "one"), (0, 20, "resolved", "two"), (9, 20, "resolved", "three"), (9, 21, "validator_mismatch", ""),
+    ]
+
+
+def test_registered_captures_use_every_validator(spark, sf_dir):
+    captures = warc_revisit.records_of_pages(common.table(spark, sf_dir, "pages"))
+    pages = common.table(spark, sf_dir, "pages").count()
+    assert captures.where("type = 'revisit'").select("url").distinct().count() == pages
+    good = {r.record_id for r in warc_revisit.resolved(captures).where("outcome = 'resolved'").collect()}
+    asked = {r.record_id: r for r in captures.where("type = 'revisit'").collect()}
+    ways = {(bool(asked[i].etag), bool(asked[i].last_modified), bool(asked[i].digest)) for i in good}
+    assert ways == {(True, False, False), (False, True, False), (False, False, True)}
+
+
 def test_revisits_of_one_url_on_many_days(spark):
     rows = [(2 * i, "http://h/x", i * 4000, "response", 200, f'"{i}"', None, None, None, f"b{i}") for i in range(200)]
     rows += [(2 * i + 1, "http://h/x", i * 4000 + 1, "revisit", 304, f'"{i}"', None, None, None, None) for i in range(0, 200, 7)]
