@@ -73,14 +73,25 @@ class EliasFano:
             low = (int.from_bytes(window, "little") >> (first % 8)) & ((1 << self.low_bits) - 1)
         return self.base + ((position - index) << self.low_bits | low)
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        if self.count == 0:
+    def part(self, first: int, stop: int) -> np.ndarray:
+        """Values `first` to `stop` (not included), reading the bits between the samples around them only."""
+        first, stop = max(0, first), min(stop, self.count)
+        if first >= stop:
             return np.zeros(0, dtype=np.int64)
-        bits = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.count]
-        high = (bits - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low_bits)
+        block, after = first // SAMPLE, -(-stop // SAMPLE)
+        start = int(self._samples[block])
+        end = int(self._samples[after]) if after < len(self._samples) else 8 * len(self._high)
+        window = np.unpackbits(self._high[start // 8 : -(-end // 8)], bitorder="little")[start % 8 :]
+        bits = start + np.flatnonzero(window)[first - block * SAMPLE : stop - block * SAMPLE]
+        values = (bits - np.arange(first, stop)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            planes = np.unpackbits(self._low, count=self.count * self.low_bits, bitorder="little")
+            begin = first * self.low_bits
+            packed = self._low[begin // 8 : -(-stop * self.low_bits // 8)]
+            planes = np.unpackbits(packed, bitorder="little")[begin % 8 :][: (stop - first) * self.low_bits]
             weights = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
-            high |= (planes.reshape(self.count, self.low_bits).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
-        return (high + np.uint64(self.base & 0xFFFFFFFFFFFFFFFF)).astype(np.int64)
+            values |= (planes.reshape(-1, self.low_bits).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
+        return (values + np.uint64(self.base & 0xFFFFFFFFFFFFFFFF)).astype(np.int64)
+
+    def values(self) -> np.ndarray:
+        """All values at once."""
+        return self.part(0, self.count)

@@ -140,17 +140,19 @@ class _Images:
 
 
 def _documents(image: TokenImage, base: int) -> Iterator[pa.RecordBatch]:
-    ends = image.ends.values()
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    doc_ids = [None] * image.nulls + image.doc_ids.values().tolist()
-    for at in range(0, len(ends), _ROWS):
-        begin, end = starts[at : at + _ROWS], ends[at : at + _ROWS]
+    """Blocks of documents: select finds where a block begins, and only its own boundaries are decoded."""
+    for at in range(0, len(image), _ROWS):
+        end = image.ends.part(at, at + _ROWS)
+        begin = np.concatenate([[image.ends.select(at - 1) if at else 0], end[:-1]]).astype(np.int64)
+        nulls = max(0, min(image.nulls - at, len(end)))
+        known = image.doc_ids.part(at + nulls - image.nulls, at + len(end) - image.nulls)
+        doc_ids = pa.array([None] * nulls + known.tolist(), pa.int64())
         content = image.ids[begin[0] : end[-1]].astype("<u4")
         offsets = np.concatenate([begin[:1], end]) - begin[0]
         ids = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(end), [None, pa.py_buffer(4 * offsets.astype(np.int64)), pa.py_buffer(content)]
         ).cast(pa.binary())
-        columns = [pa.array(doc_ids[at : at + _ROWS], pa.int64()), pa.array(begin + base), pa.array(end - begin), ids]
+        columns = [doc_ids, pa.array(begin + base), pa.array(end - begin), ids]
         yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids"])
 
 

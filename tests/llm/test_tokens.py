@@ -163,6 +163,21 @@ def test_token_files_of_wide_ids_and_no_rows(spark, tmp_path):
     assert token_files.read_token_files(spark, folder).count() == 0
 
 
+def test_images_are_read_by_blocks_through_select(monkeypatch):
+    monkeypatch.setattr(token_files, "_ROWS", 300)
+    random_ = np.random.default_rng(3)
+    parts = [library_encoding.pack_ids(random_.integers(0, 9, n)) for n in random_.integers(0, 40, 1000)]
+    doc_ids = [None] * 350 + sorted(random_.integers(-(10**12), 10**12, 650).tolist())
+    image = token_files.TokenImage(token_files._image(doc_ids, parts)[0])
+    rows = [row for batch in token_files._documents(image, 5) for row in batch.to_pylist()]
+    assert [r["doc_id"] for r in rows] == doc_ids and [r["ids"] for r in rows] == parts
+    assert [r["start"] for r in rows] == (5 + np.cumsum([0] + [len(p) // 4 for p in parts])[:-1]).tolist()
+    ends, values = image.ends, image.ends.values()
+    for first, stop in [(0, 1), (255, 257), (256, 512), (999, 1000), (1000, 2000), (-3, 2)]:
+        assert ends.part(first, stop).tolist() == values[max(0, first) : stop].tolist()
+    assert [ends.select(i) for i in range(1000)] == values.tolist()
+
+
 def test_packing_covers_each_id_once(spark):
     expected = library(WORDS)
     pieces = cost_packing.packed(documents(spark, ROWS), WORDS, end_id=1, sequence_tokens=64, group_sequences=4).collect()
