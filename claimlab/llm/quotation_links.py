@@ -11,9 +11,12 @@ order each thread with replies after what they answer. Roots and depths follow f
 Only DataFrame functions are used. One row per conversation and hash is joined, so equal messages or quotes in
 a conversation never multiply, and joins on hot keys can be split by adaptive execution.
 
-Defined results: null text is empty; rows that repeat conv_id, turn and text count once, and of different texts
-for one turn the smallest counts; rows with null conv_id or turn have no place in a conversation and are left
-out; a passage without a word is no quotation; columns other than conv_id, turn, role and text are not read.
+A message is named by conv_id, turn and `message`, the MD5 of its text, so different texts of one turn (siblings) are
+messages of their own; of holders in the same earliest turn the one with the smallest `message` is the original.
+
+Defined results: null text is empty; rows that repeat conv_id, turn and text count once, with the smallest role; rows
+with null conv_id or turn are returned as roots without links; a passage without a word is no quotation; columns
+other than conv_id, turn, role and text are not read.
 """
 
 from __future__ import annotations
@@ -30,49 +33,52 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def passages(text: Column) -> Column:
-    """Array of (level, body): stretches of lines of one quote level, without their marks, in order."""
-    lines = F.transform(
+def with_passages(rows: DataFrame, text: str = "text") -> DataFrame:
+    """`rows` with `passages`, an array of (level, body): stretches of lines of one quote level, without their marks.
+
+    Lines and the places where a stretch starts are columns of their own, each used more than once by the next, which
+    keeps the optimiser from writing one into the other. So a text's lines are made once, not once for each line.
+    """
+    lines, starts = F.col("_lines"), F.col("_starts")
+    split = F.transform(
         F.split(F.coalesce(text, F.lit("")), "\n"),
         lambda line: F.struct(
             F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), r"[ \t]", "")).alias("level"),
             F.when(F.rlike(line, F.lit(r"^[ \t]*>")), F.regexp_replace(line, _MARKS, "")).otherwise(line).alias("body"),
         ),
     )
-    starts = F.filter(
+    changes = F.filter(
         F.sequence(F.lit(1), F.size(lines)),
         lambda i: (i == 1) | (F.element_at(lines, i)["level"] != F.element_at(lines, F.greatest(i - 1, F.lit(1)))["level"]),
     )
-    return F.transform(
+    stretches = F.transform(
         starts,
         lambda start, k: F.struct(
             F.element_at(lines, start)["level"].alias("level"),
             F.array_join(
-                F.transform(
-                    F.slice(lines, start, F.coalesce(F.get(starts, k + 1), F.size(lines) + 1) - start), lambda x: x["body"]
-                ),
+                F.transform(F.slice(lines, start, F.coalesce(F.get(starts, k + 1), F.size(lines) + 1) - start), lambda x: x["body"]),
                 "\n",
             ).alias("body"),
         ),
     )
+    return (
+        rows.withColumn("_lines", split).withColumn("_starts", changes).withColumn("passages", stretches).drop("_lines", "_starts")
+    )
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body (unquoted text), passages."""
-    placed = messages.select(
+    """conv_id, place (turn, message), role, passages, body (unquoted text), n_quotes."""
+    read = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).where("conv_id is not null and turn is not null")
-    one = placed.groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role")).alias("m"))
-    # The array is made once and carried, as its expression is long.
-    split = one.select("conv_id", "turn", "m.role", passages(F.col("m.text")).alias("passages"))
+    )
+    one = read.groupBy("conv_id", "turn", "text").agg(F.min("role").alias("role"))
+    named = one.select("conv_id", F.struct("turn", F.md5("text").alias("message")).alias("place"), "role", "text")
     own = F.filter("passages", lambda p: p["level"] == 0)
     body = F.trim(F.array_join(F.transform(own, lambda p: p["body"]), "\n"), F.lit(" \n\t\r"))
-    return split.withColumn("body", body)
-
-
-def _key(text: Column) -> Column:
-    return F.md5(normalised(text))
+    quoted = F.filter("passages", lambda p: (p["level"] > 0) & (normalised(p["body"]) != ""))
+    split = with_passages(named).withColumn("body", body).withColumn("n_quotes", F.size(quoted).cast("long"))
+    return split.drop("text")
 
 
 def _lines(text: Column) -> Column:
@@ -81,92 +87,103 @@ def _lines(text: Column) -> Column:
 
 
 def _runs(parsed_messages: DataFrame) -> DataFrame:
-    """conv_id, turn, text: runs of several unquoted lines that a passage of the conversation may quote."""
+    """conv_id, place, text: runs of several unquoted lines that a passage of the conversation may quote."""
     quoted = parsed_messages.select("conv_id", F.explode("passages").alias("p")).where("p.level > 0")
     quoted = quoted.select("conv_id", _lines(F.col("p.body")).alias("lines")).where("size(lines) > 1")
     wanted = quoted.groupBy("conv_id", F.md5(F.col("lines")[0]).alias("first")).agg(
         F.collect_set(F.size("lines")).alias("lengths")
     )
-    held = parsed_messages.select("conv_id", "turn", _lines(F.col("body")).alias("lines")).where("size(lines) > 1")
-    starts = held.select("conv_id", "turn", F.posexplode("lines").alias("at", "line"), F.size("lines").alias("n"))
-    starts = starts.select("conv_id", "turn", "at", "n", F.md5("line").alias("first")).join(wanted, ["conv_id", "first"])
-    starts = starts.select("conv_id", "turn", "at", "n", F.explode("lengths").alias("length")).where("at + length <= n")
+    held = parsed_messages.select("conv_id", "place", _lines(F.col("body")).alias("lines")).where("size(lines) > 1")
+    starts = held.select("conv_id", "place", F.posexplode("lines").alias("at", "line"), F.size("lines").alias("n"))
+    starts = starts.select("conv_id", "place", "at", "n", F.md5("line").alias("first")).join(wanted, ["conv_id", "first"])
+    starts = starts.select("conv_id", "place", "at", "n", F.explode("lengths").alias("length")).where("at + length <= n")
     text = F.array_join(F.slice("lines", F.col("at") + 1, F.col("length")), " ")
-    return starts.join(held, ["conv_id", "turn"]).select("conv_id", "turn", text.alias("text"))
+    return starts.join(held, ["conv_id", "place"]).select("conv_id", "place", text.alias("text"))
 
 
 def originals(parsed_messages: DataFrame) -> DataFrame:
-    """conv_id, hash, turn: the first message of a conversation that holds a text, stretch or run of lines."""
+    """conv_id, hash, original: the place of the first message that holds a text, stretch or run of lines."""
     own = F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"])
     lines = F.split("body", "\n")
     texts = F.array_distinct(F.transform(F.flatten(F.array(F.array("body"), own, lines)), normalised))
-    rows = parsed_messages.select("conv_id", "turn", F.explode(texts).alias("text")).where("text <> ''")
+    rows = parsed_messages.select("conv_id", "place", F.explode(texts).alias("text")).where("text <> ''")
     rows = rows.union(_runs(parsed_messages))
-    return rows.groupBy("conv_id", F.md5("text").alias("hash")).agg(F.min("turn").alias("original_turn"))
+    return rows.groupBy("conv_id", F.md5("text").alias("hash")).agg(F.min("place").alias("original"))
 
 
 def quotations(parsed_messages: DataFrame) -> DataFrame:
-    """conv_id, turn, passage (from 1), level, hash, original_turn (null if no earlier message holds it)."""
-    rows = parsed_messages.select("conv_id", "turn", F.posexplode("passages").alias("at", "p")).where("p.level > 0")
+    """conv_id, place, passage (from 1), level, hash, original (null if no message of an earlier turn holds it)."""
+    rows = parsed_messages.select("conv_id", "place", F.posexplode("passages").alias("at", "p")).where("p.level > 0")
     rows = rows.select(
-        "conv_id", "turn", (F.col("at") + 1).alias("passage"), F.col("p.level").alias("level"), normalised(F.col("p.body")).alias("text")
+        "conv_id", "place", (F.col("at") + 1).alias("passage"), F.col("p.level").alias("level"), normalised(F.col("p.body")).alias("text")
     ).where("text <> ''")
     rows = rows.withColumn("hash", F.md5("text")).drop("text")
     found = rows.join(originals(parsed_messages), ["conv_id", "hash"], "left")
-    earlier = F.when(F.col("original_turn") < F.col("turn"), F.col("original_turn"))
-    return found.select("conv_id", "turn", "passage", "level", "hash", earlier.alias("original_turn"))
+    earlier = F.when(F.col("original.turn") < F.col("place.turn"), F.col("original"))
+    return found.select("conv_id", "place", "passage", "level", "hash", earlier.alias("original"))
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, parent_turn, root_turn, depth, n_quotes, n_linked.
+    """conv_id, turn, message, role, body, parent_turn, parent_message, root_turn, root_message, depth, n_quotes, n_linked.
 
-    Sorting by conv_id, root_turn and turn gives the threads of a conversation in reply order.
+    Sorting by conv_id, root_turn, root_message, turn and message gives the threads of a conversation in reply order.
     """
     parts = common.saved(parsed(messages))
-    quotes = quotations(parts).groupBy("conv_id", "turn").agg(
-        F.count("*").alias("n_quotes"), F.count("original_turn").alias("n_linked"),
-        F.max(F.when(F.col("level") == 1, F.col("original_turn"))).alias("parent_turn"),
-    )
-    linked = parts.select("conv_id", "turn", "role", "body").join(quotes, ["conv_id", "turn"], "left")
+    in_order = "conv_id is not null and place.turn is not null"
+    parts, loose = parts.where(in_order), parts.where(f"not ({in_order})")
+    quotes = quotations(parts).groupBy("conv_id", "place").agg(
+        F.count("original").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("original"))).alias("parent")
+    )
+    linked = parts.select("conv_id", "place", "role", "body", "n_quotes").join(quotes, ["conv_id", "place"], "left")
     linked = common.saved(linked)
     # `up` is an ancestor 'depth' steps above; each round jumps from it to its own ancestor.
     climbing = common.saved(
         linked.select(
-            "conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"),
-            F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+            "conv_id", "place", F.coalesce("parent", "place").alias("up"),
+            F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"),
         )
     )
     while True:
-        above = climbing.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        above = climbing.select("conv_id", F.col("place").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
         next_ = common.saved(
             climbing.join(above, ["conv_id", "up"]).select(
-                "conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")
+                "conv_id", "place", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")
             )
         )
         moved = next_.agg(F.sum("depth")).first()[0] != climbing.agg(F.sum("depth")).first()[0]
         climbing = next_
         if not moved:
             break
-    placed = linked.join(climbing, ["conv_id", "turn"])
-    return placed.select(
-        "conv_id", "turn", "role", "body", "parent_turn", F.col("up").alias("root_turn"), "depth",
-        F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+    placed = linked.join(climbing, ["conv_id", "place"])
+    alone = loose.withColumns({"parent": F.lit(None).cast(placed.schema["parent"].dataType), "up": F.col("place")})
+    alone = alone.withColumns({"depth": F.lit(0).cast("long"), "n_linked": F.lit(0).cast("long")}).drop("passages")
+    return placed.unionByName(alone).select(
+        "conv_id", "place.turn", "place.message", "role", "body", F.col("parent.turn").alias("parent_turn"),
+        F.col("parent.message").alias("parent_message"), F.col("up.turn").alias("root_turn"),
+        F.col("up.message").alias("root_message"), "depth", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
     )
 
 
 def quoting_messages(conversations: DataFrame) -> DataFrame:
-    """Messages with quotations derived from the conversations table.
+    """Messages with quotations derived from every row of the conversations table.
 
     Three of four turns quote the turn before them, and every third of these also quotes, one level deeper, the
-    turn before that; a fifth of quotations is of the first line only.
+    turn before that. Of the turn before, a fifth of quotations is of the first line, a fifth of the second and
+    third, a fifth of all lines but the first and the last, and the others are of the whole text.
     """
     texts = conversations.groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    roles = conversations.groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
     before = texts.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("one"))
     before2 = texts.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("two"))
-    rows = texts.join(roles, ["conv_id", "turn"]).join(before, ["conv_id", "turn"], "left").join(before2, ["conv_id", "turn"], "left")
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(before, ["conv_id", "turn"], "left").join(before2, ["conv_id", "turn"], "left")
     place = F.col("conv_id") * 7 + F.col("turn")
-    one = F.when(place % 5 == 0, F.substring_index("one", "\n", 1)).otherwise(F.col("one"))
+    lines = F.split("one", "\n")
+    one = (
+        F.when(place % 5 == 0, F.substring_index("one", "\n", 1))
+        .when(place % 5 == 1, F.array_join(F.slice(lines, 2, 2), "\n"))
+        .when(place % 5 == 2, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
+        .otherwise(F.col("one"))
+    )
     quoted = F.when(place % 4 != 0, F.concat(F.lit("> "), F.regexp_replace(one, "\n", "\n> "), F.lit("\n")))
     deeper = F.when(
         (place % 4 != 0) & (place % 3 == 0), F.concat(F.lit(">> "), F.regexp_replace("two", "\n", "\n>> "), F.lit("\n"))
@@ -182,21 +199,28 @@ def reply_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE texts AS (
-  SELECT conv_id, turn, min(coalesce(text, '')) AS text, min(role) AS role FROM conversations GROUP BY conv_id, turn
+  SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations GROUP BY conv_id, turn
 ), sources AS (
-  SELECT t.conv_id, t.turn, t.role, t.text, a.text AS one, b.text AS two, t.conv_id * 7 + t.turn AS place
-  FROM texts AS t
+  SELECT t.conv_id, t.turn, t.role, coalesce(t.text, '') AS text, a.text AS one, b.text AS two,
+    t.conv_id * 7 + t.turn AS place, string_split(a.text, chr(10)) AS ls
+  FROM conversations AS t
   LEFT JOIN texts AS a ON a.conv_id = t.conv_id AND a.turn = t.turn - 1
   LEFT JOIN texts AS b ON b.conv_id = t.conv_id AND b.turn = t.turn - 2
-), messages AS (
-  SELECT conv_id, turn, role,
-    coalesce(CASE WHEN place % 4 <> 0 AND place % 3 = 0 THEN '>> ' || replace(two, chr(10), chr(10) || '>> ') || chr(10) END, '')
-    || coalesce(CASE WHEN place % 4 <> 0 THEN '> ' || replace(
-      CASE WHEN place % 5 = 0 THEN split_part(one, chr(10), 1) ELSE one END, chr(10), chr(10) || '> ') || chr(10) END, '')
-    || text AS text
+), chosen AS (
+  SELECT *, CASE WHEN one IS NULL THEN NULL ELSE CASE place % 5 WHEN 0 THEN ls[1]
+    WHEN 1 THEN coalesce(array_to_string(ls[2:3], chr(10)), '')
+    WHEN 2 THEN coalesce(array_to_string(ls[2:len(ls) - 1], chr(10)), '') ELSE one END END AS part
   FROM sources
+), messages AS (
+  SELECT conv_id, turn, min(role) AS role, text, md5(text) AS message FROM (
+    SELECT conv_id, turn, role,
+      coalesce(CASE WHEN place % 4 <> 0 AND place % 3 = 0 THEN '>> ' || replace(two, chr(10), chr(10) || '>> ') || chr(10) END, '')
+      || coalesce(CASE WHEN place % 4 <> 0 THEN '> ' || replace(part, chr(10), chr(10) || '> ') || chr(10) END, '')
+      || text AS text
+    FROM chosen
+  ) AS m GROUP BY conv_id, turn, text
 ), lines AS (
-  SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line,
+  SELECT conv_id, turn, message, role, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM messages
 ), levels AS (
@@ -205,43 +229,58 @@ WITH RECURSIVE texts AS (
   FROM lines
 ), changes AS (
   SELECT *, CASE WHEN lag(level) OVER w IS DISTINCT FROM level THEN 1 ELSE 0 END AS change
-  FROM levels WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)
+  FROM levels WINDOW w AS (PARTITION BY conv_id, turn, message ORDER BY i)
 ), runs AS (
-  SELECT *, sum(change) OVER (PARTITION BY conv_id, turn ORDER BY i) AS passage FROM changes
+  SELECT *, sum(change) OVER (PARTITION BY conv_id, turn, message ORDER BY i) AS passage FROM changes
 ), stretches AS (
-  SELECT conv_id, turn, passage, level, string_agg(body, chr(10) ORDER BY i) AS body
-  FROM runs GROUP BY conv_id, turn, passage, level
+  SELECT conv_id, turn, message, passage, level, string_agg(body, chr(10) ORDER BY i) AS body
+  FROM runs GROUP BY conv_id, turn, message, passage, level
 ), bodies AS (
-  SELECT conv_id, turn, min(role) AS role,
+  SELECT conv_id, turn, message, min(role) AS role,
     trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ''), chr(10) || chr(9) || chr(13) || ' ') AS body
-  FROM runs GROUP BY conv_id, turn
+  FROM runs GROUP BY conv_id, turn, message
+), line_lists AS (
+  SELECT conv_id, turn, message, level, list_filter(list_transform(string_split(body, chr(10)),
+    lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') AS ls
+  FROM (SELECT conv_id, turn, message, 0 AS level, body FROM bodies
+    UNION ALL SELECT conv_id, turn, message, level, body FROM stretches WHERE level > 0) AS l
+), wanted AS (
+  SELECT DISTINCT conv_id, ls[1] AS first, len(ls) AS n FROM line_lists WHERE level > 0 AND len(ls) > 1
+), starts AS (
+  SELECT conv_id, turn, message, ls, unnest(range(1, len(ls) + 1)) AS at FROM line_lists WHERE level = 0 AND len(ls) > 1
 ), held AS (
-  SELECT conv_id, turn, body FROM bodies
-  UNION ALL SELECT conv_id, turn, body FROM stretches WHERE level = 0
-  UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM bodies
+  SELECT conv_id, turn, message, body FROM bodies
+  UNION ALL SELECT conv_id, turn, message, body FROM stretches WHERE level = 0
+  UNION ALL SELECT conv_id, turn, message, unnest(string_split(body, chr(10))) FROM bodies
+  UNION ALL SELECT s.conv_id, s.turn, s.message, array_to_string(s.ls[s.at:s.at + w.n - 1], ' ')
+  FROM starts AS s JOIN wanted AS w ON w.conv_id = s.conv_id AND w.first = s.ls[s.at] AND s.at + w.n - 1 <= len(s.ls)
 ), originals AS (
-  SELECT conv_id, text, min(turn) AS original_turn
-  FROM (SELECT conv_id, turn, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS text FROM held) AS n
+  SELECT conv_id, text, min({'turn': turn, 'message': message}) AS o
+  FROM (SELECT *, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS text FROM held) AS n
   WHERE text <> '' GROUP BY conv_id, text
 ), quotes AS (
-  SELECT s.conv_id, s.turn, s.level, CASE WHEN o.original_turn < s.turn THEN o.original_turn END AS original_turn
+  SELECT s.conv_id, s.turn, s.message, s.level, CASE WHEN o.o.turn < s.turn THEN o.o END AS original
   FROM (
     SELECT *, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS text FROM stretches WHERE level > 0
   ) AS s LEFT JOIN originals AS o ON o.conv_id = s.conv_id AND o.text = s.text
   WHERE s.text <> ''
 ), counted AS (
-  SELECT conv_id, turn, count(*) AS n_quotes, count(original_turn) AS n_linked,
-    max(CASE WHEN level = 1 THEN original_turn END) AS parent_turn
-  FROM quotes GROUP BY conv_id, turn
+  SELECT conv_id, turn, message, count(*) AS n_quotes, count(original) AS n_linked,
+    max(CASE WHEN level = 1 THEN original END) AS parent
+  FROM quotes GROUP BY conv_id, turn, message
 ), linked AS (
-  SELECT b.conv_id, b.turn, b.role, b.body, c.parent_turn, coalesce(c.n_quotes, 0) AS n_quotes, coalesce(c.n_linked, 0) AS n_linked
-  FROM bodies AS b LEFT JOIN counted AS c ON c.conv_id = b.conv_id AND c.turn = b.turn
+  SELECT b.*, c.parent, coalesce(c.n_quotes, 0) AS n_quotes, coalesce(c.n_linked, 0) AS n_linked
+  FROM bodies AS b LEFT JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+    AND c.turn IS NOT DISTINCT FROM b.turn AND c.message = b.message
 ), threads AS (
-  SELECT conv_id, turn, turn AS root_turn, CAST(0 AS BIGINT) AS depth FROM linked WHERE parent_turn IS NULL
+  SELECT conv_id, turn, message, turn AS root_turn, message AS root_message, CAST(0 AS BIGINT) AS depth
+  FROM linked WHERE parent IS NULL
   UNION ALL
-  SELECT l.conv_id, l.turn, t.root_turn, t.depth + 1 FROM linked AS l JOIN threads AS t
-    ON t.conv_id = l.conv_id AND t.turn = l.parent_turn
+  SELECT l.conv_id, l.turn, l.message, t.root_turn, t.root_message, t.depth + 1 FROM linked AS l JOIN threads AS t
+    ON t.conv_id = l.conv_id AND t.turn = l.parent.turn AND t.message = l.parent.message
 )
-SELECT l.conv_id, l.turn, l.role, l.body, l.parent_turn, t.root_turn, t.depth, l.n_quotes, l.n_linked
-FROM linked AS l JOIN threads AS t ON t.conv_id = l.conv_id AND t.turn = l.turn
+SELECT l.conv_id, l.turn, l.message, l.role, l.body, l.parent.turn AS parent_turn, l.parent.message AS parent_message,
+  t.root_turn, t.root_message, t.depth, l.n_quotes, l.n_linked
+FROM linked AS l JOIN threads AS t ON t.conv_id IS NOT DISTINCT FROM l.conv_id
+  AND t.turn IS NOT DISTINCT FROM l.turn AND t.message = l.message
 """

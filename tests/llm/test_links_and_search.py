@@ -1,6 +1,7 @@
 """Neighbours, revisits, quotations and the pipeline."""
 
 import math
+import time
 
 import numpy as np
 import oracle
@@ -175,7 +176,8 @@ def test_quotes_link_and_threads_are_ordered(spark):
     ]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, level int")
     out = {(r.conv_id, r.turn): r for r in quotation_links.reply_ordered(frame).collect()}
-    assert len(out) == 8
+    assert len(out) == 10
+    assert (out[None, 1].root_turn, out[3, None].root_turn, out[3, None].body) == (1, None, "lost")
     assert (out[1, 1].parent_turn, out[1, 1].body, out[1, 1].n_linked) == (0, "I agree", 1)
     assert (out[1, 2].parent_turn, out[1, 2].root_turn, out[1, 2].depth, out[1, 2].n_quotes) == (1, 0, 2, 2)
     assert (out[1, 3].parent_turn, out[1, 3].n_quotes, out[1, 3].n_linked, out[1, 3].body) == (0, 2, 1, "only this")
@@ -208,6 +210,48 @@ def test_inner_lines_of_a_longer_stretch_link(spark):
     assert (out[1, 2].n_quotes, out[1, 2].n_linked) == (2, 2) and out[1, 3].n_linked == 0
 
 
+def test_siblings_of_one_turn_and_rows_without_keys(spark):
+    rows = [
+        (1, 0, "a", "the question"),
+        (1, 1, "b", "> the question\nfirst answer"),
+        (1, 1, "c", "> the question\nsecond answer"),
+        (1, 1, "c", "> the question\nsecond answer"),
+        (1, 2, "d", "> first answer\nthanks"),
+        (1, 3, "e", "> second answer\nno"),
+        (None, 0, "a", "the question"),
+        (None, 1, "b", "> the question\nx"),
+        (1, None, "b", "> the question\ny"),
+        (None, None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = quotation_links.reply_ordered(frame).collect()
+    assert len(out) == 9
+    by_body = {r.body: r for r in out if r.conv_id == 1}
+    assert by_body["thanks"].parent_message == by_body["first answer"].message != by_body["second answer"].message
+    assert by_body["no"].parent_message == by_body["second answer"].message
+    assert [by_body[b].depth for b in ("the question", "first answer", "second answer", "thanks", "no")] == [0, 1, 1, 2, 2]
+    assert (by_body["y"].n_quotes, by_body["y"].n_linked, by_body["y"].root_message) == (1, 0, by_body["y"].message)
+    lost = [r for r in out if r.conv_id is None]
+    assert len(lost) == 3 and all((r.parent_turn, r.depth, r.n_linked) == (None, 0, 0) for r in lost)
+
+
+def test_registered_messages_quote_inner_lines(spark, sf_dir):
+    messages = quotation_links.quoting_messages(common.table(spark, sf_dir, "conversations"))
+    parts = common.saved(quotation_links.parsed(messages))
+    runs = quotation_links._runs(parts).select("conv_id", "place", "text").distinct()
+    assert runs.count() > 0
+
+
+def test_message_of_many_lines_and_levels_is_parsed_in_seconds(spark):
+    plain = "\n".join(f"line {i}" for i in range(20_000))
+    levels = "\n".join(f"{'>' * (i % 3)} line {i}" for i in range(20_000))
+    rows = [(1, 0, "a", plain), (1, 1, "b", levels)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    begin = time.perf_counter()
+    found = {r.place.turn: (len(r.passages), r.n_quotes) for r in quotation_links.parsed(frame).collect()}
+    assert found == {0: (1, 0), 1: (20_000, 13_333)} and time.perf_counter() - begin < 30
+
+
 def test_long_chain_of_replies(spark):
     rows = [(5, i, "r", (f"> text {i - 1}\n" if i else "") + f"text {i}") for i in range(70)]
     out = quotation_links.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
