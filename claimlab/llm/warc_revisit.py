@@ -60,18 +60,29 @@ def resolved(records: DataFrame) -> DataFrame:
     `records`: record_id, url, ts (seconds), type (`response` or `revisit`), status, etag, last_modified, digest,
     headers (map of lower-case names), body.
     """
-    named = records.select(
-        F.col("record_id").cast("long").alias("record_id"), F.col("ts").cast("long").alias("ts"),
-        canonical_url().alias("canonical"), "type", "status", "etag", "last_modified", "digest", "headers", "body",
-    )
     read = F.struct(
-        "record_id", "ts", "canonical", "type", "status", "etag", "last_modified", "digest",
-        F.array_sort(F.map_entries("headers")).alias("headers"), F.md5("body").alias("body"),
+        F.col("record_id").cast("long").alias("record_id"), "url", F.col("ts").cast("long").alias("ts"), "type", "status",
+        "etag", "last_modified", "digest", F.array_sort(F.map_entries("headers")).alias("headers"),
+        F.md5("body").alias("body"),
+    )
+    keyed = records.withColumns(
+        {
+            "record_id": F.col("record_id").cast("long"), "ts": F.col("ts").cast("long"),
+            "key": F.unhex(F.md5(F.to_json(read))),
+        }
     )
-    named = named.withColumn("key", F.unhex(F.md5(F.to_json(read))))
     day = F.floor(F.col("ts") / DAY)
-    full = named.where("type = 'response' and status between 200 and 299 and canonical is not null and ts is not null")
-    revisits = named.where("type = 'revisit'").drop("body", "status", "type").dropDuplicates(["key"])
+    answers = keyed.where("type = 'response' and status between 200 and 299 and url is not null and ts is not null")
+    # Rows without bodies, read several times below.
+    narrow = common.saved(
+        keyed.where("type = 'revisit'")
+        .select("key", "record_id", "url", "ts", "etag", "last_modified", "digest", "headers", F.lit(True).alias("asks"))
+        .unionByName(answers.select("key", "record_id", "url", "ts", F.lit(False).alias("asks")), allowMissingColumns=True)
+        .withColumn("canonical", canonical_url())
+        .drop("url")
+    )
+    full = narrow.where("not asks")
+    revisits = narrow.where("asks").dropDuplicates(["key"])
 
     latest = F.struct("ts", "record_id", "key")
     times = full.select("canonical", day.alias("day"), "ts", "record_id", "key")
@@ -94,7 +105,7 @@ def resolved(records: DataFrame) -> DataFrame:
     )
 
     needed = matched.where("response_key is not null").select("response_key").distinct()
-    bodies = full.join(needed, F.col("key") == F.col("response_key"), "left_semi").dropDuplicates(["key"])
+    bodies = answers.join(needed, F.col("key") == F.col("response_key"), "left_semi").dropDuplicates(["key"])
     bodies = bodies.select(
         F.col("key").alias("response_key"),
         F.struct("record_id", "ts", "etag", "last_modified", "digest", "headers", "body").alias("r"),
