@@ -29,6 +29,14 @@ from claimlab.llm import common
 _MARKS = r"^[ \t]*((?:>[ \t]?)*)"
 
 
+def _digest(text: Column | str) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _shown(digest: str) -> Column:
+    return F.lower(F.hex(digest))
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
@@ -73,7 +81,7 @@ def parsed(messages: DataFrame) -> DataFrame:
         F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     one = read.groupBy("conv_id", "turn", "text").agg(F.min("role").alias("role"))
-    named = one.select("conv_id", F.struct("turn", F.md5("text").alias("message")).alias("place"), "role", "text")
+    named = one.select("conv_id", F.struct("turn", _digest("text").alias("message")).alias("place"), "role", "text")
     own = F.filter("passages", lambda p: p["level"] == 0)
     body = F.trim(F.array_join(F.transform(own, lambda p: p["body"]), "\n"), F.lit(" \n\t\r"))
     quoted = F.filter("passages", lambda p: (p["level"] > 0) & (normalised(p["body"]) != ""))
@@ -90,12 +98,12 @@ def _runs(parsed_messages: DataFrame) -> DataFrame:
     """conv_id, place, text: runs of several unquoted lines that a passage of the conversation may quote."""
     quoted = parsed_messages.select("conv_id", F.explode("passages").alias("p")).where("p.level > 0")
     quoted = quoted.select("conv_id", _lines(F.col("p.body")).alias("lines")).where("size(lines) > 1")
-    wanted = quoted.groupBy("conv_id", F.md5(F.col("lines")[0]).alias("first")).agg(
+    wanted = quoted.groupBy("conv_id", _digest(F.col("lines")[0]).alias("first")).agg(
         F.collect_set(F.size("lines")).alias("lengths")
     )
     held = parsed_messages.select("conv_id", "place", _lines(F.col("body")).alias("lines")).where("size(lines) > 1")
     starts = held.select("conv_id", "place", F.posexplode("lines").alias("at", "line"), F.size("lines").alias("n"))
-    starts = starts.select("conv_id", "place", "at", "n", F.md5("line").alias("first")).join(wanted, ["conv_id", "first"])
+    starts = starts.select("conv_id", "place", "at", "n", _digest("line").alias("first")).join(wanted, ["conv_id", "first"])
     starts = starts.select("conv_id", "place", "at", "n", F.explode("lengths").alias("length")).where("at + length <= n")
     text = F.array_join(F.slice("lines", F.col("at") + 1, F.col("length")), " ")
     return starts.join(held, ["conv_id", "place"]).select("conv_id", "place", text.alias("text"))
@@ -108,7 +116,7 @@ def originals(parsed_messages: DataFrame) -> DataFrame:
     texts = F.array_distinct(F.transform(F.flatten(F.array(F.array("body"), own, lines)), normalised))
     rows = parsed_messages.select("conv_id", "place", F.explode(texts).alias("text")).where("text <> ''")
     rows = rows.union(_runs(parsed_messages))
-    return rows.groupBy("conv_id", F.md5("text").alias("hash")).agg(F.min("place").alias("original"))
+    return rows.groupBy("conv_id", _digest("text").alias("hash")).agg(F.min("place").alias("original"))
 
 
 def quotations(parsed_messages: DataFrame) -> DataFrame:
@@ -117,7 +125,7 @@ def quotations(parsed_messages: DataFrame) -> DataFrame:
     rows = rows.select(
         "conv_id", "place", (F.col("at") + 1).alias("passage"), F.col("p.level").alias("level"), normalised(F.col("p.body")).alias("text")
     ).where("text <> ''")
-    rows = rows.withColumn("hash", F.md5("text")).drop("text")
+    rows = rows.withColumn("hash", _digest("text")).drop("text")
     found = rows.join(originals(parsed_messages), ["conv_id", "hash"], "left")
     earlier = F.when(F.col("original.turn") < F.col("place.turn"), F.col("original"))
     return found.select("conv_id", "place", "passage", "level", "hash", earlier.alias("original"))
@@ -158,9 +166,9 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     alone = loose.withColumns({"parent": F.lit(None).cast(placed.schema["parent"].dataType), "up": F.col("place")})
     alone = alone.withColumns({"depth": F.lit(0).cast("long"), "n_linked": F.lit(0).cast("long")}).drop("passages")
     return placed.unionByName(alone).select(
-        "conv_id", "place.turn", "place.message", "role", "body", F.col("parent.turn").alias("parent_turn"),
-        F.col("parent.message").alias("parent_message"), F.col("up.turn").alias("root_turn"),
-        F.col("up.message").alias("root_message"), "depth", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+        "conv_id", "place.turn", _shown("place.message").alias("message"), "role", "body", F.col("parent.turn").alias("parent_turn"),
+        _shown("parent.message").alias("parent_message"), F.col("up.turn").alias("root_turn"),
+        _shown("up.message").alias("root_message"), "depth", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
     )
 
 
