@@ -35,6 +35,8 @@ NEIGHBOURS = 20
 QUERY_STRIDE = 20
 SHARD_POINTS = 8192
 QUERY_BLOCK = 4096
+# Partitions of the search; beyond that many meetings of shards and blocks a task has several.
+MOST_TASKS = 20_000
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAXATION = 32, 64, 96, 1.2
 _BRIDGES = 4
 _STEP, _EXPANDED = 512, 4
@@ -260,7 +262,11 @@ def nearest_neighbours(
     packed = asked.groupBy(F.size("vector").alias("dim"), block.alias("block")).agg(
         F.collect_list(F.struct("query_id", "vector")).alias("queries")
     )
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Each meeting of a shard and a block of queries is a task's work, however few bytes it has.
+    tasks, pair = min(shards * blocks, MOST_TASKS), ["dim", "shard", "block"]
+    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, *pair)
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    packed = packed.select("dim", "block", "queries", every_shard).repartition(tasks, *pair)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +294,7 @@ def nearest_neighbours(
                         [pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "vec_id", "score"]
                     )
 
-    found = spread.join(packed, ["dim", "block"]).mapInArrow(search, "query_id long, vec_id long, score double")
+    found = spread.join(packed, pair).mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
