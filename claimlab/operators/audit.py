@@ -33,23 +33,49 @@ def dataset_extent(df: DataFrame) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None, digits: int | None = 2) -> DataFrame:
-    """Type, null counts and exact distinct count of each column; unknown names are ignored.
-
-    Columns are unpivoted to (column, value) and counted per distinct value first. That combines on the
-    map side and spreads each column over all reducers, so no task holds a column's distinct values.
-    """
-    columns = [c for c in (columns or df.columns) if c in df.columns]
+def _exact_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     as_text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     per_value = as_text.unpivot([], columns, "column", "_value").groupBy("column", "_value").agg(
         F.count(F.lit(1)).alias("_n")
     )
     is_null = F.col("_value").isNull()
-    counted = per_value.groupBy("column").agg(
+    return per_value.groupBy("column").agg(
         F.coalesce(F.sum(F.when(~is_null, F.col("_n"))), F.lit(0)).alias("non_null"),
         F.coalesce(F.sum(F.when(is_null, F.col("_n"))), F.lit(0)).alias("null_count"),
         F.count_if(~is_null).alias("nunique"),
     )
+
+
+def _sketched_counts(df: DataFrame, columns: list[str], error: float) -> DataFrame:
+    profiles = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count(F.col(c)).alias("non_null"),
+                _missing(c).alias("null_count"),
+                F.approx_count_distinct(F.col(c).cast("string"), error).alias("nunique"),
+            ).alias(f"_{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    return profiles.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(columns))])))
+
+
+def column_profile(
+    df: DataFrame, columns: list[str] | None = None, digits: int | None = 2, distinct_error: float | None = None
+) -> DataFrame:
+    """Type, null counts and distinct count of each column; unknown names are ignored.
+
+    Distinct counts are exact by default: columns are unpivoted to (column, value) and counted per distinct value
+    first. That combines on the map side and spreads each column over all reducers, so no task holds a column's
+    distinct values. With `distinct_error`, a relative standard deviation, they are estimated from mergeable
+    sketches of fixed size, one a column, and nothing else moves.
+    """
+    columns = [c for c in (columns or df.columns) if c in df.columns]
+    if distinct_error is None:
+        counted = _exact_counts(df, columns)
+    else:
+        counted = _sketched_counts(df, columns, distinct_error)
     types = F.create_map(
         *[F.lit(x) for c in columns for x in (c, df.schema[c].dataType.simpleString())]
     )

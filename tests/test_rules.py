@@ -288,3 +288,18 @@ def test_linkage_accounts_for_every_report(spark, sf_dir):
         assert episodes.agg(F.sum("record_count")).first()[0] == total
     summary = summaries.period_summary(claims.feat, "PERIOD_10Y", digits=None)
     assert summary.agg(F.sum("pct")).first()[0] == pytest.approx(100)
+
+
+@pytest.mark.parametrize("error", [0.05, 0.01])
+def test_sketched_profile_differs_in_distinct_counts_only_and_little(spark, error):
+    df = spark.range(60_000).selectExpr("id", "id % 7 AS few", "IF(id % 3 = 0, NULL, id % 20000) AS some", "CAST(NULL AS STRING) AS none")
+    exact = {r.column: r for r in audit.column_profile(df).collect()}
+    found = {r.column: r for r in audit.column_profile(df, distinct_error=error).collect()}
+    assert audit.column_profile(df, distinct_error=error).schema.names == audit.column_profile(df).schema.names
+    assert found.keys() == exact.keys() == {"id", "few", "some", "none"}
+    for column, row in found.items():
+        assert row[1:5] == exact[column][1:5]
+        assert abs(row.nunique - exact[column].nunique) <= 4 * error * exact[column].nunique
+    assert found["none"].nunique == 0
+    empty = audit.column_profile(df.limit(0), distinct_error=error).collect()
+    assert {(r.column, r.non_null, r.null_count, r.nunique) for r in empty} == {(c, 0, 0, 0) for c in exact}
