@@ -83,3 +83,30 @@ def keep_top_groups(df: DataFrame, group: str, n: int) -> DataFrame:
     counts = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     top = top_rows(counts, n, "_n", [group]).select(group)
     return df.join(F.broadcast(top), group, "left_semi")
+
+
+def large_groups(summary: DataFrame, minimum: int, count: str = "count") -> DataFrame:
+    """Rows of a summary whose groups have at least `minimum` reports; rows without a count go."""
+    return summary.filter(F.col(count) >= minimum)
+
+
+def aligned(summary: DataFrame, other: DataFrame, keys: list[str], fill: float = 0.0) -> DataFrame:
+    """Columns of `other` next to the rows of `summary`; its numbers are `fill` where it lacks the key or the value.
+
+    A null key in `summary` meets a null key in `other`. Keys are expected once in `other`.
+    """
+    added = [c for c in other.columns if c not in keys]
+    if clash := sorted({*added}.intersection(summary.columns)):
+        raise ValueError(f"columns of both summaries: {clash}")
+    left, right = summary.alias("summary"), other.alias("other")
+    same = [F.col(f"summary.`{k}`").eqNullSafe(F.col(f"other.`{k}`")) for k in keys]
+    return left.join(right, same, "left").select("summary.*", *[f"other.`{c}`" for c in added]).na.fill(fill, added)
+
+
+def aligned_ratio(summary: DataFrame, other: DataFrame, keys: list[str], value: str, name: str = "ratio") -> DataFrame:
+    """`value` of one summary over that of the other, for keys that both have."""
+    return (
+        summary.select(*keys, F.col(value).alias("_over"))
+        .join(other.select(*keys, F.col(value).alias("_under")), keys)
+        .select(*keys, F.try_divide("_over", "_under").alias(name))
+    )

@@ -103,8 +103,15 @@ def _dollars(column: str) -> str:
     return f"TRY_CAST(nullif(replace(replace({column}, '$', ''), ',', ''), '') AS DOUBLE) AS {column}"
 
 
-CODES = "RECTYPE WORKSTAT HOMESTAT LICNSTAT PAYNUMBR PAYTYPE PTSEX".split()
-INTEGERS = "PRACTAGE GRAD ALGNNATR OUTCOME MALYEAR1 MALYEAR2 PTAGE".split()
+CODES = (
+    "RECTYPE WORKSTAT HOMESTAT LICNSTAT PAYNUMBR PAYTYPE PYRRLTNS PTSEX PTTYPE AALENTYP "
+    "BASISCD1 BASISCD2 BASISCD3 BASISCD4 BASISCD5"
+).split()
+INTEGERS = (
+    "PRACTAGE GRAD ALGNNATR ALEGATN1 ALEGATN2 OUTCOME MALYEAR1 MALYEAR2 NUMBPRSN PTAGE AAYEAR "
+    "AACLASS1 AACLASS2 AACLASS3 AACLASS4 AACLASS5 AAEFYEAR AASIGYR FUNDPYMT"
+).split()
+COUNTRIES = ["WORKCTRY", "HOMECTRY"]
 
 
 def period_sql(year: str, width: int) -> str:
@@ -125,7 +132,11 @@ _CPI = case_sql("ORIGYEAR", {CPI_FIRST_YEAR + i: f for i, f in enumerate(CPI_FAC
 CLEAN_SQL = (
     "SELECT * REPLACE ("
     + ", ".join(
-        [_dollars(c) for c in ("PAYMENT", "TOTALPMT")] + [_integer(c) for c in INTEGERS] + [_code(c) for c in CODES]
+        [_dollars(c) for c in ("PAYMENT", "TOTALPMT")]
+        + [_integer(c) for c in INTEGERS]
+        + [_code(c) for c in CODES]
+        + [f"nullif({c}, 'nan') AS {c}" for c in COUNTRIES]
+        + ["TRY_CAST(AALENGTH AS DOUBLE) AS AALENGTH"]
     )
     + ") FROM claims"
 )

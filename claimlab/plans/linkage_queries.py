@@ -226,18 +226,18 @@ QUERIES = [
     ),
     Query(
         "p11_most_diverse",
-        lambda c: P.most_diverse(P.allegation_diversity(c.feat), 2).select(
+        lambda c: P.most_diverse(P.allegation_diversity(c.feat)).select(
             "PRACTNUM", "total_records", "unique_allegations", "allegation_list", "unique_states", "total_payment"
         ),
         f"""SELECT PRACTNUM, total_records, unique_allegations, allegation_list, unique_states, total_payment
-        FROM ({DIVERSITY_SQL}) AS d WHERE unique_allegations >= 2 ORDER BY unique_allegations DESC, PRACTNUM LIMIT 20""",
+        FROM ({DIVERSITY_SQL}) AS d WHERE unique_allegations >= 3 ORDER BY unique_allegations DESC, PRACTNUM LIMIT 20""",
         r2="total_payment",
     ),
     Query(
         "p12_drill_down",
-        lambda c: P.drill_down(c.feat, P.allegation_diversity(c.feat), 2),
+        lambda c: P.drill_down(c.feat, P.allegation_diversity(c.feat)),
         f"""SELECT PRACTNUM, ALGNNATR, STATE, ORIGYEAR, MALYEAR1, PAYMENT_ADJ, PAYTYPE_STR FROM feat WHERE PRACTNUM =
-        (SELECT PRACTNUM FROM ({DIVERSITY_SQL}) AS d WHERE unique_allegations >= 2
+        (SELECT PRACTNUM FROM ({DIVERSITY_SQL}) AS d WHERE unique_allegations >= 3
          ORDER BY unique_allegations DESC, PRACTNUM LIMIT 1)""",
         r4="PAYMENT_ADJ",
     ),

@@ -8,7 +8,7 @@ from claimlab.functions import columns as X
 from claimlab.functions import labels as L
 from claimlab.functions.recovery import new_folder
 from claimlab.operators import audit, cleaning, features
-from claimlab.plans.base import Query, case_sql
+from claimlab.plans.base import CODES, COUNTRIES, INTEGERS, Query, case_sql
 from claimlab.schema import CLAIMS_SCHEMA, DECLARED_KINDS
 from claimlab.sources.claims_csv import parse_claims_lines, read_claims_csv
 
@@ -19,11 +19,7 @@ MISSINGNESS_COLUMNS = "TOTALPMT OUTCOME PTSEX PTAGE WORKSTAT PAYNUMBR ALGNNATR P
 PAYMENT_GAPS = "PAYMENT TOTALPMT ALGNNATR OUTCOME MALYEAR1 PAYTYPE PRACTAGE PTAGE PTSEX WORKSTAT".split()
 
 # Raw columns of the sample claims, in their order there.
-SAMPLE_COLUMNS = (
-    "SEQNO RECTYPE REPTYPE ORIGYEAR WORKSTAT HOMESTAT LICNSTAT LICNFELD PRACTAGE GRAD ALGNNATR OUTCOME MALYEAR1 "
-    "MALYEAR2 PAYMENT TOTALPMT PAYNUMBR PAYTYPE PTAGE PTSEX PRACTNUM ACCRRPTS NPMALRPT NPLICRPT NPCLPRPT NPPSMRPT "
-    "NPDEARPT NPEXCRPT NPGARPT NPCTMRPT"
-).split()
+SAMPLE_COLUMNS = CLAIMS_SCHEMA.names
 _RAW_TYPES = {f.name: f.dataType.simpleString() for f in CLAIMS_SCHEMA}
 
 
@@ -154,19 +150,8 @@ def _select(*names: str):
 
 
 _CLEAN_TYPES = {f.name: f.dataType.simpleString() for f in CLAIMS_SCHEMA} | {
-    c: "int" for c in "PRACTAGE GRAD ALGNNATR OUTCOME MALYEAR1 MALYEAR2 PTAGE".split()
-} | {"PAYMENT": "double", "TOTALPMT": "double"}
-
-
-def _countries(c):
-    """The sample has no country columns, so two are derived from whole columns: one holds the text `nan`."""
-    k = F.col("SEQNO")
-    raw = c.raw.select(
-        "SEQNO",
-        F.when(k % 3 == 0, "nan").when(k % 3 == 1, "USA").alias("WORKCTRY"),
-        F.when(k % 4 == 0, F.lit(None)).otherwise("CANADA").alias("HOMECTRY"),
-    )
-    return cleaning.clean_countries(raw)
+    c: "int" for c in INTEGERS
+} | {"PAYMENT": "double", "TOTALPMT": "double", "AALENGTH": "double"}
 
 
 QUERIES = [
@@ -289,6 +274,11 @@ QUERIES = [
         lambda c: audit.missing_breakdown(c.new, "PTAGE", "PTSEX"),
         "SELECT PTSEX, count(*) AS count FROM p_feat WHERE PTAGE IS NULL GROUP BY PTSEX",
     ),
+    Query(
+        "s14_missing_state_by_type",
+        lambda c: audit.missing_breakdown(c.new, "WORKSTAT", "TYPE"),
+        "SELECT TYPE, count(*) AS count FROM p_feat WHERE WORKSTAT IS NULL GROUP BY TYPE",
+    ),
     Query(
         "s15_fallback_coverage",
         lambda c: audit.fallback_coverage(c.new, "WORKSTAT", ["LICNSTAT", "HOMESTAT"]),
@@ -334,22 +324,18 @@ QUERIES = [
     ),
     Query(
         "c02_coded_integers",
-        lambda c: cleaning.clean_coded_integers(c.raw).select(
-            "SEQNO", "PRACTAGE", "GRAD", "ALGNNATR", "OUTCOME", "MALYEAR1", "MALYEAR2", "PTAGE", "PRACTNUM"
-        ),
-        "SELECT SEQNO, PRACTAGE, GRAD, ALGNNATR, OUTCOME, MALYEAR1, MALYEAR2, PTAGE, PRACTNUM FROM clean",
+        lambda c: cleaning.clean_coded_integers(c.raw).select("SEQNO", *INTEGERS, "AALENGTH", "PRACTNUM"),
+        f"SELECT SEQNO, {_select(*INTEGERS)}, AALENGTH, PRACTNUM FROM clean",
     ),
     Query(
         "c03_code_strings",
-        lambda c: cleaning.clean_code_strings(c.raw).select(
-            "SEQNO", "RECTYPE", "WORKSTAT", "HOMESTAT", "LICNSTAT", "PAYNUMBR", "PAYTYPE", "PTSEX"
-        ),
-        "SELECT SEQNO, RECTYPE, WORKSTAT, HOMESTAT, LICNSTAT, PAYNUMBR, PAYTYPE, PTSEX FROM clean",
+        lambda c: cleaning.clean_code_strings(c.raw).select("SEQNO", *CODES),
+        f"SELECT SEQNO, {_select(*CODES)} FROM clean",
     ),
     Query("c04_clean_claims", lambda c: c.clean, f"SELECT {_select(*SAMPLE_COLUMNS)} FROM clean"),
     Query(
         "c05_countries",
-        _countries,
+        lambda c: cleaning.clean_countries(c.raw).select("SEQNO", *COUNTRIES),
         """SELECT SEQNO, CASE WHEN SEQNO % 3 = 1 THEN 'USA' END AS WORKCTRY,
         CASE WHEN SEQNO % 4 <> 0 THEN 'CANADA' END AS HOMECTRY FROM claims""",
     ),

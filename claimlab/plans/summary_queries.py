@@ -57,6 +57,15 @@ ANNUAL_SQL = """SELECT ORIGYEAR, count(*) AS count, coalesce(sum(PAYMENT), 0) AS
   median(PAYMENT) AS median_nominal, coalesce(sum(PAYMENT_ADJ), 0) AS total_adj, avg(PAYMENT_ADJ) AS mean_adj,
   median(PAYMENT_ADJ) AS median_adj FROM feat GROUP BY ORIGYEAR"""
 
+# Five states stay as they are and the rest become four, so that a minimum of 1000 claims keeps some and drops some.
+_MERGED_STATE = """CASE WHEN STATE IN ('NY', 'CA', 'PA', 'FL', 'TX') THEN STATE WHEN STATE < 'IN' THEN 'CO'
+  WHEN STATE < 'MI' THEN 'LA' WHEN STATE < 'NC' THEN 'MO' WHEN STATE IS NOT NULL THEN 'OH' END"""
+MERGED_SQL = f"merged AS (SELECT * REPLACE ({_MERGED_STATE} AS STATE) FROM feat)"
+
+
+def _merged(c):
+    return c.feat.withColumn("STATE", F.expr(_MERGED_STATE))
+
 
 def _amounts_sql(key: str, source: str = "feat", extra: str = "", where: str = "") -> str:
     return f"""SELECT {key}, count(*) AS count, avg(PAYMENT) AS mean, median(PAYMENT) AS median{extra}
@@ -283,8 +292,8 @@ QUERIES = [
     ),
     Query(
         "f24_minimum_sample",
-        lambda c: A.state_amounts(c.feat).filter(F.col("count") >= 500),
-        f"SELECT * FROM ({_amounts_sql('STATE', extra=SPREAD)}) AS s WHERE count >= 500",
+        lambda c: S.large_groups(A.state_amounts(_merged(c)), 1000),
+        f"WITH {MERGED_SQL};; SELECT * FROM ({_amounts_sql('STATE', 'merged', SPREAD)}) AS s WHERE count >= 1000",
         r4="mean median p95",
         r2="total std max_payment",
     ),
@@ -481,18 +490,19 @@ QUERIES = [
     ),
     Query(
         "a41_judgment_rate_ranking",
-        lambda c: A.judgment_rate_ranking(A.resolution_by_state(c.feat), minimum=300, digits=None),
-        f"""SELECT STATE, count, count * 100.0 / state_total AS pct_of_state, mean_payment_adj, median_payment_adj, state_total
-        FROM (SELECT *, CAST(sum(count) OVER (PARTITION BY STATE) AS BIGINT) AS state_total FROM ({STATE_RESOLUTION_SQL}) AS s) AS t
-        WHERE RESOLUTION_BINARY = 'Judgment' AND state_total >= 300""",
+        lambda c: A.judgment_rate_ranking(A.resolution_by_state(_merged(c)), digits=None),
+        f"""WITH {MERGED_SQL};; SELECT STATE, count, count * 100.0 / state_total AS pct_of_state, mean_payment_adj, median_payment_adj, state_total
+        FROM (SELECT *, CAST(sum(count) OVER (PARTITION BY STATE) AS BIGINT) AS state_total
+          FROM ({STATE_RESOLUTION_SQL.replace('FROM feat', 'FROM merged')}) AS s) AS t
+        WHERE RESOLUTION_BINARY = 'Judgment' AND state_total >= 1000""",
         r4="pct_of_state mean_payment_adj median_payment_adj",
     ),
     Query(
         "a42_judgment_premium",
-        lambda c: A.judgment_premium(A.resolution_by_state(c.feat, median=False), minimum=300),
-        """SELECT STATE, avg(PAYMENT_ADJ) FILTER (WHERE RESOLUTION_BINARY = 'Judgment')
+        lambda c: A.judgment_premium(A.resolution_by_state(_merged(c), median=False)),
+        f"""WITH {MERGED_SQL};; SELECT STATE, avg(PAYMENT_ADJ) FILTER (WHERE RESOLUTION_BINARY = 'Judgment')
           / avg(PAYMENT_ADJ) FILTER (WHERE RESOLUTION_BINARY = 'Settlement/Non-Judgment') AS judgment_premium_ratio
-        FROM feat WHERE STATE IS NOT NULL GROUP BY STATE HAVING count(*) >= 300
+        FROM merged WHERE STATE IS NOT NULL GROUP BY STATE HAVING count(*) >= 1000
           AND count(PAYMENT_ADJ) FILTER (WHERE RESOLUTION_BINARY = 'Judgment') > 0""",
         r4="judgment_premium_ratio",
     ),
@@ -598,18 +608,27 @@ QUERIES = [
     ),
     Query(
         "j04_aligned_join",
-        lambda c: c.feat.groupBy("ORIGYEAR")
-        .agg(F.count(F.lit(1)).alias("claims"))
-        .join(
+        lambda c: S.aligned(
+            c.feat.groupBy("ORIGYEAR").agg(F.count(F.lit(1)).alias("claims")),
             c.feat.filter(F.col("PAYMENT") >= 2_000_000).groupBy("ORIGYEAR").agg(F.sum("PAYMENT").alias("dollars")),
-            "ORIGYEAR",
-            "left",
-        )
-        .na.fill(0.0, ["dollars"]),
+            ["ORIGYEAR"],
+        ),
         """SELECT ORIGYEAR, count(*) AS claims, coalesce(sum(PAYMENT) FILTER (WHERE PAYMENT >= 2000000), 0) AS dollars
         FROM feat GROUP BY ORIGYEAR""",
         r2="dollars",
     ),
+    Query(
+        "j04_aligned_ratio",
+        lambda c: S.aligned_ratio(
+            c.feat.filter("PAYMENT >= 500000").groupBy("STATE").agg(F.avg("PAYMENT_ADJ").alias("mean")),
+            c.feat.groupBy("STATE").agg(F.avg("PAYMENT_ADJ").alias("mean")),
+            ["STATE"],
+            "mean",
+        ),
+        """SELECT STATE, avg(PAYMENT_ADJ) FILTER (WHERE PAYMENT >= 500000) / avg(PAYMENT_ADJ) AS ratio
+        FROM feat WHERE STATE IS NOT NULL GROUP BY STATE HAVING count(*) FILTER (WHERE PAYMENT >= 500000) > 0""",
+        r4="ratio",
+    ),
     Query(
         "j05_tagged_union",
         _tagged_metrics,
