@@ -253,7 +253,9 @@ def severity_amounts(df: DataFrame) -> DataFrame:
     labelled = df.filter(F.col("OUTCOME").isNotNull()).withColumn(
         "outcome_label", L.lookup(F.col("OUTCOME"), L.OUTCOMES_LONG, "Unknown")
     )
-    return _amount_summary(labelled, "outcome_label", quantiles={"p75": 0.75, "p95": 0.95}).orderBy("outcome_label")
+    # The label comes out of the aggregate, so that a filter on it stays above the exchange both branches share.
+    stats = _amount_summary(labelled, "outcome_label", {"_label": F.max("outcome_label")}, {"p75": 0.75, "p95": 0.95})
+    return stats.drop("outcome_label").withColumnRenamed("_label", "outcome_label").orderBy("outcome_label")
 
 
 def injury_only(severity: DataFrame, label: str = "outcome_label") -> DataFrame:

@@ -62,7 +62,7 @@ def test_branches_share_one_scan(static_plans, sf_dir, key):
     assert "ReusedExchange" in plan, key
 
 
-@pytest.mark.parametrize("key", ["a03_state_summary", "a14_state_amounts", "p05_multi_payment_profile", "f01_cohorts", "k07_compare_tiers"])
+@pytest.mark.parametrize("key", ["a03_state_summary", "a14_state_amounts", "f21_label_predicates", "p05_multi_payment_profile", "f01_cohorts", "k07_compare_tiers"])
 def test_one_scan_in_the_plan_that_ran(spark, sf_dir, key):
     """With adaptive execution on, after the query has run."""
     df = ALL[key].run(spark, sf_dir)

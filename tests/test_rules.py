@@ -13,6 +13,7 @@ from claimlab.operators import audit, cleaning, distributions, features, linkage
 from claimlab.operators import cells as C
 from claimlab.schema import CLAIMS_SCHEMA
 from claimlab.sources.claims_csv import read_claims_csv
+from claimlab.sources.sample_claims import sample_claims
 
 
 def values(df, column=None):
@@ -303,3 +304,31 @@ def test_sketched_profile_differs_in_distinct_counts_only_and_little(spark, erro
     assert found["none"].nunique == 0
     empty = audit.column_profile(df.limit(0), distinct_error=error).collect()
     assert {(r.column, r.non_null, r.null_count, r.nunique) for r in empty} == {(c, 0, 0, 0) for c in exact}
+
+
+def test_aligned_summaries(spark):
+    """Absent keys and null values are filled, null keys meet, clashing names are an error, empty tables stay whole."""
+    counts = spark.createDataFrame([(1, 10), (2, 20), (None, 3)], "y int, n long")
+    dollars = spark.createDataFrame([(1, 5.0), (None, 7.0), (9, 1.0)], "y int, d double")
+    assert {(r.y, r.n, r.d) for r in S.aligned(counts, dollars, ["y"]).collect()} == {(1, 10, 5.0), (2, 20, 0.0), (None, 3, 7.0)}
+    assert {r.d for r in S.aligned(counts, dollars.limit(0), ["y"]).collect()} == {0.0}
+    assert S.aligned(counts.limit(0), dollars, ["y"]).collect() == []
+    with pytest.raises(ValueError):
+        S.aligned(counts, counts, ["y"])
+    over = spark.createDataFrame([(1, 6.0), (2, 1.0), (3, 4.0)], "y int, d double")
+    under = spark.createDataFrame([(1, 3.0), (3, 0.0), (4, 1.0)], "y int, d double")
+    assert {(r.y, r.ratio) for r in S.aligned_ratio(over, under, ["y"], "d").collect()} == {(1, 2.0), (3, None)}
+
+
+def test_large_groups(spark):
+    summary = spark.createDataFrame([("a", 999), ("b", 1000), (None, 2000), ("c", None)], "k string, count long")
+    assert {r.k for r in S.large_groups(summary, 1000).collect()} == {"b", None}
+    assert S.large_groups(summary.limit(0), 1).collect() == []
+
+
+def test_sample_has_every_column_and_values_that_cleaning_refuses(spark, sf_dir):
+    claims = sample_claims(spark, sf_dir)
+    assert claims.columns == CLAIMS_SCHEMA.names
+    invalid = {r.column: r.invalid_values for r in audit.type_conformity(claims).collect()}
+    refused = {column for column, count in invalid.items() if count}
+    assert refused == {"PRACTAGE", "ALEGATN2", "TOTALPMT", "NUMBPRSN", "AACLASS1", "AALENGTH", "FUNDPYMT"}
