@@ -20,12 +20,16 @@ def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     Every task first replaces its own links by stars, which takes whole paths out of the graph. Then each round
     points every node at the smallest node it or its neighbours know; the number of rounds grows with the
     logarithm of the longest path that is left. Minima combine before the shuffle, and a node with very many
-    links meets them in a join that adaptive execution can split.
+    links meets them in a join that adaptive execution can split. Links that one task contracts at once, of fewer
+    than `BLOCK` nodes, need no rounds.
     """
     u, v = F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")
     edges = common.saved(_contracted(links.select(u, v).where("u <> v")).distinct())
     digest = _digest(edges)
     while digest[0]:
+        if 2 * digest[0] < BLOCK:
+            edges = common.saved(_contracted(edges.coalesce(1)))
+            break
         edges = common.saved(_contracted(_star(_star(edges, upward=True).distinct(), upward=False)).distinct())
         # The tables are distinct, so the same number of edges and the same digest means the same edges.
         before, digest = digest, _digest(edges)

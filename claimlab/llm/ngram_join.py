@@ -30,6 +30,7 @@ columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -314,13 +315,13 @@ def _active_at(percent: int):
 class _Node:
     """A stretch of n-grams; the sets at and below it are `first` to `last` in the trie's order of sets."""
 
-    __slots__ = ("grams", "children", "ends", "first", "last", "least", "most", "whole")
+    __slots__ = ("grams", "children", "ends", "first", "last", "least", "most", "seen")
 
     def __init__(self, grams: np.ndarray, index: int, size: int):
         self.grams, self.children, self.ends = grams, {}, []
         self.first = self.last = index
         self.least = self.most = size  # sizes of the sets at and below
-        self.whole = False  # whether all of them are known to be in one component
+        self.seen = index  # the sets before this one are known to be in one component with the first
 
     def extend(self, index: int, size: int) -> None:
         self.last, self.least, self.most = index, min(self.least, size), max(self.most, size)
@@ -343,7 +344,7 @@ def _trie(sets: list[np.ndarray], sizes: list[int]) -> _Node:
             same = int(differ[0]) if len(differ) else width
             if same < len(child.grams):
                 upper = _Node(child.grams[:same], child.first, child.least)
-                upper.last, upper.most, upper.whole = child.last, child.most, child.whole
+                upper.last, upper.most = child.last, child.most
                 child.grams = child.grams[same:]
                 upper.children[child.grams[0]] = child
                 node.children[rest[0]] = child = upper
@@ -377,42 +378,45 @@ def join_sets(
         return i
 
     def lies_in(node: _Node, component: int) -> bool:
-        if not node.whole:
-            top = find(node.first)
-            if any(find(i) != top for i in range(node.first + 1, node.last + 1)):
-                return False
-            node.whole = True
-        return find(node.first) == component
-
-    root = _trie(sets, sizes)
+        # Components only grow, so the search goes on where it ended.
+        if find(node.first) != component:
+            return False
+        at, last = node.seen, node.last
+        while at <= last and find(at) == component:
+            at += 1
+        node.seen = at
+        return at > last
+
+    root, count = _trie(sets, sizes), np.count_nonzero
     mark = np.zeros(max((int(s[-1]) for s in sets if len(s)), default=0) + 1, dtype=bool)
     for probe in sorted(range(len(sets)), key=sizes.__getitem__):
         if probes is not None and not probes[order[probe]]:
             continue
         own, size = sets[probe], sizes[probe]
         mark[own] = True
-        stack = [(root, 0, 0)]
+        numbers, held = own.tolist(), len(own)
+        component, stack = find(probe), [(root, 0, 0)]
         while stack:
             node, overlap, depth = stack.pop()
-            if lies_in(node, find(probe)):
+            if lies_in(node, component):
                 continue
-            rest = len(own)
-            if len(node.grams):
-                overlap += int(np.count_nonzero(mark[node.grams]))
-                depth += len(node.grams)
-                rest -= int(np.searchsorted(own, node.grams[-1], side="right"))
+            rest, grams = held, node.grams
+            if len(grams):
+                overlap += count(mark[grams])
+                depth += len(grams)
+                rest -= bisect_right(numbers, int(grams[-1]))
             # The probe's n-grams beyond this place are all that can still be added; the smallest set asks for least.
             if overlap + rest < least_overlap(size, node.least, percent):
                 continue
             if 100 * size < percent * node.least or 100 * node.most < percent * size:
                 continue
             # N-grams on the way here that the probe lacks make the union larger.
-            if 100 * len(own) < percent * (size + depth - overlap):
+            if 100 * held < percent * (size + depth - overlap):
                 continue
             for other in node.ends:
                 if overlap >= least_overlap(size, sizes[other], percent):
                     a, b = find(probe), find(other)
-                    parent[max(a, b)] = min(a, b)
+                    parent[max(a, b)] = component = min(a, b)
             stack.extend((child, overlap, depth) for child in node.children.values())
         mark[own] = False
     result = [0] * len(sets)
@@ -532,7 +536,7 @@ def _class_links(documents: DataFrame, described: DataFrame, words: int, percent
     docs, grams = totals.first()
     limit = max(1, docs // _SHARE)
     heavy = described.where("kind = 1").groupBy("id").agg(F.sum(F.col("n").cast("long")).alias("c"))
-    heavy = [row.id for row in heavy.where(F.col("c") >= max(32, limit)).select("id").toLocalIterator()]
+    heavy = [row.id for row in heavy.where(F.col("c") >= max(32, limit)).select("id").collect()]
     bits = max(0, ((grams or 0) // BUCKET_TOKENS).bit_length())
     rows = _bucketed(documents, heavy, min(bits, 24), words)
     shared = rows.groupBy("bucket").applyInArrow(_shared_in(max(1, docs // PART_CLASSES)), _SHARED)

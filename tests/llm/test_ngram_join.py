@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 from claimlab.llm import common, ngram_join
+from claimlab.llm import components as components_module
 from claimlab.llm.components import components
 
 
@@ -191,3 +192,19 @@ def test_registered_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in common.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark, sf_dir).collect()}
     assert got == brute_force(rows)
+
+
+def test_few_links_need_no_rounds_and_many_do(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(0, 90, 2)] + [(i, i + 1) for i in range(1, 90, 2)] + [(500, 400), (600, 400)]
+    frame = spark.createDataFrame(links, "u long, v long").repartition(7)
+    expected = {**dict.fromkeys(range(91), 0), **dict.fromkeys((400, 500, 600), 400)}
+    rounds, star = [], components_module._star
+
+    def counted(edges, upward):
+        rounds.append(upward)
+        return star(edges, upward)
+
+    monkeypatch.setattr(components_module, "_star", counted)
+    assert {r.node: r.root for r in components(frame).collect()} == expected and not rounds
+    monkeypatch.setattr(components_module, "BLOCK", 8)
+    assert {r.node: r.root for r in components(frame).collect()} == expected and rounds
