@@ -74,14 +74,19 @@ def give_back() -> None:
         trim(0)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it if the table has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def with_text_result(df: DataFrame, kind: str, compute: TextResult) -> tuple[DataFrame, str, list[Column]]:
     """The table with a column computed from `text`, that column's name, and the columns that give the table back.
 
     Whole batches of rows stream through the worker, so the JVM holds no queue of rows that wait for a result.
     """
-    name = "result"
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
+    name = free_name(df, "result")
     place = df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

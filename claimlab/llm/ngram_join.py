@@ -634,17 +634,20 @@ def one_of_each_group(documents: DataFrame, words: int = WORDS, percent: int = P
     """
     linked = common.saved(_linked(documents, words, percent, BLOCK_SETS).where("doc_id is not null"))
     stays = F.col("class_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    ids = linked.groupBy(F.col("doc_id").alias("id")).agg((F.count("*") > 1).alias("several"), F.max(stays).alias("stays"))
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), "text")
-    rows = rows.join(ids.where("stays").select("id", "several"), F.col("key") == F.col("id")).drop("id")
-    single = rows.where(~F.col("several")).select("row.*")
+    key, several = common.free_name(documents, "key"), common.free_name(documents, "several")
+    ids = linked.groupBy(F.col("doc_id").alias("id")).agg((F.count("*") > 1).alias(several), F.max(stays).alias("stays"))
+    ids = ids.where("stays").select(F.col("id").alias(key), several)
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    # Both kinds of rows take all columns, so the texts move once.
+    rows = documents.withColumn(key, F.col("doc_id").cast("long")).join(ids, key)
+    single = rows.where(~F.col(several)).select(own)
     # Only texts of repeated ids are looked at again.
     chosen = linked.where("class_id is not null and doc_id = component_id").groupBy("root", F.col("doc_id").alias("id"))
-    chosen = chosen.agg(F.min("class_id").alias("cls")).select("id", "cls")
-    again, cls, _ = common.with_text_result(rows.where("several").select("row", "key", "text"), "bigint", _classes(words))
-    wordless = again.where(F.col(cls) == 0).select("row.*")
-    kept = again.join(chosen, (F.col("key") == F.col("id")) & (F.col(cls) == F.col("cls")), "left_semi")
-    kept = kept.dropDuplicates(["key", cls]).select("row.*")
+    chosen = chosen.agg(F.min("class_id").alias("cls")).select("id", "cls").alias("chosen")
+    again, cls, _ = common.with_text_result(rows.where(several).select(*own, key), "bigint", _classes(words))
+    wordless = again.where(F.col(cls) == 0).select(own)
+    kept = again.join(chosen, (F.col(key) == F.col("chosen.id")) & (F.col(cls) == F.col("chosen.cls")), "left_semi")
+    kept = kept.dropDuplicates([key, cls]).select(own)
     return single.unionByName(kept).unionByName(wordless).unionByName(documents.where(F.col("doc_id").cast("long").isNull()))
 
 

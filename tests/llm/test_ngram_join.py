@@ -208,3 +208,19 @@ def test_few_links_need_no_rounds_and_many_do(spark, monkeypatch):
     assert {r.node: r.root for r in components(frame).collect()} == expected and not rounds
     monkeypatch.setattr(components_module, "BLOCK", 8)
     assert {r.node: r.root for r in components(frame).collect()} == expected and rounds
+
+
+def test_texts_move_once_to_leave_one_of_each_group(spark):
+    frame = spark.createDataFrame([(i // 2, f"text {i}", i) for i in range(40)], "doc_id long, text string, place int")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        kept = ngram_join.one_of_each_group(frame.repartition(3))
+        assert kept.count() == 40
+        plan = kept._jdf.queryExecution()
+        plan.executedPlan().executeCollect()
+        final = plan.executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set(setting, before)
+    assert len(re.findall(r"[-+] Exchange hashpartitioning\(key#\d+L, \d+\)", final)) == 1
