@@ -7,7 +7,8 @@ white space never joins characters across a space, so every text can be split.
 
 Pieces not yet known go to the library joined by spaces, many at a time, and the ids are cut apart again:
 at tokens that begin with a space, or at a separator that stands between the pieces. A full stop or comma
-after a letter or digit is a pre-token of its own in both kinds, so it is put behind the ids of the word.
+after a letter or digit is a pre-token of its own in both kinds, so it is put behind the ids of the word. Where case
+does not count, words of Latin letters go to the library in lower case and without the steps that change nothing then.
 
 The ids are those the library gives by default, also where a text spells one of the vocabulary's special tokens:
 such a text, and any that holds what all these tokens begin with, goes to the library whole.
@@ -148,6 +149,28 @@ def encoder(path: str, memory: int = MEMORY) -> PieceEncoder:
     return common.kept_in_worker(("library", path, memory), build)
 
 
+def is_latin(piece: str) -> bool:
+    """Letters below U+0250 that stay so in lower case; no normal form changes them."""
+    return piece.isalpha() and (piece.isascii() or max(piece.lower()) < "\u0250")
+
+
+def letters_only(library):
+    """The library's tokenizer over the same model without normaliser and pattern, for words that are `is_latin` and
+    in lower case, between spaces. None if it does not give the same ids for each of these letters."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    plain = Tokenizer(library.model)
+    plain.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    letters = [c for c in map(chr, range(0x250)) if is_latin(c)]
+    for mark in (" ", ""):
+        text = mark.join(letters)
+        if plain.encode(text.lower(), add_special_tokens=False).ids != library.encode(text, add_special_tokens=False).ids:
+            return None
+    return plain
+
+
 def library_encoder(library, memory: int = MEMORY) -> PieceEncoder:
     def ids_of(text: str) -> np.ndarray:
         return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -227,16 +250,23 @@ def library_encoder(library, memory: int = MEMORY) -> PieceEncoder:
     ends = np.zeros(size, dtype=bool)
     ends[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def letters(pieces: list[str]) -> list[bytes]:
-        ids = ids_of(" ".join(pieces))
-        stops = np.flatnonzero(ends[ids]) + 1
-        return pieces_of(ids, np.append(0, stops[:-1]), stops, pieces, "")
+    plain = letters_only(library)
+    call = 200  # words in a call
+
+    def letters(pieces: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(pieces), call):
+            part = pieces[at : at + call]
+            ids = np.array(plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(ends[ids]) + 1
+            yield from pieces_of(ids, np.append(0, stops[:-1]), stops, part, "")
 
     def words(pieces: list[str]) -> Iterator[bytes]:
         # Latin letters are one pre-token, whose last id ends a word, so they need no separator.
-        simple = [p for p in pieces if p.isalpha() and max(p) < "\u0250"]
-        found = dict(zip(simple, separately(simple, " ", "", letters)))
-        rest = [p for p in pieces if p not in found]
+        folded = {p: p.lower() for p in pieces if is_latin(p)} if plain else {}
+        simple = list(set(folded.values()))
+        known = dict(zip(simple, letters(simple)))
+        found = {p: known[small] for p, small in folded.items()}
+        rest = [p for p in pieces if p not in folded]
         found.update(zip(rest, separately(rest, _SEPARATOR, "", between)))
         return map(found.__getitem__, pieces)
 

@@ -239,3 +239,22 @@ def test_word_hashes_follow_split(texts, lower):
             for word, value in zip(found, hashes[begin[i] : begin[i + 1]].tolist()):
                 assert seen.setdefault(word, value) == value
     assert len(set(seen.values())) == len(seen)
+
+
+def test_latin_words_go_past_the_normaliser():
+    inner, given_texts = Tokenizer.from_file(WORDS), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(inner, name)
+
+        def encode_batch_fast(self, texts, **options):
+            given_texts.extend(texts)
+            return inner.encode_batch_fast(texts, **options)
+
+    encoder = library_encoding.library_encoder(Counted())
+    given_texts.clear()
+    texts = ["Über the STRASSE straße Łódź ªº ŉ", "İstanbul Ǆ ǅ ﬁ x́y ΑΣ é"]
+    assert list(encoder.encode(texts)) == [library_encoding.pack_ids(library(WORDS)(t)) for t in texts]
+    seen = " ".join(given_texts)
+    assert "İstanbul" in seen and "ΑΣ" in seen and "traße" not in seen and "Łódź" not in seen
