@@ -9,6 +9,9 @@ token of the prefix read so far. Those tokens form a chain back to the start; wh
 share of it is final and is emitted, so output lags by a bounded number of bytes. States and transitions are
 made when a text first needs them and forgotten when there are too many.
 
+Short pre-tokens are read side by side: a block's different prefixes of one length are states, each byte that
+follows one is a transition, and all transitions of a length are made at once, as arrays of branches.
+
 Defined results: null text is empty; repeated rows are encoded each; columns other than doc_id and text are not
 read. Decoding gives back the text's bytes.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 import base64
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,18 @@ from claimlab.llm.library_encoding import WORD_END, Recent
 STATES = 100_000
 # Checked pairs of tokens kept at a time.
 PAIRS = 400_000
+# Bytes of the longest pre-token that is read beside others, and how many are read so at a time.
+ABREAST = 64
+_BLOCK = 50_000
+# Places a pair of tokens among the 2**20 slots of `Transducer.recent`.
+_SPREAD, _SLOT_SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 # Pieces remembered in each of two generations.
 MEMORY = 150_000
 _ROWS = 500
+# Characters of texts that are matched whole at a time.
+_WHOLE_CHARS = 1_000_000
 
+_one = struct.Struct("<I").pack
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -109,6 +120,8 @@ class Transducer:
         parents = {key >> 8 for key in self.children}
         self.leaf = [node not in parents for node in range(len(self.token_at))]
         self.length = {rank: len(token) for token, rank in ranks.items()}
+        self.arrays: tuple[np.ndarray, ...] = ()
+        self.recent = np.full(1 << 20, -1 << 62)
         self.depths: list[int] = []
         self._forget()
 
@@ -232,6 +245,117 @@ class Transducer:
             last.append(token)
         return self._chain(last, len(last))
 
+    def encode_many(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Packed token ids of each of several different pre-tokens."""
+        found, short = {}, []
+        for piece in pieces:
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            if whole is not None:
+                found[piece] = _one(whole)
+            elif len(data) <= ABREAST:
+                short.append((data, piece))
+            else:
+                found[piece] = _packed(self.encode(data))
+        short.sort()
+        for at in range(0, len(short), _BLOCK):
+            part, pieces = zip(*short[at : at + _BLOCK])
+            found.update(zip(pieces, self._abreast(part)))
+        return found
+
+    def _abreast(self, pieces: Sequence[bytes]) -> list[bytes]:
+        """Reads different pre-tokens in ascending order, a byte of each at a time.
+
+        Branches stand in the order of their states, the oldest of a state first.
+        """
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(lengths) - lengths
+        last = np.full(len(data), -1, np.int64)
+        rows, state = np.arange(len(pieces)), np.zeros(len(pieces), np.int64)
+        first, before, node = np.array([0, 1]), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for at in range(int(lengths.max())):
+            longer = lengths[rows] > at
+            rows, state = rows[longer], state[longer]
+            byte = data[starts[rows] + at]
+            new = np.ones(len(rows), bool)
+            new[1:] = (state[1:] != state[:-1]) | (byte[1:] != byte[:-1])
+            source, byte, state = state[new], byte[new], np.cumsum(new) - 1
+            ended, first, before, node = self._step_all(source, byte, first, before, node)
+            last[starts[rows] + at] = ended[state]
+        return self._chains(last, starts, starts + lengths)
+
+    def _step_all(self, source, byte, first, before, node) -> tuple[np.ndarray, ...]:
+        """`_step` from each `source` state by its byte: the tokens that end, and the branches of the new states."""
+        keys, children, token_at, leaf = self._as_arrays()
+        counts = first[source + 1] - first[source]
+        owner = np.repeat(np.arange(len(source)), counts)
+        branch = np.arange(len(owner)) + np.repeat(first[source] - np.cumsum(counts) + counts, counts)
+        key = node[branch] << 8 | byte[owner]
+        place = np.searchsorted(keys, key)
+        alive = np.flatnonzero(keys[place] == key)
+        owner, before, child = owner[alive], before[branch[alive]], children[place[alive]]
+        token = token_at[child]
+        ended = np.full(len(source), -1, np.int64)
+        open_ = np.flatnonzero(token >= 0)
+        while len(open_):
+            oldest = np.ones(len(open_), bool)
+            oldest[1:] = owner[open_[1:]] != owner[open_[:-1]]
+            tried = open_[oldest]
+            fits = tried[self._fit_all(before[tried], token[tried])]
+            ended[owner[fits]] = token[fits]
+            open_ = open_[~oldest]
+            open_ = open_[ended[owner[open_]] < 0]
+        running = ~leaf[child]
+        owner, before, child = owner[running], before[running], child[running]
+        first = np.zeros(len(source) + 1, np.int64)
+        np.cumsum(np.bincount(owner, minlength=len(source)) + 1, out=first[1:])
+        places = np.arange(len(owner)) + owner
+        new_before, new_node = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64)
+        new_before[places], new_node[places] = before, child
+        new_before[first[1:] - 1] = ended + 1
+        return ended, first, new_before, new_node
+
+    def _fit_all(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """`_fits` of each pair; a branch without a token before it fits any. `recent` has one pair and its answer a slot."""
+        pair = before - 1 << 32 | token
+        slot = (pair.astype(np.uint64) * _SPREAD >> _SLOT_SHIFT).astype(np.int64)
+        held = self.recent[slot]
+        fits = (held & 1).astype(bool)
+        unknown = np.flatnonzero(held >> 1 != pair)
+        pairs, back = np.unique(pair[unknown], return_inverse=True)
+        fits[unknown] = np.array([p < 0 or self._fits(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()], bool)[back]
+        self.recent[slot[unknown]] = pair[unknown] << 1 | fits[unknown]
+        return fits
+
+    def _as_arrays(self) -> tuple[np.ndarray, ...]:
+        """The trie's edges in ascending order with an end mark and their children; the tokens and leaves of nodes."""
+        if not self.arrays:
+            edges = sorted(self.children.items())
+            keys, children = np.array([*edges, (1 << 62, 0)], np.int64).T.copy()
+            self.arrays = keys, children, np.array(self.token_at, np.int64), np.array(self.leaf, bool)
+        return self.arrays
+
+    def _chains(self, last: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """`_chain` of each stretch of `last`, packed."""
+        lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        lengths[list(self.length)] = list(self.length.values())
+        rows, at, found = np.arange(len(starts)), ends, []
+        while len(rows):
+            token = last[at - 1]
+            if (token < 0).any():
+                raise KeyError(-1)
+            found.append((rows, token))
+            at = at - lengths[token]
+            more = at > starts[rows]
+            rows, at = rows[more], at[more]
+        stops = np.cumsum(np.bincount(np.concatenate([r for r, _ in found]), minlength=len(starts)))
+        ids = np.empty(stops[-1], "<u4")
+        for back, (rows, token) in enumerate(found, 1):
+            ids[stops[rows] - back] = token
+        data, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
 
 class TextEncoder:
     """Splits texts by the pattern and encodes each match; pieces between spaces are remembered.
@@ -249,11 +373,13 @@ class TextEncoder:
         self.marks = {c: self.encode_one(c) for c in ".,"}
 
     def encode_one(self, text: str) -> bytes:
-        encode = self.transducer.encode
-        matches = self.pattern.findall(text)
-        if len(matches) == 1:
-            return _packed(encode(matches[0].encode()))
-        return b"".join([_packed(encode(match.encode())) for match in matches])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes; pre-tokens that several of them hold are encoded once."""
+        split = list(map(self.pattern.findall, texts))
+        known = self.transducer.encode_many({match for found in split for match in found}).__getitem__
+        return [known(found[0]) if len(found) == 1 else b"".join(map(known, found)) for found in split]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         split = []
@@ -262,24 +388,36 @@ class TextEncoder:
                 split.append(text)
             else:
                 split.append([line.split(" ") for line in text.split("\n")] if text else [])
+        wholes = self._wholes([text for text in split if isinstance(text, str)])
         lists = [line for lines in split if isinstance(lines, list) for line in lines]
         self._learn(self.first, [line[0] for line in lists], "")
         self._learn(self.rest, [piece for line in lists for piece in line[1:]], " ")
         first, rest = self.first.new.__getitem__, self.rest.new.__getitem__
         for lines in split:
             if isinstance(lines, str):
-                yield self.encode_one(lines)
+                yield next(wholes)
             else:
                 yield self.line_end.join([first(line[0]) + b"".join(map(rest, line[1:])) for line in lines])
         self.first.age()
         self.rest.age()
 
+    def _wholes(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, for as many texts at a time as have a limited length together."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(text)
+            chars += len(text)
+            if chars >= _WHOLE_CHARS:
+                yield from self.encode_all(held)
+                held, chars = [], 0
+        yield from self.encode_all(held)
+
     def _learn(self, memory: Recent, pieces: list[str], before: str) -> None:
         # A full stop or comma after a letter or digit is a match of its own.
         unknown = memory.missing(pieces)
         stemmed = [p for p in unknown if len(p) > 1 and p[-1] in ".," and p[-2] in WORD_END]
         plain = [*{*unknown}.difference(stemmed).union(memory.missing(p[:-1] for p in stemmed))]
-        memory.add(plain, [self.encode_one(before + piece) for piece in plain])
+        memory.add(plain, self.encode_all([before + piece for piece in plain]))
         known = memory.new
         memory.add(stemmed, [known[p[:-1]] + self.marks[p[-1]] for p in stemmed])
 

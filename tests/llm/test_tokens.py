@@ -84,6 +84,22 @@ def test_transducer_emits_while_reading_and_forgets_states(reference):
     assert first == reference("qzx" * 5000)[0]
 
 
+def test_words_of_a_block_are_read_side_by_side(reference, monkeypatch):
+    single, step = [], bpe_transducer.Transducer._step
+    monkeypatch.setattr(bpe_transducer.Transducer, "_step", lambda *a: single.append(1) or step(*a))
+    random_ = np.random.default_rng(5)
+    syllables = ["tion", "thou", "éeau", "ß", "ung", "ing", "漢", "ñó", "x", "'s", "##", "7", "ий", "\u0301"]
+    texts = [" ".join("".join(random_.choice(syllables, n)) for n in random_.integers(1, 9, 60)) for _ in range(40)]
+    texts += [t.replace(" ", "  ", 2) for t in texts[:9]] + [None, "", "'", "'s", " 's  's", "z" * 65, "a\tb \u00a0 c"]
+    encoder = bpe_transducer.TextEncoder(bpe_transducer.read_ranks(RANKS), P.PATTERN)
+    monkeypatch.setattr(bpe_transducer, "_BLOCK", 700, raising=False)
+    monkeypatch.setattr(bpe_transducer, "_WHOLE_CHARS", 500, raising=False)
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
+    assert found == [reference(t or "") for t in texts]
+    # Only pre-tokens of more than 64 bytes take their steps one by one.
+    assert len(single) <= 400
+
+
 def test_small_vocabulary_against_the_definition():
     ranks = {bytes([b]): b - 97 for b in b"abc"} | {b"ab": 3, b"bc": 4, b"abc": 5, b"ca": 6, b"aa": 7, b"aab": 8}
     transducer = bpe_transducer.Transducer(ranks)
@@ -98,6 +114,31 @@ def test_small_vocabulary_against_the_definition():
     check()
 
 
+def test_another_pattern_that_cuts_words():
+    pattern, ranks = r" ?\p{Lu}?\p{Ll}+| ?\S|\s+", bpe_transducer.read_ranks(RANKS)
+    expected = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = ["camelCase ofThe ÉTé, aB.\nAbC dEf", "x  yZ 12."]
+    encoder = bpe_transducer.TextEncoder(ranks, pattern)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == list(map(expected, texts))
+
+
+def test_small_vocabulary_side_by_side():
+    ranks = {bytes([b]): b - 97 for b in b"abc"} | {b"ab": 3, b"bc": 4, b"abc": 5, b"ca": 6, b"aa": 7, b"aab": 8}
+    transducer = bpe_transducer.Transducer(ranks)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.sets(st.text(st.sampled_from("abc"), min_size=1, max_size=14), min_size=1))
+    def check(texts):
+        for text, ids in transducer.encode_many(texts).items():
+            piece = text.encode()
+            expected = [ranks[piece]] if piece in ranks else [ranks[p] for p in bpe_transducer.merge_bytes(piece, ranks)]
+            assert np.frombuffer(ids, "<u4").tolist() == expected
+
+    check()
+    with pytest.raises(KeyError):
+        transducer.encode_many({"abd"})
+
+
 @given(st.text(max_size=20), st.integers(1, 3))
 @settings(max_examples=200, deadline=None)
 def test_utf8_stream_gives_whole_characters(text, step):
